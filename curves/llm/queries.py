@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from curves.llm import line_dedup, quality_rules, simhash, toxicity
+from curves.llm import html_main, line_dedup, minhash, mixing, packing, quality_fm, quality_rules, revisits, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_revisits": revisits.op2_revisits,
     "op3_simhash": simhash.op3_simhash,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_packing": packing.op5_packing,
+    "op6_minhash": minhash.op6_minhash,
+    "op7_quality_fm": quality_fm.op7_quality_fm,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_html_main": html_main.op9_html_main,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES = {"op4_quality_rules": quality_rules.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+ORACLES = {
+    "op2_revisits": revisits.ORACLE,
+    "op4_quality_rules": quality_rules.ORACLE,
+    "op8_mixing": mixing.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+}
