@@ -26,7 +26,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of the (u, v) edges of longs; root is the least node of its component.
+    """(node, root) for each node of the (u, v) edges of longs but the roots; root is the least node of a component.
 
     Every round keeps at most one edge to a node's least neighbour, so edges never multiply; each round is
     written to the shared folder, and rounds end when the edges no longer change.

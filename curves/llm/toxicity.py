@@ -7,7 +7,8 @@ machine, built once, whose states are the tuples of theirs:
 * reported speech remembers a verb of saying until the clause ends and weakens what follows
 * target remembers a person for the next four words and strengthens an insult
 * insult emits the weight of an insulting word, and more if a target follows within two words
-* threat waits three words for a target after a word of violence, and emits only with one
+* threat waits three words for a target after a word of violence, and emits only with one; it remembers whether the
+  word was negated
 
 A clause's probability is that none of its emissions misses (1 - prod(1 - w)), and a document's likewise over its
 clauses. A word alone is never scored: its weight depends on the states the clause has led to.
@@ -57,7 +58,8 @@ def _latch(symbol: int):
 
 def compose() -> dict:
     """{(state, symbol): (next state, factor of an insult, addition on reading)} of the composed machine."""
-    parts = [_countdown(NEGATION, 2), _latch(REPORT), _countdown(TARGET, 4), _countdown(INSULT, 2), _countdown(VIOLENCE, 3)]
+    waiting = range(7), lambda state, read: 3 if read == VIOLENCE else 0 if state in (0, 1, 4) else state - 1  # 4 to 6: negated
+    parts = [_countdown(NEGATION, 2), _latch(REPORT), _countdown(TARGET, 4), _countdown(INSULT, 2), waiting]
     arcs = {}
     for state in product(*(states for states, _ in parts)):
         for read in range(6):
@@ -66,8 +68,11 @@ def compose() -> dict:
             factor = weaker * (TARGETED if target else 1.0) if read == INSULT else 0.0
             extra = 0.0
             if read == TARGET:
-                extra = weaker * max(LATE_TARGET if insulted else 0.0, THREAT if violent else 0.0)
+                threat = THREAT * (NEGATED if violent > 3 else 1.0) if violent else 0.0
+                extra = max(weaker * LATE_TARGET if insulted else 0.0, threat * (REPORTED if reported else 1.0))
             after = [step(s, read) for s, (_, step) in zip(state, parts, strict=True)]
+            if read == VIOLENCE and negated:
+                after[4] = 6
             if read == TARGET:  # a threat or an insult meets one target
                 after[3] = after[4] = 0
             arcs[state, read] = (tuple(after), factor, extra)
