@@ -6,6 +6,8 @@ from __future__ import annotations
 from curves.functions import vocab as V
 
 M = V.MONTHS
+#: Added before rounding, on both sides.
+NUDGE = 3e-10
 
 
 def _values(rows) -> str:
@@ -236,7 +238,8 @@ def r(*cols: str) -> str:
     out = []
     for c in cols:
         expr, _, name = c.partition(" AS ")
-        out.append(f"round({expr}, 6) + 0.0 AS {name or expr}")
+        places = 3 if (name or expr) == "bandwidth" else 6
+        out.append(f"round(({expr}) + {NUDGE}, {places}) + 0.0 AS {name or expr}")
     return ", ".join(out)
 
 
@@ -336,7 +339,7 @@ _FINAL: dict[str, str] = {
     "signal_panel": f"SELECT {_ID}, family, sign(sum(bias))::INT AS bias, {r('CASE WHEN sum(bias) = 0 THEN 0 ELSE count(*) FILTER (sign(bias) = b) / count(*) FILTER (bias <> 0) END AS conviction')} FROM (SELECT *, sign(sum(bias) OVER (PARTITION BY {_ID}, family)) AS b FROM votes JOIN inds USING (name) WHERE n >= 5) GROUP BY ALL",
     "regime_weights": "SELECT w.regime, name, category, weight::DOUBLE AS weight, coalesce(n, 0) AS n_series FROM wts w JOIN inds USING (category) LEFT JOIN (SELECT regime, count(*) AS n FROM reg GROUP BY 1) USING (regime)",
     "composite_score": f"SELECT {_ID}, regime, round({_VALUE}, 1) + 0.0 AS score, {_reading(_VALUE)} AS reading FROM parts GROUP BY ALL",
-    "score_reading": f"SELECT {_ID}, v + 0.0 AS value, {_reading('v')} AS reading FROM (SELECT {_ID}, round(greatest(least(arg_max(close, date), 100), -100), 6) AS v FROM panel GROUP BY ALL)",
+    "score_reading": f"SELECT {_ID}, v + 0.0 AS value, {_reading('v')} AS reading FROM (SELECT {_ID}, round(greatest(least(arg_max(close, date), 100), -100) + {NUDGE}, 6) AS v FROM panel GROUP BY ALL)",
     "vote_breakdown": f"SELECT {_ID}, regime, name, category, bias, {r('weight', 'contribution')} FROM parts",
     "regime": f"SELECT {_ID}, {r('level_mean')}, regime FROM reg",
     "maturity_slices": f"SELECT {_ID}, bucket, date, days_to_expiry, {r('close')} FROM stack JOIN buckets ON days_to_expiry BETWEEN lo AND hi",

@@ -12,7 +12,7 @@ from curves.operators import indicators as I
 from curves.operators import seasonality as S
 from curves.operators import series as E
 from curves.operators import votes as G
-from curves.plans.oracles import ORACLES
+from curves.plans.oracles import NUDGE, ORACLES
 from curves.sources import bars
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -26,8 +26,10 @@ def query(f):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to 6 decimals; counts and ranks as longs stay what they are."""
-    return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to 6 decimals. Prices have few decimals, so means of them often end in a 5 just there; the nudge
+    decides such ties, which float noise would else."""
+    places = lambda c: 3 if c == "bandwidth" else 6  # noqa: E731  it divides by a mean near zero, which swells the noise
+    return df.select(*[(F.round(F.col(c) + NUDGE, places(c)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
@@ -358,8 +360,8 @@ def composite_score(spark, d):
 @query
 def score_reading(spark, d):
     """The reading of each series' score: here its last close, cut to the range of scores."""
-    last = G.last_rows(panel(spark, d), ["close"]).withColumn("value", F.round(F.greatest(F.least(F.col("close"), F.lit(100.0)), F.lit(-100.0)), 6))
-    return rounded(last.select("structure", "vintage", "value", G.reading(F.col("value")).alias("reading")))
+    last = G.last_rows(panel(spark, d), ["close"]).withColumn("value", F.round(F.greatest(F.least(F.col("close"), F.lit(100.0)), F.lit(-100.0)) + NUDGE, 6))
+    return last.select("structure", "vintage", (F.col("value") + 0.0).alias("value"), G.reading(F.col("value")).alias("reading"))
 
 
 @query
