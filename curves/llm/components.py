@@ -12,17 +12,23 @@ def _size(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the least neighbour of each node that has a smaller one. Written out, so that the joins with it read
+    plain exchanges, of which Spark can split a hub's rows."""
+    return stored(edges.groupBy("u").agg(F.min("v").alias("m"))).hint("merge")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """Each node moves from its smaller neighbour v to v's least neighbour. Edges go from u to a smaller v."""
+    up = _least(edges).withColumnRenamed("u", "v")
+    return edges.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least.hint("merge"), "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    """All smaller neighbours of a node, and the node, move to the least of them."""
+    both = edges.join(_least(edges), "u")
+    pairs = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return both.select(F.explode(pairs).alias("e")).select("e.*").filter("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     Every round keeps at most one edge to a node's least neighbour, so edges never multiply; each round is
     written to the shared folder, and rounds end when the edges no longer change.
     """
-    edges = stored(edges.select("u", "v").filter("u <> v"))
+    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = _size(edges)
     while before[0]:
         edges = stored(_small_star(_large_star(edges)))
