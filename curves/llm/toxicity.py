@@ -15,25 +15,29 @@ clauses. A word alone is never scored: its weight depends on the states the clau
 
 The words of violence, negation, reported speech and targets are fixed lists in four languages. The insults are
 fixed ones and those learned: words and word beginnings of 4 to 6 letters, weighted by their precision over a
-sample of labelled rows (max_rows, on average at most) outside the held-out fold. Document counts of the terms are
-summed in Spark; only terms that pass a likelihood test come to the driver, at most MAX_TERMS of them.
+sample of labelled rows (max_rows, on average at most) outside the held-out fold. Of near copies, which share the
+least hash of their five-word shingles, one is counted, or every rare word of a copied text would look toxic.
+Document counts of the terms are summed in Spark; only terms that pass a likelihood test come to the driver, at most
+MAX_TERMS of them, and a beginning goes if a longer term has nearly all of its documents.
 
 Cases: null and empty texts score 0; a null id counts as an empty text in the fold rule; repeated rows get equal
 scores; without usable labels the fixed words alone score; an empty table gives an empty result; other input
 columns don't matter.
 """
 
+import zlib
 from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curves.llm.common import held_out, table, training_rows
+from curves.llm.common import held_out, stored, table, training_rows
 
 MAX_ROWS, MAX_TERMS, CAP, THRESHOLD = 20_000, 5_000, 0.8, 0.3
-MIN_PRECISION, MIN_GAIN = 0.8, 12.0
+MIN_DOCS, MIN_PRECISION, MIN_GAIN, SAME = 6, 0.8, 12.0, 0.9
 NEGATED, REPORTED, TARGETED, LATE_TARGET, THREAT = 0.3, 0.6, 1.2, 0.1, 0.8
 
 # Seed words of each class.
@@ -127,6 +131,15 @@ def terms(bare: str) -> list[str]:
     return [f"={bare}", *(f"{bare[:k]}*" for k in (4, 5, 6) if len(bare) >= k)] if len(bare) > 2 else []
 
 
+def _sketches(batches):
+    for pdf in batches:
+        least = []
+        for text in pdf["text"]:
+            ws = text.lower().encode().split()
+            least.append(min((zlib.crc32(b" ".join(ws[i : i + 5])) for i in range(max(len(ws) - 4, 1)))))
+        yield pdf.assign(sketch=np.array(least, "int64"))
+
+
 def _counts(batches):
     for pdf in batches:
         counts: dict[str, list[int]] = {}
@@ -139,7 +152,8 @@ def _counts(batches):
 def learn(docs: DataFrame, labels: DataFrame, folds: int, fold: int, max_rows: int = MAX_ROWS) -> dict[str, float]:
     """Weights of the terms whose share of toxic documents is high beyond chance."""
     rows, _ = training_rows(docs, labels, "toxic", folds, fold, max_rows)
-    rows = rows.filter("label in (0, 1)")
+    sketched = rows.filter("label in (0, 1)").mapInPandas(_sketches, "text string, label int, sketch long")
+    rows = stored(sketched.groupBy("sketch", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     counted = (
         rows.mapInPandas(_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     )
@@ -147,11 +161,17 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, fold: int, max_rows: i
     if not totals.get(1) or not totals.get(0):
         return {}
     base = totals[1] / (totals[0] + totals[1])
-    n, share = F.col("n1") + F.col("n0"), F.col("n1") / (F.col("n1") + F.col("n0"))
+    share = F.col("n1") / (F.col("n1") + F.col("n0"))
     gain = F.col("n1") * F.log(share / base) + F.col("n0") * F.log(F.greatest(1 - share, F.lit(1e-9)) / (1 - base))
-    strong = counted.filter((n >= 5) & (share >= MIN_PRECISION) & (gain >= MIN_GAIN))
+    strong = counted.filter((F.col("n1") >= MIN_DOCS) & (share >= MIN_PRECISION) & (gain >= MIN_GAIN))
     best = strong.orderBy(F.desc("n1"), "term").limit(MAX_TERMS).collect()
-    return {r["term"]: min(CAP, (r["n1"] - 1) / (r["n1"] + 3 * r["n0"] + 1)) for r in best}
+    kept: dict[str, tuple[int, int]] = {}
+    for r in sorted(best, key=lambda r: (r["term"][0] != "=", -len(r["term"]))):
+        beginning = r["term"].rstrip("*")
+        longer = (n for t, (n, _) in kept.items() if t.lstrip("=").startswith(beginning))
+        if r["term"][0] == "=" or not any(n >= SAME * r["n1"] for n in longer):
+            kept[r["term"]] = r["n1"], r["n0"]
+    return {t: min(CAP, (a - 1) / (a + 3 * b + 1)) for t, (a, b) in kept.items()}
 
 
 def scorer(learned: dict[str, float]):
