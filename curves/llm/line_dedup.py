@@ -1,7 +1,8 @@
 """Line dedup: overlapping three-line windows.
 
 A document is its sequence of lines with a word, each trimmed of ASCII white space. Every run of three such
-lines is a window (a document with one or two has one window: all of them). Over all documents, the first
+lines is a window (a document with one or two has one window: all of them), and so is a single line of more than
+LONG words, which is a passage by itself though its neighbours differ. Over all documents, the first
 occurrence of a window, by (id, text hash, position), stays; every line that a later occurrence covers goes.
 A removed line always has an equal line earlier in that order, so no line vanishes from the corpus.
 
@@ -17,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curves.llm.common import SPACES, let, order_id, stored
+from curves.llm.common import SPACE_RE, SPACES, let, order_id, stored
 
-LINES = 3
+LINES, LONG = 3, 50
 
 
 def _units(lines: Column) -> Column:
@@ -31,36 +32,39 @@ def _units(lines: Column) -> Column:
 
 
 def _windows(text: Column, size: int) -> Column:
-    """Array of (position, two hashes) of the windows of a text."""
+    """Array of (position, lines, two hashes) of the windows of a text."""
 
     def of(ts: Column) -> Column:
-        one = lambda i: let(
-            F.slice(ts, i, size),
-            lambda s: F.struct((i - 1).alias("p"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit("second"), s).alias("b")),
+        n = F.size(ts)
+        one = lambda i, k: let(
+            F.slice(ts, i, k),
+            lambda s: F.struct((i - 1).alias("p"), k.alias("k"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit("second"), s).alias("b")),
         )
-        none = F.array().cast("array<struct<p:int,a:bigint,b:bigint>>")
-        return F.when(F.size(ts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ts) - (size - 1), F.lit(1))), one)).otherwise(none)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: one(i, F.least(n, F.lit(size))))
+        long = F.filter(F.sequence(F.lit(1), n), lambda i: (n > 1) & (F.size(F.split(F.get(ts, i - 1), SPACE_RE)) > LONG))
+        none = F.array().cast("array<struct<p:int,k:int,a:bigint,b:bigint>>")
+        return F.when(n > 0, F.concat(runs, F.transform(long, lambda i: one(i, F.lit(1))))).otherwise(none)
 
     units = _units(F.split(F.coalesce(text, F.lit("")), "\n"))
     return let(F.transform(units, lambda u: u["t"]), of)
 
 
 def later_windows(docs: DataFrame, id_col: str, text_col: str, size: int = LINES) -> DataFrame:
-    """(__d, __t, __cover): for each document, the positions of windows that occur earlier in the corpus."""
+    """(__d, __t, __cover): for each document, (position, lines) of the windows that occur earlier in the corpus."""
     keyed = docs.select(order_id(F.col(id_col)).alias("__d"), F.xxhash64(F.col(text_col)).alias("__t"), F.inline(_windows(F.col(text_col), size)))
     windows = stored(keyed)
     here = F.struct("__d", "__t", "p")
     first = windows.groupBy("a", "b").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = windows.join(first.hint("merge"), ["a", "b"]).filter(here > F.col("first"))
-    return later.groupBy("__d", "__t").agg(F.collect_set("p").alias("__cover"))
+    return later.groupBy("__d", "__t").agg(F.collect_set(F.struct("p", "k")).alias("__cover"))
 
 
-def _without(text: Column, cover: Column, size: int) -> Column:
+def _without(text: Column, cover: Column) -> Column:
     """(text without the covered lines, number removed)."""
 
     def cut(lines: Column, at: Column) -> Column:
         gone = F.flatten(
-            F.transform(cover, lambda p: F.transform(F.sequence(p, F.least(p + (size - 1), F.size(at) - 1)), lambda c: F.get(at, c)))
+            F.transform(cover, lambda w: F.transform(F.sequence(w["p"], w["p"] + w["k"] - 1), lambda c: F.get(at, c)))
         )
         return let(
             F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone),
@@ -80,7 +84,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = docs.withColumns({"__d": order_id(F.col(id_col)), "__t": F.xxhash64(F.col(text_col))}).join(
         later.hint("merge"), ["__d", "__t"], "left"
     )
-    done = F.when(F.col("__cover").isNotNull(), _without(F.col(text_col), F.col("__cover"), size)).otherwise(
+    done = F.when(F.col("__cover").isNotNull(), _without(F.col(text_col), F.col("__cover"))).otherwise(
         F.struct(F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n"))
     )
     names = docs.columns
@@ -108,9 +112,10 @@ WITH line AS (SELECT doc_id, i, s, trim(s, chr(32) || chr(9) || chr(10) || chr(1
 unit AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, count(*) OVER (PARTITION BY doc_id) AS n
          FROM line WHERE t <> ''),
 win AS (SELECT doc_id, p, n, list(t) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {LINES - 1} FOLLOWING) AS g FROM unit),
-full_win AS (SELECT doc_id, p, g FROM win WHERE p <= greatest(n - {LINES - 1}, 1)),
-later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM full_win) WHERE k > 1),
-gone AS (SELECT DISTINCT u.doc_id, u.i FROM later l JOIN unit u ON u.doc_id = l.doc_id AND u.p BETWEEN l.p AND l.p + {LINES - 1}),
+full_win AS (SELECT doc_id, p, g FROM win WHERE p <= greatest(n - {LINES - 1}, 1)
+             UNION ALL SELECT doc_id, p, [t] FROM unit WHERE n > 1 AND len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) > {LONG}),
+later AS (SELECT doc_id, p, len(g) AS h FROM (SELECT doc_id, p, g, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM full_win) WHERE k > 1),
+gone AS (SELECT DISTINCT u.doc_id, u.i FROM later l JOIN unit u ON u.doc_id = l.doc_id AND u.p BETWEEN l.p AND l.p + l.h - 1),
 left_over AS (SELECT l.doc_id, string_agg(s, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text, count(g.i) AS n
               FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
 SELECT doc_id, n::BIGINT AS n_removed_lines, length(coalesce(text, ''))::BIGINT AS n_chars_left, md5(coalesce(text, '')) AS text_md5

@@ -63,10 +63,10 @@ def dedup(texts):
         at = [i for i, x in enumerate(lines) if WORD.search(x)]
         units = [lines[i].strip(" \t\n\x0b\x0c\r") for i in at]
         gone = set()
-        for p in range(max(len(units) - 2, min(len(units), 1))):
-            w = tuple(units[p : p + 3])
+        runs = [(p, tuple(units[p : p + 3])) for p in range(max(len(units) - 2, min(len(units), 1)))]
+        for p, w in runs + [(p, (x,)) for p, x in enumerate(units) if len(units) > 1 and len(x.split()) > 50]:
             if w in seen:
-                gone.update(at[p : p + 3])
+                gone.update(at[p : p + len(w)])
             seen.add(w)
         out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
@@ -83,6 +83,13 @@ def test_later_windows_go(spark):
     assert _deduped(spark, texts)[1] == "x\n\ny" and _deduped(spark, texts)[3] == ""
 
 
+def test_a_long_line_is_a_window(spark):
+    long, short = prose(1, 51), prose(2, 50)
+    texts = [f"a\n{long}\nb\n{short}", f"c\n{long}\nd\n{short}", long, f"{long}\n{long}", long]
+    assert _deduped(spark, texts) == dedup(texts)
+    assert _deduped(spark, texts)[1] == f"c\nd\n{short}" and _deduped(spark, texts)[2:] == ["", "", ""]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["a", "b", "c", " ", ""]), max_size=9).map("\n".join), min_size=1, max_size=12))
 def test_any_lines(spark, texts):
