@@ -73,12 +73,12 @@ def allot(leaves: DataFrame, path: list[str], weights, share: float, epochs: int
     ws = [f"__w{i}" for i in range(len(path))]
     usable = reduce(lambda a, b: a & b, [F.col(w) > 0 for w in ws])
     base = leaves.withColumns({w: weight(i) for i, w in enumerate(ws)}).withColumn("cap", F.when(usable, F.col("tokens") * epochs).otherwise(0))
-    whole = base.agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("all")).select(F.least("cap", F.floor(F.col("all") * F.lit(share))).alias("b"))
-    budgets = None
+    whole = F.least(F.sum("cap"), F.floor(F.sum("tokens") * F.lit(share)))
+    budget, budgets = base.agg(whole.cast("long").alias("b")).first()["b"], None
     for i in range(len(path)):
         nodes = base.groupBy(*path[: i + 1]).agg(F.sum("cap").alias("cap"), F.greatest(F.max(ws[i]), F.lit(1)).alias("w"))
         nodes = nodes.withColumn("name", F.col(path[i]))
-        given = nodes.crossJoin(F.broadcast(whole)) if budgets is None else nodes.join(budgets.hint("merge"), path[:i])
+        given = nodes.withColumn("b", F.lit(budget)) if budgets is None else nodes.join(budgets.hint("merge"), path[:i])
         budgets = _shared(given, path[:i]).select(*path[: i + 1], F.col("alloc").cast("long").alias("b"))
     return leaves.join(budgets.hint("merge"), path).withColumnRenamed("b", "alloc")
 
