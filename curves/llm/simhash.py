@@ -73,8 +73,7 @@ def _segments(distance: int) -> list[tuple[int, int]]:
 
 def _keys(col: Column, shift: int, radius: int) -> Column:
     own = F.shiftrightunsigned(col, shift).bitwiseAND(F.lit((1 << 32) - 1))
-    masks = [m for m in _balls(32, radius)] if radius >= 0 else []
-    return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: own.bitwiseXOR(m))
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in _balls(32, radius)]), lambda m: own.bitwiseXOR(m))
 
 
 def _table(prints: DataFrame, name: str, distance: int, probe: bool) -> DataFrame:
@@ -112,22 +111,25 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, __f, component_id) of every row of docs."""
-    rows = stored(docs.select(id_col, fingerprints(F.coalesce(F.col(text_col), F.lit(""))).alias("__f")))
+    """(id, __f, __t, __root, component_id) of every row of docs: its fingerprint, its text's hash, the least
+    fingerprint of its component and the least id."""
+    text = F.col(text_col)
+    rows = stored(docs.select(id_col, fingerprints(F.coalesce(text, F.lit(""))).alias("__f"), F.xxhash64(text).alias("__t")))
     prints = stored(rows.groupBy(F.col("__f").alias("f")).agg(F.min(id_col).alias("least")))
     roots = components(links(prints.select("f")))
-    named = prints.join(roots.hint("merge"), F.col("f") == F.col("node"), "left").withColumn("root", F.coalesce("root", "f"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = stored(named.select("f", "root").join(least.hint("merge"), "root").select("f", "component_id"))
-    return rows.join(groups.hint("merge"), F.col("__f") == F.col("f")).select(id_col, "__f", "component_id")
+    named = prints.join(roots.hint("merge"), F.col("f") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "f"))
+    least = named.groupBy("__root").agg(F.min("least").alias("component_id"))
+    groups = stored(named.select("f", "__root").join(least.hint("merge"), "__root").select("f", "__root", "component_id"))
+    return rows.join(groups.hint("merge"), F.col("__f") == F.col("f")).select(id_col, "__f", "__t", "__root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the least id of each component. Rows with a null id stay if no other row of their
-    component has one; of several rows with the least id, those with the least text hash stay."""
+    """One document of each component: the one with the least id, of several such the one with the least text hash.
+    Rows equal in id and text count as one document, and stay together."""
     found = near_duplicates(docs, id_col, text_col)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    best = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("__root").agg(F.min(id_col).alias("__i"), F.min("__t").alias("__h"))
+    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(F.col(text_col)) == F.col("__h"))
+    return docs.join(best.select("__i", "__h").distinct().hint("merge"), same, "left_semi")
 
 
 def op3_simhash(spark, sf_dir):

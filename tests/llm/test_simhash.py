@@ -95,4 +95,6 @@ def test_near_duplicates_and_odd_rows(spark):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert {n, n + 3} <= {r.doc_id for r in kept.collect()} and n + 1 not in {r.doc_id for r in kept.collect()}
+    assert len([r for r in kept.collect() if r.doc_id == 7]) == 2  # equal rows are one document
+    assert len([r for r in kept.collect() if r.doc_id is None]) == 1  # the empty one without an id has a twin with one
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
