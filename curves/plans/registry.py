@@ -49,7 +49,8 @@ def series(spark, d) -> DataFrame:
 
 
 def stack(spark, d) -> DataFrame:
-    return E.seasonal_stack(series(spark, d))
+    """The seasonal stack, persisted: a query reads it for the active vintages and again for the others."""
+    return E.seasonal_stack(series(spark, d)).persist()
 
 
 def active(st: DataFrame) -> DataFrame:
@@ -57,9 +58,10 @@ def active(st: DataFrame) -> DataFrame:
 
 
 def panel(spark, d) -> DataFrame:
-    """Every structure series and every hourly event series, as (structure, vintage, date, close)."""
+    """Every structure series and every hourly event series, as (structure, vintage, date, close); persisted, as
+    several votes read it."""
     own = series(spark, d).select("structure", "vintage", F.col("date").cast("timestamp_ntz").alias("date"), "close")
-    return own.unionByName(bars.hourly(spark, d))
+    return own.unionByName(bars.hourly(spark, d)).persist()
 
 
 OHLC = ["instrument_id", "symbol", "date", "open", "high", "low", "close", "volume"]

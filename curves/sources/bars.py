@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +37,18 @@ def save_frames(frames: dict[str, DataFrame], out: str, fmt: str = "parquet") ->
 
 def load_frames(spark: SparkSession, out: str) -> dict[str, DataFrame] | None:
     """The saved families, or None unless all eight are there."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in FAMILIES:
-        at = path(f"{out}/{name}/_SUCCESS")
-        if not at.getFileSystem(conf).exists(at):
-            return None
-    return {name: spark.read.parquet(f"{out}/{name}") for name in FAMILIES}
+    try:
+        return {name: spark.read.parquet(f"{out}/{name}") for name in FAMILIES}
+    except AnalysisException:
+        return None
+
+
+def load_or_build(spark: SparkSession, out: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The saved families; if one is missing, all are built and saved first."""
+    if (found := load_frames(spark, out)) is None:
+        save_frames(build(), out)
+        found = load_frames(spark, out)
+    return found
 
 
 def _token(ym: Column) -> Column:
