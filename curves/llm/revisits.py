@@ -76,7 +76,9 @@ def resolve(captures: DataFrame) -> DataFrame:
     """(record_id, canonical_url, outcome, response_id, headers, body) of each revisit."""
     some = lambda c: F.coalesce(F.col(c), F.array().cast(HEADERS))
     revisits = captures.filter("kind = 'revisit'").select("record_id", some("headers").alias("rh"))
-    full = captures.filter("kind = 'response'").select(F.col("record_id").alias("prior"), some("headers").alias("fh"), "body").dropDuplicates(["prior"])
+    full = captures.filter("kind = 'response'").select(F.col("record_id").alias("prior"), some("headers").alias("fh"), "body")
+    if full.groupBy("prior").count().filter("count > 1").head(1):  # else the join reads plain exchanges, and Spark can split a hot response
+        full = full.dropDuplicates(["prior"])
     found = prior_responses(captures).dropDuplicates(["record_id"])
     known = revisits.join(found.hint("merge"), "record_id").join(full.hint("merge"), "prior", "left")
     both = lambda a, b: a.isNotNull() & b.isNotNull()
