@@ -123,15 +123,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(groups.hint("merge"), F.col("__f") == F.col("f")).select(id_col, "__f", "__t", "__root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: the one with the least id, of several such the one with the least text hash.
-    Rows equal in id and text count as one document, and stay together."""
-    found = near_duplicates(docs, id_col, text_col)
+    Rows equal in id and text count as one document, and stay together. found: id, __t, __root, component_id."""
     best = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("__root").agg(F.min(id_col).alias("__i"), F.min("__t").alias("__h"))
     same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(F.col(text_col)) == F.col("__h"))
     return docs.join(best.select("__i", "__h").distinct().hint("merge"), same, "left_semi")
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, as keep_least chooses it."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
 def op3_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
