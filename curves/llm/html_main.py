@@ -119,6 +119,10 @@ def dropped(node: Node, inside: bool) -> bool:
     return bool(named) and node.tag not in ("article", "main", "body") and bool(NOISE.search(named))
 
 
+def is_main(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.attrs.get("role") == "main"
+
+
 def digests(root: Node) -> tuple[dict[int, int], set[int]]:
     """Hash of each subtree by the node's identity, and the identities of those that hold a link or control."""
     hashes, linked, order, todo = {}, set(), [], [root]
@@ -150,14 +154,15 @@ def removable(root: Node) -> list[tuple[Node, int]]:
         node, inside = todo.pop()
         if dropped(node, inside):
             continue
-        main = node.tag in ("article", "main") or node.attrs.get("role") == "main"
+        main = is_main(node)
         if not main and (not inside or (id(node) in linked and node.tag not in INLINE)):
             out.append((node, hashes[id(node)]))
         todo += [(c, inside or main) for c in node.children if isinstance(c, Node)]
     return out
 
 
-def _blocks(top: list[Node], gone: set[int]) -> list[str]:
+def _blocks(top: list[Node], gone: set[int], article: bool = True) -> list[str]:
+    """The texts below the nodes top; article: whether they are main content, whose own header stays."""
     blocks, words = [], []
 
     def flush() -> None:
@@ -165,7 +170,7 @@ def _blocks(top: list[Node], gone: set[int]) -> list[str]:
             blocks.append(text)
         words.clear()
 
-    todo: list = [(n, True) for n in reversed(top)]
+    todo: list = [(n, article) for n in reversed(top)]
     while todo:
         item, inside = todo.pop()
         if item is None:
@@ -179,27 +184,30 @@ def _blocks(top: list[Node], gone: set[int]) -> list[str]:
             if item.tag not in INLINE:
                 flush()
                 todo.append((None, inside))
-            todo += [(c, inside) for c in reversed(item.children)]
+            todo += [(c, inside or is_main(item)) for c in reversed(item.children)]
     flush()
     return blocks
 
 
 def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text of a page without its dropped elements and the subtrees whose hash is in template."""
-    root = parse(page)
+    return "\n\n".join(_main_blocks(parse(page), template))
+
+
+def _main_blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
     gone = {id(n) for n, h in removable(root) if h in template} if template else set()
     mains, todo = [], [root]
     while todo:
         node = todo.pop()
         if node is not root and (id(node) in gone or dropped(node, False)):
             continue
-        if node.tag in ("article", "main") or node.attrs.get("role") == "main":
+        if is_main(node):
             inner = [c for c in node.children if isinstance(c, Node) and c.tag == "article"]
             mains.append(inner or [node])
             continue
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     blocks = [b for m in mains for b in _blocks(m, gone)]
-    return "\n\n".join(blocks or _blocks([root], gone))
+    return blocks or _blocks([root], gone, article=False)
 
 
 def host(url: Column) -> Column:

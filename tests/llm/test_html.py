@@ -37,3 +37,9 @@ def test_odd_rows(spark):
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in extract(pages).collect())
     assert got == [("1", "", 0), ("1", "", 0), ("2", "x", 1), ("3", "", 0), ("None", "y", 1)]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_a_site_header_goes_without_an_article_too():
+    assert main_text("<header><h1>Site</h1></header><div><p>Own</p></div>") == "Own"
+    assert main_text("<header class='hero'>Site</header><p>Own</p><main></main>") == "Own"
+    assert main_text("<header>Site</header><main><header>Head</header><p>Own</p></main>") == "Head\n\nOwn"
