@@ -3,7 +3,8 @@
 A page is parsed into its element tree, and each subtree outside the main content that is not dropped by name is
 hashed (tag, class and id, and all text and tags below it). Spark counts, for each host, on how many of its pages a
 hash occurs; subtrees on at least MIN_PAGES pages and MIN_SHARE of the host's pages are the host's template and are
-deleted before the text is taken. Elements whose tag, role, class or id names a menu, header, footer, sidebar,
+deleted before the text is taken. Pages of a host with the same main text, taken without templates, count as one, so
+that copies of a page under many ids and urls don't make its own text a template. Elements whose tag, role, class or id names a menu, header, footer, sidebar,
 notice, advert, form or comments go on every page, since they may be different on each.
 
 Main content is the first ``article``, ``main`` or ``role=main`` element with text that is not inside a dropped one
@@ -13,9 +14,9 @@ a link or a control: a paragraph that pages share is still part of their article
 Text: character references are decoded, white space within a block becomes one space, blocks are trimmed and empty
 ones left out, and the blocks are joined by an empty line.
 
-Shuffles: (host, hash) counts with partial aggregation; the hashes of a page that are template, by page; the pages
+Shuffles: distinct (host, main text's hash, hash) and their counts, with partial aggregation; the hashes of a page that are template, by page; the pages
 once, by id. Cases: null and empty html give an empty text; a null or odd url is the host ""; rows equal in id, url
-and html count as one page in the counts and each get the same result; null ids are a key of their own; an
+and html each get the same result; null ids are a key of their own; an
 empty table gives an empty result; other input columns don't matter. Unclosed, misnested and cut-off markup is read
 to its end.
 """
@@ -216,18 +217,23 @@ def host(url: Column) -> Column:
 
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found = [sorted({h for _, h in removable(parse(p))}) for p in pdf["html"]]
-        yield pd.DataFrame({"host": pdf["host"], "k": pdf["k"], "u": pdf["u"], "hashes": found})
+        found, contents = [], []
+        for page in pdf["html"]:
+            root = parse(page)
+            found.append(sorted({h for _, h in removable(root)}))
+            digest = hashlib.blake2b("\n\n".join(_main_blocks(root)).encode("utf-8", "replace"), digest_size=8).digest()
+            contents.append(int.from_bytes(digest, "big", signed=True))
+        yield pd.DataFrame({"host": pdf["host"], "k": pdf["k"], "u": pdf["u"], "content": contents, "hashes": found})
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(k, u, template): the template hashes of each page that has any. pages: host, k, u, html."""
-    made = pages.select("host", "k", "u", "html").mapInPandas(_hashes, "host string, k long, u long, hashes array<long>")
+    made = pages.select("host", "k", "u", "html").mapInPandas(_hashes, "host string, k long, u long, content long, hashes array<long>")
     parsed = stored(made)
-    distinct = parsed.dropDuplicates(["host", "k", "u"])
-    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    rows = distinct.select("host", "k", "u", F.explode("hashes").alias("hash"))
-    counts = rows.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    sizes = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    rows = parsed.select("host", "k", "u", F.explode("hashes").alias("hash"))
+    seen = parsed.select("host", "content", F.explode("hashes").alias("hash")).distinct()
+    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     common = counts.join(sizes.hint("merge"), "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
     return rows.join(common.hint("merge"), ["host", "hash"]).groupBy("k", "u").agg(F.collect_set("hash").alias("template"))
 

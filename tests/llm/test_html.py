@@ -43,3 +43,15 @@ def test_a_site_header_goes_without_an_article_too():
     assert main_text("<header><h1>Site</h1></header><div><p>Own</p></div>") == "Own"
     assert main_text("<header class='hero'>Site</header><p>Own</p><main></main>") == "Own"
     assert main_text("<header>Site</header><main><header>Head</header><p>Own</p></main>") == "Head\n\nOwn"
+
+
+def test_copies_of_a_page_are_not_its_template(spark):
+    strip = "<div class='strip'><p>Welcome to our site, all of you</p></div>"
+    story = "<p>The story with <a href='/s'>a link</a></p>"
+    pages = [(i, f"http://h.org/{i}", f"<body>{strip}<div><p>Own words {i}</p></div></body>") for i in range(15)]
+    pages += [(100 + i, f"http://h.org/copy{i}", f"<body>{strip}<nav>{i}</nav><div><p>Copied words</p></div></body>") for i in range(30)]
+    pages += [(200 + i, f"http://art.org/{i}", f"<article>{story}<p>The end</p></article>") for i in range(30)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Own words {i}" for i in range(15))
+    assert all(got[100 + i] == "Copied words" for i in range(30))
+    assert all(got[200 + i] == "The story with a link\n\nThe end" for i in range(30))
