@@ -2,7 +2,9 @@
 
 A document is its sequence of lines with a word, each trimmed of ASCII white space. Every run of three such
 lines is a window (a document with one or two has one window: all of them), and so is a single line of more than
-LONG words, which is a passage by itself though its neighbours differ. Over all documents, the first
+LONG words, which is a passage by itself though its neighbours differ. With ``pairs``, which the pipeline sets and
+op10_line_dedup's SQL doesn't have, two neighbouring lines of more than LONG words together are a window too. A passage
+that starts or ends inside a line is in no window but those of its whole lines. Over all documents, the first
 occurrence of a window, by (id, text hash, position), stays; every line that a later occurrence covers goes.
 A removed line always has an equal line earlier in that order, so no line vanishes from the corpus.
 
@@ -31,9 +33,14 @@ def _units(lines: Column) -> Column:
     )
 
 
-def _windows(text: Column, size: int) -> Column:
+def _windows(text: Column, size: int, pairs: bool = False) -> Column:
     """Array of (position, lines, two hashes) of the windows of a text."""
 
+    def twos(n: Column, counts: Column) -> Column:
+        """First lines, counted from 1, of the two-line windows."""
+        at = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(at, lambda i: F.get(counts, i - 1) + F.get(counts, i) > LONG)
+
     def of(ts: Column) -> Column:
         n = F.size(ts)
         one = lambda i, k: let(
@@ -43,15 +50,19 @@ def _windows(text: Column, size: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: one(i, F.least(n, F.lit(size))))
         long = F.filter(F.sequence(F.lit(1), n), lambda i: (n > 1) & (F.size(F.split(F.get(ts, i - 1), SPACE_RE)) > LONG))
         none = F.array().cast("array<struct<p:int,k:int,a:bigint,b:bigint>>")
-        return F.when(n > 0, F.concat(runs, F.transform(long, lambda i: one(i, F.lit(1))))).otherwise(none)
+        found = [runs, F.transform(long, lambda i: one(i, F.lit(1)))]
+        if pairs:
+            counts = F.transform(ts, lambda t: F.size(F.split(t, SPACE_RE)))
+            found.append(F.transform(let(counts, lambda c: twos(n, c)), lambda i: one(i, F.lit(2))))
+        return F.when(n > 0, F.concat(*found)).otherwise(none)
 
     units = _units(F.split(F.coalesce(text, F.lit("")), "\n"))
     return let(F.transform(units, lambda u: u["t"]), of)
 
 
-def later_windows(docs: DataFrame, id_col: str, text_col: str, size: int = LINES) -> DataFrame:
+def later_windows(docs: DataFrame, id_col: str, text_col: str, size: int = LINES, pairs: bool = False) -> DataFrame:
     """(__d, __t, __cover): for each document, (position, lines) of the windows that occur earlier in the corpus."""
-    keyed = docs.select(order_id(F.col(id_col)).alias("__d"), F.xxhash64(F.col(text_col)).alias("__t"), F.inline(_windows(F.col(text_col), size)))
+    keyed = docs.select(order_id(F.col(id_col)).alias("__d"), F.xxhash64(F.col(text_col)).alias("__t"), F.inline(_windows(F.col(text_col), size, pairs)))
     windows = stored(keyed)
     here = F.struct("__d", "__t", "p")
     first = windows.groupBy("a", "b").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -77,10 +88,10 @@ def _without(text: Column, cover: Column) -> Column:
     return let(F.split(text, "\n"), lambda lines: let(F.transform(_units(lines), lambda u: u["i"]), lambda at: cut(lines, at)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES, pairs: bool = False) -> DataFrame:
     """docs with later occurrences of repeated windows removed from the text, and the number of removed lines
     as ``__removed``."""
-    later = later_windows(docs, id_col, text_col, size)
+    later = later_windows(docs, id_col, text_col, size, pairs)
     joined = docs.withColumns({"__d": order_id(F.col(id_col)), "__t": F.xxhash64(F.col(text_col))}).join(
         later.hint("merge"), ["__d", "__t"], "left"
     )

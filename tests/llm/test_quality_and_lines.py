@@ -8,6 +8,7 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from curves.llm import line_dedup, quality_rules
 from tests.llm.data import ODD, documents, prose
 
@@ -104,3 +105,10 @@ def test_odd_rows(spark):
     twins = [(r.text, r["__removed"]) for r in out.collect() if r.doc_id == 7]
     assert len(twins) == 2 and len(set(twins)) == 1
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_the_stage_takes_two_lines_as_a_window(spark):
+    a, b, short = prose(1, 30), prose(2, 30), prose(3, 20)
+    texts = [f"x\n{a}\n{b}\ny\n{short}\n{a}", f"p\n{a}\n\n{b}\nq\n{short}\n{a}\nr", f"{b}\n{a}", f"s\n{a}\n{b}", f"{a}\nt"]
+    got = corpus_pipeline.lines(spark, documents(spark, list(enumerate(texts))), "").orderBy("doc_id").collect()
+    assert [r.text for r in got] == [texts[0], f"p\n\nq\n{short}\n{a}\nr", f"{b}\n{a}", "s", f"{a}\nt"]
