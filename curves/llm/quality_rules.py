@@ -8,7 +8,8 @@ Line rules, for lines with a word (characters: code points that are not white sp
 
 * punctuation: marks of ``#*$%&|<>!=~^_+{}[]\\`` make up over 10 % of the line's characters
 * navigation: at least 3 separators ``| > » • ·`` stand alone as words, and over a fifth of the words are such
-* boilerplate: at most 25 words, and one of the phrases of BOILERPLATE
+* boilerplate: at most 25 words, and one of the phrases of BOILERPLATE anywhere, as op4_quality_rules' SQL has it; the
+  pipeline's stage asks for BOILERPLATE_RE instead, which needs whole words in a form that boilerplate takes
 
 Cases: null text counts as empty; an empty text has no words and so fails the base limits; equal rows get equal
 results; an empty table gives an empty result; input columns other than the id and the text don't matter to
@@ -31,6 +32,20 @@ BOILERPLATE = (
     "terms of use", "terms of service", "subscribe to", "newsletter", "enable javascript", "lorem ipsum", "click here",
     "powered by", "sign in", "log in",
 )
+#: The boilerplate of the pipeline's stage: forms of it at word boundaries, and topics that are the whole line.
+FORMS = (
+    r"all rights reserved", r"licensed under (?:the|an?|cc)\b", r"released under the\b", r"lorem ipsum",
+    r"copyright (?:\(c\)|©|notice|holders?|owners?|(?:19|20)\d\d)", r"(?:©|\(c\)) ?(?:copyright|(?:19|20)\d\d)",
+    r"(?:accept|reject|manage|allow|enable|uses?|using|store|set) (?:all |our |the |some |these |necessary )*cookies", r"cookies? (?:policy|settings|preferences|notice|consent|banner)",
+    r"(?:our|your|the|this|see|read|view|accept) (?:privacy policy|terms of (?:use|service))", r"privacy policy (?:and|\||-|·)", r"terms of (?:use|service) (?:and|\||-|·)",
+    r"subscribe to (?:our|the|this|my)\b", r"(?:sign up (?:for|to)|join|get) (?:our|the) (?:\S+ )?newsletter", r"enable javascript",
+    r"click here (?:to|for|if)\b", r"(?:sign|log) in (?:to (?:your|the|our|continue|view|post|comment|reply|read)|or|with your|here|now)\b",
+)
+TOPICS = (
+    r"(?:©|copyright)(?: \S+){0,4}", r"(?:cookies?|newsletter|privacy policy|terms of (?:use|service)|click here|(?:sign|log) in)(?: (?:here|now|today|page|signup|sign-up|register|sign up))?",
+    r"powered by(?: \S+){1,4}", r"subscribe to(?: \S+){1,5}",
+)
+BOILERPLATE_RE = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(FORMS)})(?![\p{{L}}\p{{N}}])|^[^\p{{L}}\p{{N}}©]*(?:{'|'.join(TOPICS)})[^\p{{L}}\p{{N}}]*$"
 MARKS_RE = r"[#*$%&|<>!=~^_+{}\[\]\\]"
 SEPARATORS = ("|", ">", "»", "•", "·")
 
@@ -43,13 +58,13 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, boilerplate: str = "|".join(BOILERPLATE)) -> Column:
     """Whether a line with a word breaks one of the rules."""
     separators = lambda ws: F.size(F.filter(ws, lambda w: w.isin(*SEPARATORS)))
     return (_count(line, MARKS_RE) * 100 > _chars(line) * MARK_PERCENT) | let(
         words(line),
         lambda ws: ((separators(ws) >= MIN_SEPARATORS) & (separators(ws) * 100 > F.size(ws) * SEPARATOR_PERCENT))
-        | ((F.size(ws) <= BOILERPLATE_WORDS) & F.lower(line).rlike("|".join(BOILERPLATE))),
+        | ((F.size(ws) <= BOILERPLATE_WORDS) & F.lower(line).rlike(boilerplate)),
     )
 
 
@@ -73,7 +88,7 @@ def repeated_words(ws: Column, size: int = WINDOW) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
 
-def verdict(text: Column) -> Column:
+def verdict(text: Column, boilerplate: str = "|".join(BOILERPLATE)) -> Column:
     """Struct of the measures of a text, its cleaned text and whether it is kept."""
 
     def judge(t: Column, ws: Column, lines: Column, full: Column) -> Column:
@@ -99,7 +114,7 @@ def verdict(text: Column) -> Column:
     def with_lines(t: Column, ws: Column) -> Column:
         has_word = lambda x: F.translate(x, SPACES, "") != ""
         return let(
-            F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("s"), (has_word(x) & line_fails(x)).alias("bad"))),
+            F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("s"), (has_word(x) & line_fails(x, boilerplate)).alias("bad"))),
             lambda lines: let(
                 F.filter(F.transform(lines, lambda x: x["s"]), has_word),
                 lambda full: judge(t, ws, lines, full),
@@ -118,9 +133,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col), F.inline(F.array(verdict(F.col(text_col)))))
 
 
-def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, text_col: str = "text", boilerplate: str = "|".join(BOILERPLATE)) -> DataFrame:
     """The kept documents, with failing lines removed from their texts; other columns as they were."""
-    judged = F.filter(F.array(verdict(F.col(text_col))), lambda v: v["kept"])
+    judged = F.filter(F.array(verdict(F.col(text_col), boilerplate)), lambda v: v["kept"])
     texts = F.transform(judged, lambda v: F.struct(v["clean_text"].alias("__text")))
     return docs.select("*", F.inline(texts)).withColumn(text_col, F.col("__text")).drop("__text")
 

@@ -112,3 +112,11 @@ def test_the_stage_takes_two_lines_as_a_window(spark):
     texts = [f"x\n{a}\n{b}\ny\n{short}\n{a}", f"p\n{a}\n\n{b}\nq\n{short}\n{a}\nr", f"{b}\n{a}", f"s\n{a}\n{b}", f"{a}\nt"]
     got = corpus_pipeline.lines(spark, documents(spark, list(enumerate(texts))), "").orderBy("doc_id").collect()
     assert [r.text for r in got] == [texts[0], f"p\n\nq\n{short}\n{a}\nr", f"{b}\n{a}", "s", f"{a}\nt"]
+
+
+def test_the_stage_leaves_sentences_about_boilerplate_topics(spark):
+    clean = ["The analog input and the catalog index differ.", "They design in the old style.", "Bake the cookie for ten minutes.", "Copyright is a right of authors in most countries of the world.", "His newsletter was read by many.", "The car was powered by steam and coal."]
+    bad = ["Copyright 2020 Some Body", "© 2021 Some", "All rights reserved.", "Log in", "Sign in to your account to go on", "We use cookies for this site.", "Accept all cookies", "Subscribe to our newsletter", "Powered by Press", "Read our privacy policy", "Privacy Policy", "Click here to go on"]
+    texts = ["\n".join(clean), "\n".join([prose(1, 90), *bad])]
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, documents(spark, texts), "").collect()}
+    assert got == {0: texts[0], 1: prose(1, 90)}
