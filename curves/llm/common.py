@@ -41,6 +41,22 @@ def order_id(col: Column) -> Column:
     return F.coalesce(col.cast("long"), F.lit(-(2**63)))
 
 
+def free(docs: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that docs doesn't have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for stem in stems:
+        while f"__{stem}".lower() in taken:
+            stem += "_"
+        out.append(f"__{stem}")
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col(f"`{name}`")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder, which all executors see. Only a local master gets one made here."""
     sc = spark.sparkContext

@@ -59,6 +59,31 @@ def test_latest_earlier_response(spark, monkeypatch):
         assert {r.record_id: r.prior for r in got} == want
 
 
+def test_one_odd_time_does_not_gather_the_others_in_a_slice(spark):
+    """Slices end at quantiles, so that a hot URL spreads though one capture has a ts of 0."""
+    rows = [row(i, "response", "http://h.org/a", 1_700_000_000 + i, "b", ETag="1") for i in range(5000)] + [row(9999, "revisit", "http://h.org/a", 0, ETag="1")]
+    pairs = revisits._thin(spark.createDataFrame(rows, SCHEMA)).select("ts")
+    sizes = [r["count"] for r in pairs.withColumn("slice", revisits._slices(pairs)).groupBy("slice").count().collect()]
+    assert max(sizes) < 100 and len(sizes) > 100
+
+
+def test_null_and_repeated_ids_keep_their_rows(spark):
+    rows = [
+        row(None, "response", "http://a.b/x", 10, "null id", ETag='"1"'), row(None, "revisit", "http://a.b/x", 20, ETag='"1"'),
+        row(5, "response", "http://a.b/y", 10, "first", ETag='"1"'), row(5, "response", "http://a.b/y", 10, "second", ETag='"1"'), row(5, "response", "http://a.b/z", 10, "other", ETag='"1"'),
+        row(6, "revisit", "http://a.b/y", 20, ETag='"1"'), row(6, "revisit", "http://a.b/z", 20, ETag='"1"'), row(6, "revisit", "http://a.b/y", 20, ETag='"1"'),
+        row(7, "response", "http://a.b/w", 10, "x" * 1_000_000, ETag='"1"'), row(8, "response", "http://a.b/w", 10, "tie", ETag='"1"'), row(9, "revisit", "http://a.b/w", 11, ETag='"1"'),
+    ]
+    got = sorted((str(r.record_id), r.canonical_url, r.outcome, r.body) for r in revisits.resolve(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [
+        ("6", "a.b/y", "resolved", "second"), ("6", "a.b/y", "resolved", "second"), ("6", "a.b/z", "resolved", "other"),
+        ("9", "a.b/w", "resolved", "tie"), ("None", "a.b/x", "resolved", "null id"),
+    ]
+    pages = spark.createDataFrame([(None, "http://a.b/c", "html"), (1, "http://a.b/d", "x" * 1_000_000)], "page_id bigint, url string, html string")
+    assert revisits.captures_of(pages).groupBy("kind").count().orderBy("kind").collect()[0][1] == 2
+    assert revisits.resolve(revisits.captures_of(pages)).count() == 4
+
+
 def test_odd_rows(spark):
     rows = [(1, "response", None, 5, None, None, 0, ""), (2, "revisit", None, 6, None, None, 0, ""), (3, "revisit", "http://a.b", None, None, None, 0, ""), (2, "revisit", None, 6, None, None, 0, "")]
     df = spark.createDataFrame(rows, SCHEMA)
