@@ -13,8 +13,8 @@ documents of the range with the cut are put in order. Documents whose hashes are
 
 Cases: null and blank texts have no tokens, and are read with the prefix that they fall in; null path names count as
 ""; unknown names weigh 1; a weight of 0 leaves a node's tokens out; null ids count as an empty text in the hash;
-an empty table gives an empty result; input columns other than the id, the text and the path are returned by
-`select` as they were. The leaf table is broadcast up to MAX_LEAVES leaves, and joined by sorting beyond.
+repeated rows are read alike; a very long text counts with all its words; an empty table gives an empty result; input
+columns other than the id, the text and the path are returned by `select` as they were. The leaf table is broadcast up to MAX_LEAVES leaves, and joined by sorting beyond.
 """
 
 from functools import reduce
@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curves.llm.common import WORD_RE, n_words, stored, table
+from curves.llm.common import WORD_RE, free, n_words, quoted, stored, table
 
 PATH = ("domain", "lang", "source")
 MAX_LEAVES, RANGE, SEED, BUDGET_SHARE, EPOCHS = 50_000, 1000, 17, 0.5, 2
@@ -86,7 +86,8 @@ def allot(leaves: DataFrame, path: list[str], weights, share: float, epochs: int
 def plan(docs: DataFrame, id_col: str, tokens: Column, path: list[str], weights, share: float, epochs: int, seed: int) -> tuple[DataFrame, int]:
     """(path, full, thr): how often each leaf is read in full, and up to which hash in the next epoch; and the
     number of leaves."""
-    rows = stored(docs.select(*[F.coalesce(F.col(p), F.lit("")).alias(p) for p in path], F.col(id_col).alias("__id"), tokens.alias("n")))
+    own, path = path, [f"__p{i}" for i in range(len(path))]
+    rows = stored(docs.select(*[F.coalesce(quoted(p), F.lit("")).alias(k) for p, k in zip(own, path, strict=True)], quoted(id_col).alias("__id"), tokens.alias("n")))
     leaves = rows.groupBy(*path).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
     reads = stored(
         allot(leaves, path, weights, share, epochs)
@@ -115,21 +116,22 @@ def joined(rows: DataFrame, leaves: DataFrame, on: list[str], count: int) -> Dat
     return rows.join(F.broadcast(leaves) if count <= MAX_LEAVES else leaves.hint("merge"), on)
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = None, path: tuple[str, ...] = PATH, weights=WEIGHTS, share: float = BUDGET_SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs with __copies, how often each document is read. The budget is a share of all tokens."""
+def copies(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = None, path: tuple[str, ...] = PATH, weights=WEIGHTS, share: float = BUDGET_SHARE, epochs: int = EPOCHS, seed: int = SEED, copies_col: str = "__copies") -> DataFrame:
+    """docs with ``copies_col``, how often each document is read. The budget is a share of all tokens."""
+    docs = docs.drop(copies_col)
     tokens = n_words(F.col("text")) if tokens is None else tokens
     reads, count = plan(docs, id_col, tokens, list(path), weights, share, epochs, seed)
-    keys = {f"__{p}": F.coalesce(F.col(p), F.lit("")) for p in path}
-    reads = reads.select(*[F.col(p).alias(f"__{p}") for p in path], F.col("full").alias("__full"), F.col("thr").alias("__thr"))
-    out = joined(docs.withColumns(keys), reads, list(keys), count)
-    read = F.col("__full") + (_hash(F.col(id_col), F.col("__full") + 1, seed) <= F.col("__thr")).cast("long")
-    return out.withColumn("__copies", read).drop(*keys, "__full", "__thr")
+    *keys, full, thr = free(docs, *[f"k{i}" for i in range(len(path))], "full", "thr")
+    out = joined(docs.withColumns({k: F.coalesce(quoted(p), F.lit("")) for k, p in zip(keys, path, strict=True)}), reads.toDF(*keys, full, thr), keys, count)
+    read = F.col(full) + (_hash(quoted(id_col), F.col(full) + 1, seed) <= F.col(thr)).cast("long")
+    return out.withColumn(copies_col, read).select(*map(quoted, docs.columns), copies_col)
 
 
 def select(docs: DataFrame, **options) -> DataFrame:
     """The mix: each document as often as it is read."""
-    read = copies(docs, **options).filter("__copies > 0")
-    return read.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies")
+    times, copy = free(docs, "times", "copy")
+    read = copies(docs, copies_col=times, **options).filter(F.col(times) > 0)
+    return read.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(copy, times)
 
 
 def op8_mixing(spark, sf_dir):

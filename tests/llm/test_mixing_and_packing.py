@@ -75,7 +75,14 @@ def test_mix_of_odd_rows(spark):
     assert mixing.copies(docs.limit(0)).count() == 0
 
 
-def plain_best_fit(lengths, capacities, floor):
+def test_clashing_names_of_the_mix(spark):
+    docs = documents(spark, [prose(i, 30) for i in range(20)]).selectExpr("*", "'d' AS w", "'x' AS __full", "1 AS __thr", "2 AS __copies", "3 AS range", "4 AS `a.b`")
+    out = mixing.select(docs, path=("w", "lang", "source"), share=0.5, epochs=1)
+    assert out.columns == docs.columns and 0 < out.count() < 20
+    assert mixing.copies(docs, path=("w", "lang", "source")).count() == 20
+
+
+def plain_best_fit(lengths, capacities, floor, by=packing.cost):
     bins = []
     for i, n in enumerate(lengths):
         fits = [b for b in bins if b[0] >= n]
@@ -85,7 +92,7 @@ def plain_best_fit(lengths, capacities, floor):
             best = [b for b in fits if b[0] == left]  # any of them: the bins differ in number only
             best = max(best, key=lambda b: b[2])
         else:
-            best = [min((c for c in capacities if c >= max(n, floor)), key=packing.cost), [], 0]
+            best = [min((c for c in capacities if c >= max(n, floor)), key=by), [], 0]
             bins.append(best)
         best[1].append(i)
         best[0] -= n
@@ -98,11 +105,12 @@ def test_best_fit_equals_plain_version():
     for caps in ((8, 16, 32), (5, 50)):
         lengths = sorted((rng.randint(1, caps[-1]) for _ in range(200)), reverse=True)
         for floor in caps:
-            assert packing.best_fit(lengths, caps, floor) == plain_best_fit(lengths, caps, floor)
+            for by in (packing.cost, packing.rate):
+                assert packing.best_fit(lengths, caps, floor, by) == plain_best_fit(lengths, caps, floor, by)
         bins, sizes = packing.pack_items(lengths, caps)
         cost = sum(map(packing.cost, sizes))
-        for floor in caps:
-            other = [packing.downsized(sum(lengths[i] for i in b), caps) for b in plain_best_fit(lengths, caps, floor)]
+        for floor, by in [(c, f) for c in caps for f in (packing.cost, packing.rate)]:
+            other = [packing.downsized(sum(lengths[i] for i in b), caps) for b in plain_best_fit(lengths, caps, floor, by)]
             assert cost <= sum(map(packing.cost, other)) + 1e-9
         assert sorted(i for b in bins for i in b) == list(range(200))
 
@@ -120,6 +128,23 @@ def test_every_token_is_in_one_bin(spark):
     assert len({r.bin_id for r in out}) == len(out)
 
 
+def test_equal_rows_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 1000)
+    docs = spark.range(60_000).selectExpr("7L AS doc_id", "'same words here' AS text")
+    out = packing.pack(docs, docs_a_shard=2000)
+    sizes = [r.n for r in out.groupBy(F.split("bin_id", "-")[0]).agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert sum(sizes) == 60_000 and len(sizes) == 30 and max(sizes) < 2400
+    long = spark.range(50).selectExpr("7L AS doc_id", "repeat('w ', 40) AS text")
+    bins = packing.pack(long, capacities=(8, 16)).collect()
+    assert len({r.bin_id for r in bins}) == len(bins) and sum(r.n_tokens for r in bins) == 2000
+
+
+def test_a_very_long_text_is_many_bins(spark):
+    docs = documents(spark, ["w " * 100_000, None])
+    out = packing.pack(docs).collect()
+    assert sum(r.n_tokens for r in out) == 100_000 and sum(r.capacity == 8192 and r.n_tokens == 8192 for r in out) == 12
+
+
 def test_packing_of_odd_rows(spark):
     docs = documents(spark, ODD)
     ids = [d for r in packing.pack(docs).collect() for d in r.doc_ids]
