@@ -12,7 +12,9 @@ them keeps every component whole with at most 65 links for each fingerprint.
 
 Cases: null text counts as empty; a text without words has fingerprint zero and is linked like any other; rows
 with a null id get a fingerprint and the least non-null id of their component (null if there is none); repeated
-rows give repeated rows; an empty table gives an empty result; other input columns don't matter.
+rows give repeated rows; of tied documents of a component the one with the least text hash stays; a very long text is
+one row, whose shingles' bits are counted in blocks; an empty table gives an empty result; other input columns don't
+matter and are returned by `drop_near_duplicates` as they were.
 """
 
 from itertools import combinations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from curves.llm.common import stored, table
+from curves.llm.common import free, quoted, stored, table
 from curves.llm.components import components
 
 SHINGLE, DISTANCE, BUCKET = 3, 2, 64
@@ -32,13 +34,8 @@ SHINGLE, DISTANCE, BUCKET = 3, 2, 64
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint: bit i is set if it is in over half the hashes of the word shingles."""
-    ws = text.encode().lower().split()
-    if not ws:
-        return 0
-    grams = ws if shingle == 1 else [b" ".join(g) for g in zip(*(ws[k:] for k in range(shingle)), strict=False)] or [b" ".join(ws)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams))
+def majority(hashes: np.ndarray) -> int:
+    """Signed fingerprint of 64-bit hashes: bit i is set if it is in over half of them."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BLOCK):
         part = hashes[at : at + _BLOCK]
@@ -46,6 +43,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit fingerprint of the word shingles of a text, 0 without words."""
+    ws = text.encode().lower().split()
+    if not ws:
+        return 0
+    grams = ws if shingle == 1 else [b" ".join(g) for g in zip(*(ws[k:] for k in range(shingle)), strict=False)] or [b" ".join(ws)]
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)))
+
+
 def fingerprints(text: Column) -> Column:
     """Column of fingerprints, made by a pandas UDF."""
 
@@ -111,24 +117,25 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, __f, __t, __root, component_id) of every row of docs: its fingerprint, its text's hash, the least
+    """(id, f, t, root, component_id) of every row of docs: its fingerprint, its text's hash, the least
     fingerprint of its component and the least id."""
-    text = F.col(text_col)
-    rows = stored(docs.select(id_col, fingerprints(F.coalesce(text, F.lit(""))).alias("__f"), F.xxhash64(text).alias("__t")))
-    prints = stored(rows.groupBy(F.col("__f").alias("f")).agg(F.min(id_col).alias("least")))
+    text = quoted(text_col)
+    rows = stored(docs.select(quoted(id_col).alias("id"), fingerprints(F.coalesce(text, F.lit(""))).alias("f"), F.xxhash64(text).alias("t")))
+    prints = stored(rows.groupBy("f").agg(F.min("id").alias("least")))
     roots = components(links(prints.select("f")))
-    named = prints.join(roots.hint("merge"), F.col("f") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "f"))
-    least = named.groupBy("__root").agg(F.min("least").alias("component_id"))
-    groups = stored(named.select("f", "__root").join(least.hint("merge"), "__root").select("f", "__root", "component_id"))
-    return rows.join(groups.hint("merge"), F.col("__f") == F.col("f")).select(id_col, "__f", "__t", "__root", "component_id")
+    named = prints.join(roots.hint("merge"), F.col("f") == F.col("node"), "left").withColumn("root", F.coalesce("root", "f"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = stored(named.select("f", "root").join(least.hint("merge"), "root").select("f", "root", "component_id"))
+    return rows.join(groups.hint("merge"), "f").select("id", "f", "t", "root", "component_id")
 
 
 def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: the one with the least id, of several such the one with the least text hash.
-    Rows equal in id and text count as one document, and stay together. found: id, __t, __root, component_id."""
-    best = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("__root").agg(F.min(id_col).alias("__i"), F.min("__t").alias("__h"))
-    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(F.col(text_col)) == F.col("__h"))
-    return docs.join(best.select("__i", "__h").distinct().hint("merge"), same, "left_semi")
+    Rows equal in id and text count as one document, and stay together. found: id, t, root, component_id."""
+    i, h = free(docs, "i", "h")
+    best = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("id").alias(i), F.min("t").alias(h))
+    same = quoted(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(quoted(text_col)) == F.col(h))
+    return docs.join(best.select(i, h).distinct().hint("merge"), same, "left_semi")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,4 +146,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def op3_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("__f")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from curves.llm import near_copies
+from curves.llm import near_copies, simhash
 from tests.llm.data import ODD, documents, prose
 
 
@@ -53,6 +53,26 @@ def test_crowded_keys(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_columns_with_clashing_names_stay(spark):
+    docs = documents(spark, [prose(1, 80), prose(1, 80), prose(2, 80)]).selectExpr("*", "1 AS __i", "2 AS __h", "3 AS root", "4 AS v", "5 AS t", "6 AS i", "7 AS `x.y`")
+    kept = near_copies.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+    other = simhash.drop_near_duplicates(docs)
+    assert other.columns == docs.columns and sorted(r.doc_id for r in other.collect()) == [0, 2]
+
+
+def test_recall_of_edited_copies_by_the_share_of_words_changed(spark):
+    """Pairs of likeness 0.8 or more are found though they differ in many SimHash bits."""
+    texts, near = [prose(i, 400, 50_000) for i in range(40)], 0
+    for i in range(40):
+        texts.append(edited(texts[i], i, 1 + i % 12))
+        near += likeness(texts[i], texts[-1]) >= 0.8
+    apart = [(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)) % 2**64 for a, b in zip(texts, texts[40:], strict=False)]
+    kept = {r.doc_id for r in near_copies.drop_near_copies(documents(spark, texts)).collect()}
+    assert kept == set(survivors(texts)) and len(kept) == 80 - near and near >= 25
+    assert sum(x.bit_count() > 2 for x in apart) >= 20  # the multi-index alone would have left these
+
+
 def test_odd_rows(spark):
     docs = documents(spark, ODD)
     kept = near_copies.drop_near_copies(docs)

@@ -86,7 +86,7 @@ def test_near_duplicates_and_odd_rows(spark):
     assert len(found) == len(texts)
     by = {}
     for r in found:
-        by.setdefault(r["__f"], set()).add(r.component_id)
+        by.setdefault(r["f"], set()).add(r.component_id)
     assert all(len(v) == 1 for v in by.values())
     n = len(ODD)
     ids = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
