@@ -1,18 +1,24 @@
 """Line dedup: overlapping three-line windows.
 
 A document is its sequence of lines with a word, each trimmed of ASCII white space. Every run of three such
-lines is a window (a document with one or two has one window: all of them), and so is a single line of more than
-LONG words, which is a passage by itself though its neighbours differ. With ``pairs``, which the pipeline sets and
-op10_line_dedup's SQL doesn't have, two neighbouring lines of more than LONG words together are a window too. A passage
-that starts or ends inside a line is in no window but those of its whole lines. Over all documents, the first
-occurrence of a window, by (id, text hash, position), stays; every line that a later occurrence covers goes.
-A removed line always has an equal line earlier in that order, so no line vanishes from the corpus.
-
-Shuffles: windows as four longs and a position, counted with partial aggregation, joined by their two hashes
-(Spark splits a hot window in the sort-merge join), and the texts once, by id, to apply the removals.
-
-Cases: null text has no lines and stays null; null ids sort first; rows equal in id and text count as one
-document and get one result; an empty table gives an empty result; other columns are returned as they were.
+lines is a window (a document with one or two has one window: all of them). Over all documents, the first
+occurrence of a window, by (id, text hash, position), stays; every line that a later occurrence covers goes, so
+overlapping windows merge. A removed line always has an equal line earlier in that order, so no line vanishes from
+the corpus.
+
+``passage_words`` (off by default) adds windows for passages of fewer lines than a window, which no run of three lines
+can find if their neighbours differ: a single line of more than so many words, and two neighbouring lines of more than
+so many words together. op10_line_dedup and the pipeline set PASSAGE. A passage that starts or ends inside a
+line is in no window but those of its whole lines.
+
+Shuffles: windows as four longs and a position, counted with partial aggregation and joined by their two hashes; the
+texts once, by id, to apply the removals. Both joins read plain exchanges of written tables, so that Spark can split
+a window that a third of all documents share, and rows that repeat.
+
+Cases: null text has no lines and stays null; empty and blank texts stay as they are; null ids sort first; rows equal
+in id and text count as one document and get one result, and equal windows within a text are ordered by position; a
+very long text is one row, with about as many windows as lines; an empty table gives an empty result; other
+columns are returned as they were, and a column named like the count is replaced.
 """
 
 from __future__ import annotations
@@ -20,9 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curves.llm.common import SPACE_RE, SPACES, let, order_id, stored
+from curves.llm.common import SPACE_RE, SPACES, free, let, order_id, quoted, stored
 
-LINES, LONG = 3, 50
+LINES, PASSAGE = 3, 50
 
 
 def _units(lines: Column) -> Column:
@@ -33,41 +39,46 @@ def _units(lines: Column) -> Column:
     )
 
 
-def _windows(text: Column, size: int, pairs: bool = False) -> Column:
+def _windows(text: Column, size: int, passage_words: int | None) -> Column:
     """Array of (position, lines, two hashes) of the windows of a text."""
 
-    def twos(n: Column, counts: Column) -> Column:
-        """First lines, counted from 1, of the two-line windows."""
-        at = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.filter(at, lambda i: F.get(counts, i - 1) + F.get(counts, i) > LONG)
-
-    def of(ts: Column) -> Column:
-        n = F.size(ts)
-        one = lambda i, k: let(
+    def one(ts: Column, i: Column, k: Column) -> Column:
+        return let(
             F.slice(ts, i, k),
             lambda s: F.struct((i - 1).alias("p"), k.alias("k"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit("second"), s).alias("b")),
         )
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: one(i, F.least(n, F.lit(size))))
-        long = F.filter(F.sequence(F.lit(1), n), lambda i: (n > 1) & (F.size(F.split(F.get(ts, i - 1), SPACE_RE)) > LONG))
+
+    def passages(ts: Column, n: Column, counts: Column) -> list[Column]:
+        """First lines, counted from 1, of the one-line and the two-line windows."""
+        none = F.array().cast("array<int>")
+        ones = F.when(n > 1, F.sequence(F.lit(1), n)).otherwise(none)
+        twos = F.when(n > 2, F.sequence(F.lit(1), n - 1)).otherwise(none)
+        return [
+            F.transform(F.filter(ones, lambda i: F.get(counts, i - 1) > passage_words), lambda i: one(ts, i, F.lit(1))),
+            F.transform(F.filter(twos, lambda i: F.get(counts, i - 1) + F.get(counts, i) > passage_words), lambda i: one(ts, i, F.lit(2))),
+        ]
+
+    def of(ts: Column) -> Column:
+        n = F.size(ts)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: one(ts, i, F.least(n, F.lit(size))))
         none = F.array().cast("array<struct<p:int,k:int,a:bigint,b:bigint>>")
-        found = [runs, F.transform(long, lambda i: one(i, F.lit(1)))]
-        if pairs:
-            counts = F.transform(ts, lambda t: F.size(F.split(t, SPACE_RE)))
-            found.append(F.transform(let(counts, lambda c: twos(n, c)), lambda i: one(i, F.lit(2))))
-        return F.when(n > 0, F.concat(*found)).otherwise(none)
+        if passage_words is None:
+            return F.when(n > 0, runs).otherwise(none)
+        counts = F.transform(ts, lambda t: F.size(F.split(t, SPACE_RE)))
+        return F.when(n > 0, let(counts, lambda c: F.concat(runs, *passages(ts, n, c)))).otherwise(none)
 
     units = _units(F.split(F.coalesce(text, F.lit("")), "\n"))
     return let(F.transform(units, lambda u: u["t"]), of)
 
 
-def later_windows(docs: DataFrame, id_col: str, text_col: str, size: int = LINES, pairs: bool = False) -> DataFrame:
-    """(__d, __t, __cover): for each document, (position, lines) of the windows that occur earlier in the corpus."""
-    keyed = docs.select(order_id(F.col(id_col)).alias("__d"), F.xxhash64(F.col(text_col)).alias("__t"), F.inline(_windows(F.col(text_col), size, pairs)))
-    windows = stored(keyed)
-    here = F.struct("__d", "__t", "p")
-    first = windows.groupBy("a", "b").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+def later_windows(docs: DataFrame, id_col: str, text_col: str, size: int = LINES, passage_words: int | None = None) -> DataFrame:
+    """(d, t, cover): for each document, (position, lines) of the windows that occur earlier in the corpus."""
+    text = quoted(text_col)
+    windows = stored(docs.select(order_id(quoted(id_col)).alias("d"), F.xxhash64(text).alias("t"), F.inline(_windows(text, size, passage_words))))
+    here = F.struct("d", "t", "p")
+    first = stored(windows.groupBy("a", "b").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = windows.join(first.hint("merge"), ["a", "b"]).filter(here > F.col("first"))
-    return later.groupBy("__d", "__t").agg(F.collect_set(F.struct("p", "k")).alias("__cover"))
+    return stored(later.groupBy("d", "t").agg(F.collect_set(F.struct("p", "k")).alias("cover")))
 
 
 def _without(text: Column, cover: Column) -> Column:
@@ -88,26 +99,23 @@ def _without(text: Column, cover: Column) -> Column:
     return let(F.split(text, "\n"), lambda lines: let(F.transform(_units(lines), lambda u: u["i"]), lambda at: cut(lines, at)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES, pairs: bool = False) -> DataFrame:
-    """docs with later occurrences of repeated windows removed from the text, and the number of removed lines
-    as ``__removed``."""
-    later = later_windows(docs, id_col, text_col, size, pairs)
-    joined = docs.withColumns({"__d": order_id(F.col(id_col)), "__t": F.xxhash64(F.col(text_col))}).join(
-        later.hint("merge"), ["__d", "__t"], "left"
-    )
-    done = F.when(F.col("__cover").isNotNull(), _without(F.col(text_col), F.col("__cover"))).otherwise(
-        F.struct(F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n"))
-    )
-    names = docs.columns
-    out = joined.select(*[f"`{c}`" for c in names], F.inline(F.array(F.struct(done.alias("__done")))))
-    return out.select(
-        *[F.col("__done.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.col("__done.n").alias("__removed")
-    )
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES, passage_words: int | None = None, removed_col: str = "__removed") -> DataFrame:
+    """docs with later occurrences of repeated windows removed from the text, and the number of removed lines as
+    ``removed_col``."""
+    docs = docs.drop(removed_col)
+    names, text = docs.columns, quoted(text_col)
+    d, t, cover, result = free(docs, "d", "t", "cover", "result")
+    later = later_windows(docs, id_col, text_col, size, passage_words).toDF(d, t, cover)
+    joined = docs.withColumns({d: order_id(quoted(id_col)), t: F.xxhash64(text)}).join(later.hint("merge"), [d, t], "left")
+    unchanged = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
+    done = F.when(F.col(cover).isNotNull(), _without(text, F.col(cover))).otherwise(unchanged)
+    out = joined.select(*map(quoted, names), F.inline(F.array(F.struct(done.alias(result)))))
+    return out.select(*[F.col(f"{result}.text").alias(c) if c == text_col else quoted(c) for c in names], F.col(f"{result}.n").alias(removed_col))
 
 
 def op10_line_dedup(spark, sf_dir):
     """Lines removed from every document, and a digest of what is left."""
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage_words=PASSAGE)
     return out.select(
         "doc_id",
         F.col("__removed").alias("n_removed_lines"),
@@ -120,11 +128,14 @@ ORACLE = rf"""
 WITH line AS (SELECT doc_id, i, s, trim(s, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
               FROM (SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS i
                     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
-unit AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, count(*) OVER (PARTITION BY doc_id) AS n
+unit AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, count(*) OVER (PARTITION BY doc_id) AS n,
+                len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words
          FROM line WHERE t <> ''),
-win AS (SELECT doc_id, p, n, list(t) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {LINES - 1} FOLLOWING) AS g FROM unit),
+win AS (SELECT doc_id, p, n, words, list(t) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {LINES - 1} FOLLOWING) AS g,
+               t, lead(t) OVER (PARTITION BY doc_id ORDER BY p) AS t2, lead(words) OVER (PARTITION BY doc_id ORDER BY p) AS words2 FROM unit),
 full_win AS (SELECT doc_id, p, g FROM win WHERE p <= greatest(n - {LINES - 1}, 1)
-             UNION ALL SELECT doc_id, p, [t] FROM unit WHERE n > 1 AND len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) > {LONG}),
+             UNION ALL SELECT doc_id, p, [t] FROM win WHERE n > 1 AND words > {PASSAGE}
+             UNION ALL SELECT doc_id, p, [t, t2] FROM win WHERE n > 2 AND words + words2 > {PASSAGE}),
 later AS (SELECT doc_id, p, len(g) AS h FROM (SELECT doc_id, p, g, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM full_win) WHERE k > 1),
 gone AS (SELECT DISTINCT u.doc_id, u.i FROM later l JOIN unit u ON u.doc_id = l.doc_id AND u.p BETWEEN l.p AND l.p + l.h - 1),
 left_over AS (SELECT l.doc_id, string_agg(s, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text, count(g.i) AS n

@@ -7,6 +7,7 @@ from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from curves.llm import line_dedup, quality_rules
@@ -56,8 +57,8 @@ def test_clean_keeps_columns_and_odd_rows_have_results(spark):
     assert quality_rules.clean(docs.limit(0)).count() == 0
 
 
-def dedup(texts):
-    """Plain version; texts in order of id."""
+def dedup(texts, passage=None):
+    """Plain version; texts in order of id. passage: words that make one or two lines a window of their own."""
     seen, out = set(), []
     for t in texts:
         lines = t.split("\n")
@@ -65,7 +66,9 @@ def dedup(texts):
         units = [lines[i].strip(" \t\n\x0b\x0c\r") for i in at]
         gone = set()
         runs = [(p, tuple(units[p : p + 3])) for p in range(max(len(units) - 2, min(len(units), 1)))]
-        for p, w in runs + [(p, (x,)) for p, x in enumerate(units) if len(units) > 1 and len(x.split()) > 50]:
+        for k in (1, 2) if passage is not None else ():
+            runs += [(p, tuple(units[p : p + k])) for p in range(len(units) - k + 1) if len(units) > k and len(" ".join(units[p : p + k]).split()) > passage]
+        for p, w in sorted(runs, key=lambda r: r[0]):
             if w in seen:
                 gone.update(at[p : p + len(w)])
             seen.add(w)
@@ -73,8 +76,8 @@ def dedup(texts):
     return out
 
 
-def _deduped(spark, texts):
-    out = line_dedup.dedup_lines(documents(spark, list(enumerate(texts))))
+def _deduped(spark, texts, passage=None):
+    out = line_dedup.dedup_lines(documents(spark, list(enumerate(texts))), passage_words=passage)
     return [r.text for r in out.orderBy("doc_id").collect()]
 
 
@@ -84,17 +87,59 @@ def test_later_windows_go(spark):
     assert _deduped(spark, texts)[1] == "x\n\ny" and _deduped(spark, texts)[3] == ""
 
 
-def test_a_long_line_is_a_window(spark):
+def test_a_long_line_is_a_window_if_asked(spark):
     long, short = prose(1, 51), prose(2, 50)
     texts = [f"a\n{long}\nb\n{short}", f"c\n{long}\nd\n{short}", long, f"{long}\n{long}", long]
+    assert _deduped(spark, texts, 50) == dedup(texts, 50)
+    assert _deduped(spark, texts, 50)[1] == f"c\nd\n{short}" and _deduped(spark, texts, 50)[2:] == ["", "", ""]
     assert _deduped(spark, texts) == dedup(texts)
-    assert _deduped(spark, texts)[1] == f"c\nd\n{short}" and _deduped(spark, texts)[2:] == ["", "", ""]
+    assert _deduped(spark, texts)[1] == texts[1]
 
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["a", "b", "c", " ", ""]), max_size=9).map("\n".join), min_size=1, max_size=12))
 def test_any_lines(spark, texts):
     assert _deduped(spark, texts) == dedup(texts)
+    assert _deduped(spark, texts, 1) == dedup(texts, 1)
+
+
+def test_a_hot_window_and_hot_rows_can_be_split(spark):
+    """With a third of all windows one window, both sides of its join are plain exchanges: Spark's plan says skew."""
+    spread = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in spread}
+    for k, v in spread.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('one\ntwo\nthree\n', id, '\n', id + 1, '\n', id + 2) AS text", "1 AS d", "2 AS cover", "'x' AS __d")
+        windows = docs.select("doc_id", line_dedup._windows(docs["text"], 3, None).alias("w")).selectExpr("doc_id AS d", "inline(w)")
+        windows = line_dedup.stored(windows)
+        first = line_dedup.stored(windows.groupBy("a", "b").agg(F.min("d").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+        met = windows.join(first.hint("merge"), ["a", "b"])
+        assert met.count() >= 20_000
+        out = line_dedup.dedup_lines(docs)
+        assert out.columns == [*docs.columns, "__removed"]
+        assert out.agg(F.sum("__removed")).first()[0] >= 3 * 19_999
+        met.write.format("noop").mode("overwrite").save()
+        frame = met.select("d")
+        frame.collect()
+        assert "skew=true" in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    long = prose(1, 200_000, 50_000)
+    docs = documents(spark, [f"{long}\nAll rights reserved.", f"{long[:1_000_000]}\na\nb"]).selectExpr("*", "'a' AS __text", "'b' AS `__text_`", "7 AS __d", "8 AS __removed", "9 AS `a.b`")
+    out = quality_rules.clean(docs)
+    assert out.columns == docs.columns
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[0].text == long and rows[0]["__text"] == "a" and rows[0]["a.b"] == 9 and len(rows) == 2
+    again = line_dedup.dedup_lines(docs.unionByName(docs), passage_words=50)
+    assert sorted(again.columns) == sorted(docs.columns) and {r["__removed"] for r in again.collect()} == {0}
 
 
 def test_odd_rows(spark):
@@ -115,8 +160,8 @@ def test_the_stage_takes_two_lines_as_a_window(spark):
 
 
 def test_the_stage_leaves_sentences_about_boilerplate_topics(spark):
-    clean = ["The analog input and the catalog index differ.", "They design in the old style.", "Bake the cookie for ten minutes.", "Copyright is a right of authors in most countries of the world.", "His newsletter was read by many.", "The car was powered by steam and coal."]
-    bad = ["Copyright 2020 Some Body", "© 2021 Some", "All rights reserved.", "Log in", "Sign in to your account to go on", "We use cookies for this site.", "Accept all cookies", "Subscribe to our newsletter", "Powered by Press", "Read our privacy policy", "Privacy Policy", "Click here to go on"]
-    texts = ["\n".join(clean), "\n".join([prose(1, 90), *bad])]
+    clean = ["The analog input and the catalog index differ.", "They design in the old style.", "Bake the cookie for ten minutes.", "Copyright is a right of authors in most countries of the world.", "His newsletter was read by many.", "The car was powered by steam and coal.", "Die Rechte der Autoren sind in diesem Land alle gut bekannt.", "El derecho de autor y la licencia son cosas distintas.", "The album was released under the label of her friend."]
+    bad = ["Copyright 2020 Some Body", "© 2021 Some", "All rights reserved.", "Log in", "Sign in to your account to go on", "We use cookies for this site.", "Accept all cookies", "Subscribe to our newsletter", "Powered by Press", "Read our privacy policy", "Privacy Policy", "Click here to go on", "Alle Rechte vorbehalten.", "Impressum", "Tous droits réservés", "Conditions d'utilisation", "Todos los derechos reservados.", "Aceptar todas las cookies", "Released under the MIT License."]
+    texts = ["\n".join(clean), "\n".join([prose(1, 300), *bad])]
     got = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, documents(spark, texts), "").collect()}
-    assert got == {0: texts[0], 1: prose(1, 90)}
+    assert got == {0: texts[0], 1: prose(1, 300)}
