@@ -10,8 +10,8 @@ in each round every partition runs AdaGrad passes from the same start, and the p
 by their row counts. A partition returns one parameter vector, whose size doesn't depend on the data.
 
 Cases: null and empty texts have the constant and size features alone and get a score like any other; a null id
-counts as an empty text in the fold rule; repeated rows get equal scores; without training rows the score is 0.5;
-an empty table gives an empty result; other input columns don't matter.
+counts as an empty text in the fold rule; repeated rows get equal scores and are trained on once; without training rows
+the score is 0.5; a very long text is scored with its distinct words' features alone; an empty table gives an empty result; other input columns don't matter.
 """
 
 import zlib
@@ -101,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, fold: int, max_rows: i
             yield pd.DataFrame({"label": pdf["label"].astype("float32"), "idx": [r[0] for r in got], "val": [r[1] for r in got]})
 
     made = rows.filter("label in (0, 1)").mapInPandas(extract, "label float, idx array<int>, val array<float>")
-    sample = stored(made.repartition(max(1, round(expected / ROWS_A_PARTITION))))
+    parts = max(1, round(expected / ROWS_A_PARTITION))  # dealt and ordered by content, so that every run trains alike
+    sample = stored(made.withColumn("h", F.xxhash64("idx", "val")).repartition(parts, "h").sortWithinPartitions("h", "label").drop("h"))
     params = _start()
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
