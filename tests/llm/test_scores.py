@@ -13,14 +13,17 @@ DATA = "/root/testdata/sf0.1"
 
 
 def test_clauses_not_words_are_scored():
-    score = Grammar({"=zork": 0.6}).score
+    score = Grammar({"=zork": 0.8}).score
     assert score("a fine day. nothing here") == score("") == 0
-    assert score("you are an idiot") > score("the word idiot") > 0.3
+    for lone in ("idiot", "scum", "this stupid printer jammed", "the word idiot", "a zork"):
+        assert 0 < score(lone) < 0.3
+    assert score("you are an idiot") > 0.5 and score("idiot scum") > 0.5 and score("an idiot and, as ever, a moron") > 0.5
     assert score("you are not an idiot") < 0.3 < score("you are an idiot. it is not so")
-    assert score("they said idiot") < score("idiot they")
+    assert 0.3 < score("they said idiot") < score("idiot they")
     assert score("i will kill you") > 0.3 and score("kill the lights") == 0
     assert score("never will kill you") < score("i will kill you")
-    assert score("a zork") == pytest.approx(0.6) and score("a zork\nanother zork") == pytest.approx(1 - 0.4**2)
+    assert score("a zork\nanother zork") > 0.3  # a second clause repeats it
+    assert score("a zork. " + "word " * 500 + "zork") == score("a zork\nanother zork")
 
 
 def test_composed_machine_forgets():
@@ -29,6 +32,79 @@ def test_composed_machine_forgets():
     assert near < far == score("idiot")
 
 
+def plain_emissions(clauses):
+    """The grammar by positions instead of states; clauses: lists of (class, weight)."""
+    out, before = [], False
+    for clause in clauses:
+        kinds, held, insulted, spent = [k for k, _ in clause], None, False, set()
+        for i, (kind, weight) in enumerate(clause):
+            said = 0.6 if toxicity.REPORT in kinds[:i] else 1.0
+            told = said * (0.3 if toxicity.NEGATION in kinds[max(i - 2, 0) : i] else 1.0)
+            waiting = [j for j in range(max(i - 3, 0), i) if kinds[j] == toxicity.VIOLENCE][-1:]
+            waiting = [j for j in waiting if not spent & set(range(j, i))]
+            if kind == toxicity.INSULT:
+                aimed = toxicity.TARGET in kinds[max(i - 4, 0) : i]
+                if aimed or insulted or waiting:
+                    out.append(("aimed" if aimed else "piled", max(weight * told, held[1] if held else 0.0)))
+                    held = None
+                else:
+                    held = i, weight * told
+                insulted = True
+            if kind == toxicity.TARGET:
+                if waiting:
+                    out.append(("threat", said * (0.3 if toxicity.NEGATION in kinds[max(waiting[0] - 2, 0) : waiting[0]] else 1.0)))
+                    spent.add(i)
+                elif held and i - held[0] <= 2:
+                    out.append(("aimed", held[1]))
+                    held = None
+        if held:
+            out.append(("repeated" if before else "lone", held[1]))
+            before = True
+    return out
+
+
+def test_grammar_equals_plain_version_on_random_clauses():
+    rng, grammar = np.random.default_rng(4), Grammar({})
+    patterns = set()
+    for _ in range(4000):
+        clauses = [[(int(k), 0.7) for k in rng.choice(6, rng.integers(1, 9), p=[0.35, 0.2, 0.1, 0.15, 0.1, 0.1])] for _ in range(rng.integers(1, 4))]
+        seen = [((k, w, i + 1 == len(c)), 0) for c in clauses for i, (k, w) in enumerate(c)]
+        want = plain_emissions(clauses)
+        assert grammar.match(seen) == [(p, pytest.approx(s)) for p, s in want]
+        patterns |= {p for p, _ in want}
+        packed = []  # plain words as counts, as texts are read
+        for (k, w, end), _ in seen:
+            if k or end or not packed:
+                packed.append(((k, w, end), 0))
+            else:
+                packed[-1] = packed[-1][0], packed[-1][1] + 1
+        assert grammar.match(packed) == grammar.match(seen)
+    assert patterns == {*toxicity.PATTERNS, "lone"}
+
+
+def test_the_states_decide_and_learned_pattern_weights_follow_the_labels(spark):
+    """Insults at people are toxic here, the same words alone or reported are not: word counts can't tell them apart."""
+    rng = np.random.default_rng(6)
+    texts, toxic = [], []
+    for i in range(600):
+        word, tail = rng.choice(["idiot", "clown", "trash"]), prose(i, 30)
+        kind = i % 3
+        texts.append(f"{tail}. {['you ' + word, 'the ' + word, 'nothing'][kind]} here. {prose(i + 999, 20)}")
+        toxic.append(int(kind == 0))
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id bigint, quality int, toxic int")
+    out = {r.doc_id: r for r in toxicity.toxicity(docs, labels, 4, 2).collect()}
+    assert all(out[i].predicted == y for i, y in enumerate(toxic))
+    _, patterns = toxicity.learn(docs, labels, 4, 2)
+    assert patterns["aimed"] > 0.9
+
+
+def test_very_long_texts_are_read_whole():
+    score = Grammar({}).score
+    assert score("word " * 1_000_000 + ". you idiot") == score("you idiot")
+    assert len(quality_fm.features("word " * 1_000_000)[0]) < 100
+
+
 @pytest.mark.parametrize(("op", "label", "least"), [(toxicity.op1_toxicity, "toxic", 0.9), (quality_fm.op7_quality_fm, "quality", 0.99)])
 def test_held_out_accuracy(spark, op, label, least):
     out = op(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").filter("held_out").toPandas()
