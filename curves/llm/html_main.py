@@ -1,24 +1,30 @@
 """HTML extraction by site template removal.
 
-A page is parsed into its element tree, and each subtree outside the main content that is not dropped by name is
-hashed (tag, class and id, and all text and tags below it). Spark counts, for each host, on how many of its pages a
-hash occurs; subtrees on at least MIN_PAGES pages and MIN_SHARE of the host's pages are the host's template and are
-deleted before the text is taken. Pages of a host with the same main text, taken without templates, count as one, so
-that copies of a page under many ids and urls don't make its own text a template. Elements whose tag, role, class or id names a menu, header, footer, sidebar,
-notice, advert, form or comments go on every page, since they may be different on each.
+A page is parsed into its element tree, and each subtree outside the main content is hashed twice: whole (tag, class
+and id, and all text and tags below it), and as a skeleton (tag, class and id, whether most of its text is links, and
+the skeletons below it, of which equal neighbours count as one), so that a menu or an advert with other words or more
+items on every page is still the same. Spark counts, for each host, on how many of its pages a hash occurs; subtrees
+on at least MIN_PAGES pages and MIN_SHARE of the host's pages are the host's template and are deleted before the text is
+taken. Pages of a host with the same main text, taken without templates, count as one, so that copies of a page under many
+ids and urls don't make its own text a template.
 
 Main content is the first ``article``, ``main`` or ``role=main`` element with text that is not inside a dropped one
-(several articles of a page all count), else the body. Inside an article a recurring subtree goes only if it holds
-a link or a control: a paragraph that pages share is still part of their articles.
+(several articles of a page all count), else the body. Inside an article a recurring subtree goes only if it is equal as
+a whole and holds a link or a control: a paragraph that pages share is still part of their articles. On a page without an
+article a skeleton counts only if most of its text is links, since the skeletons of plain paragraphs are alike everywhere.
+
+Elements whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert, form or comments go too
+(``names``): hosts with few pages have no template, and a notice may be on few pages. They are counted like all others.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are trimmed and empty
 ones left out, and the blocks are joined by an empty line.
 
-Shuffles: distinct (host, main text's hash, hash) and their counts, with partial aggregation; the hashes of a page that are template, by page; the pages
-once, by id. Cases: null and empty html give an empty text; a null or odd url is the host ""; rows equal in id, url
-and html each get the same result; null ids are a key of their own; an
-empty table gives an empty result; other input columns don't matter. Unclosed, misnested and cut-off markup is read
-to its end.
+Shuffles: distinct (host, main text's hash, hash) and their counts, with partial aggregation; the hashes of a page that
+are template, by host and hash and then by page; the pages once, by id. The joins read written tables, so that Spark can
+split a host or a page that a third of all rows have. Cases: null and empty html give an empty text; a null or odd url is the host "";
+rows equal in id, url and html each get the same result, and so do ties of ids with other html; null ids are a key of
+their own; a very long page is parsed in time linear in its length, by one task; an empty table gives an empty result;
+other input columns don't matter. Unclosed, misnested and cut-off markup is read to its end.
 """
 
 import hashlib
@@ -30,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curves.llm.common import order_id, stored, table
+from curves.llm.common import order_id, quoted, stored, table
 
 MIN_PAGES, MIN_SHARE = 10, 0.2
 
@@ -47,12 +53,16 @@ CLOSES_P = frozenset(
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table tbody thead tfoot select".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+_PARTS = r"(?:[-_](?:box|bar|wrap|wrapper|container|list|links?|section|area|block|unit|slot|posts?|articles?|stories|items?|content|inner|outer|top|bottom|left|right|header|title|form|banner|buttons?|icons?|media|signup|trail|body|text|author|meta|reply|\d+))*"
+#: Whole names in class and id: one of these, with words before it and parts of a layout after it.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe\w*|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|masthead|topbar|toolbar|pagination|pager|share|sharing|social|"
-    r"related|recommended|comments?|commentlist|disqus|respond|replies|login|signup|search)(?:$|[\s_-])"
+    r"(?:^|\s)(?:(?:[a-z0-9]+[-_]){0,3}(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe\w*|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|footer|masthead|topbar|toolbar|pagination|pager|share|sharing|social|"
+    r"comments?|commentlist|disqus|respond|replies|login|signup|search)|side|related|recommended|"
+    r"(?:cookies?|site|page|top|legal|privacy|copyright|gdpr|consent)[-_]notice|notice)" + _PARTS + r"(?=$|\s)"
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
+#: A quote opens a value only after "=", and an unclosed one runs to the end; so every match goes on from where the last ended.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
 
@@ -66,24 +76,45 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-def parse(page: str) -> Node:
-    """The element tree of a page. Raw elements keep no content."""
-    root = Node("html", {})
-    stack, at, n = [root], 0, len(page)
+class _Open:
+    """The stack of open elements, with the places of those that rules ask for, so that closing needs no search."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.stops = [root], {}, {name: [0] for name in _STOPS}
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        for name, tags in _STOPS.items():
+            if node.tag in tags:
+                self.stops[name].append(at)
+
+    def close(self, tags: frozenset | set, stop: str | None = None) -> None:
+        """Close the innermost open element of tags, unless an element of the stop group lies within it."""
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        if not at or (stop and self.stops[stop][-1] > at):
+            return
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
+            for places in self.stops.values():
+                if places[-1] == len(self.nodes):
+                    places.pop()
+
 
-    def close(names: frozenset | set, stops: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in stops:
-                return
+_STOPS = {"p": LISTS | DROPPED | {"article", "main", "section", "div"}, "item": LISTS}
+_P = frozenset({"p"})
 
+
+def parse(page: str) -> Node:
+    """The element tree of a page, in one pass. Raw elements keep no content."""
+    root = Node("html", {})
+    stack, at, n = _Open(root), 0, len(page)
     while at < n:
         found = _TOKEN.search(page, at)
         text = page[at : found.start()] if found else page[at:]
         if text:
-            stack[-1].children.append(text)
+            stack.nodes[-1].children.append(text)
         if not found:
             break
         at = found.end()
@@ -91,27 +122,30 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if found[1]:
-            close({tag}, frozenset())
+            stack.close({tag})
             continue
         if tag in ("html", "body"):
             continue
         if tag in CLOSES_P:
-            close({"p"}, LISTS | DROPPED | {"article", "main", "section", "div"})
+            stack.close(_P, "p")
         elif tag in ITEMS:
-            close(ITEMS[tag], LISTS)
+            stack.close(ITEMS[tag], "item")
         attrs = {a[1].lower(): entities.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(found[3])} if found[3].strip() else {}
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in RAW or tag == "title":
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
         elif tag not in VOID and not found[3].rstrip().endswith("/"):
-            stack.append(node)
+            stack.push(node)
     return root
 
 
-def dropped(node: Node, inside: bool) -> bool:
-    """Whether an element goes by its own name; inside: of an article, whose own header stays."""
+def dropped(node: Node, inside: bool, names: bool = True) -> bool:
+    """Whether an element goes by its own name; inside: of an article, whose own header stays. Without names, only what
+    is never text goes."""
+    if not names:
+        return node.tag in RAW or node.tag in ("head", "title")
     if node.tag in DROPPED:
         return not (inside and node.tag == "header")
     if "hidden" in node.attrs or node.attrs.get("role", "").lower() in ROLES:
@@ -124,45 +158,78 @@ def is_main(node: Node) -> bool:
     return node.tag in ("article", "main") or node.attrs.get("role") == "main"
 
 
-def digests(root: Node) -> tuple[dict[int, int], set[int]]:
-    """Hash of each subtree by the node's identity, and the identities of those that hold a link or control."""
-    hashes, linked, order, todo = {}, set(), [], [root]
+def _digest(parts: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+class Marks:
+    """Of a node: the hashes of its subtree, whole and as a skeleton, whether it holds a link or control or is or holds
+    main content, and how many characters it has, and of them in links."""
+
+    __slots__ = ("chars", "linked", "links", "main", "skeleton", "whole")
+
+    def __init__(self, node: Node, marks: dict[int, "Marks"]):
+        own = [node.tag, node.attrs.get("class", ""), node.attrs.get("id", "")]
+        whole, bones, last = list(own), [], None
+        self.chars = self.links = 0
+        self.linked, self.main = node.tag in ("a", "button", "input"), is_main(node)
+        for c in node.children:
+            if isinstance(c, Node):
+                below = marks[id(c)]
+                whole.append(str(below.whole))
+                if below.skeleton != last:
+                    bones.append(str(below.skeleton))
+                last = below.skeleton
+                self.linked |= below.linked
+                self.main |= below.main
+                self.chars += below.chars
+                self.links += below.links
+            else:
+                text = _SPACE.sub(" ", c).strip()
+                whole.append(text)
+                self.chars += len(text)
+        if node.tag == "a":
+            self.links = self.chars
+        self.whole = _digest(whole)
+        self.skeleton = _digest([*own, "links" if self.dense else "text", *bones])
+
+    @property
+    def dense(self) -> bool:
+        """Whether at least half of the text is links."""
+        return self.links * 2 >= self.chars > 0
+
+
+def marked(root: Node) -> dict[int, Marks]:
+    """The marks of each node, by its identity."""
+    marks: dict[int, Marks] = {}
+    order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node.children if isinstance(c, Node)]
     for node in reversed(order):
-        parts = [node.tag, node.attrs.get("class", ""), node.attrs.get("id", "")]
-        for c in node.children:
-            if isinstance(c, Node):
-                parts.append(str(hashes[id(c)]))
-                if id(c) in linked:
-                    linked.add(id(node))
-            else:
-                parts.append(_SPACE.sub(" ", c).strip())
-        if node.tag in ("a", "button", "input"):
-            linked.add(id(node))
-        digest = hashlib.blake2b("\x1f".join(parts).encode("utf-8", "replace"), digest_size=8).digest()
-        hashes[id(node)] = int.from_bytes(digest, "big", signed=True)
-    return hashes, linked
-
-
-def removable(root: Node) -> list[tuple[Node, int]]:
-    """(node, hash) of the subtrees that may be template: not dropped already; inside an article, with a link."""
-    hashes, linked = digests(root)
-    out, todo = [], [(c, False) for c in root.children if isinstance(c, Node)]
+        marks[id(node)] = Marks(node, marks)
+    return marks
+
+
+def removable(root: Node) -> list[tuple[Node, tuple[int, ...]]]:
+    """(node, hashes) of the subtrees that may be template, those that names drop included: outside the main content
+    by the whole and the skeleton, inside an article by the whole if it holds a link."""
+    marks, out = marked(root), []
+    article = marks[id(root)].main
+    todo = [(c, False) for c in root.children if isinstance(c, Node)]
     while todo:
         node, inside = todo.pop()
-        if dropped(node, inside):
-            continue
-        main = is_main(node)
-        if not main and (not inside or (id(node) in linked and node.tag not in INLINE)):
-            out.append((node, hashes[id(node)]))
+        m, main = marks[id(node)], is_main(node)
+        if not inside and not m.main:
+            out.append((node, (m.whole, m.skeleton) if article or m.dense else (m.whole,)))
+        elif inside and not main and m.linked and node.tag not in INLINE:
+            out.append((node, (m.whole,)))
         todo += [(c, inside or main) for c in node.children if isinstance(c, Node)]
     return out
 
 
-def _blocks(top: list[Node], gone: set[int], article: bool = True) -> list[str]:
+def _blocks(top: list[Node], gone: set[int], article: bool, names: bool) -> list[str]:
     """The texts below the nodes top; article: whether they are main content, whose own header stays."""
     blocks, words = [], []
 
@@ -178,7 +245,7 @@ def _blocks(top: list[Node], gone: set[int], article: bool = True) -> list[str]:
             flush()
         elif isinstance(item, str):
             words.append(item)
-        elif id(item) not in gone and not dropped(item, inside):
+        elif id(item) not in gone and not dropped(item, inside, names):
             if item.tag in ("br", "wbr"):
                 words.append(" " if item.tag == "br" else "")
                 continue
@@ -190,25 +257,26 @@ def _blocks(top: list[Node], gone: set[int], article: bool = True) -> list[str]:
     return blocks
 
 
-def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page without its dropped elements and the subtrees whose hash is in template."""
-    return "\n\n".join(_main_blocks(parse(page), template))
+def main_text(page: str, template: frozenset[int] | set[int] = frozenset(), names: bool = True, article: bool = True) -> str:
+    """The main text of a page without the subtrees whose hash is in template, without the elements that names drop, and
+    of the article alone if there is one."""
+    return "\n\n".join(_main_blocks(parse(page), template, names, article))
 
 
-def _main_blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    gone = {id(n) for n, h in removable(root) if h in template} if template else set()
-    mains, todo = [], [root]
+def _main_blocks(root: Node, template: frozenset[int] | set[int] = frozenset(), names: bool = True, article: bool = True) -> list[str]:
+    gone = {id(n) for n, hashes in removable(root) if not template.isdisjoint(hashes)} if template else set()
+    mains, todo = [], [root] if article else []
     while todo:
         node = todo.pop()
-        if node is not root and (id(node) in gone or dropped(node, False)):
+        if node is not root and (id(node) in gone or dropped(node, False, names)):
             continue
         if is_main(node):
             inner = [c for c in node.children if isinstance(c, Node) and c.tag == "article"]
             mains.append(inner or [node])
             continue
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-    blocks = [b for m in mains for b in _blocks(m, gone)]
-    return blocks or _blocks([root], gone, article=False)
+    blocks = [b for m in mains for b in _blocks(m, gone, True, names)]
+    return blocks or _blocks([root], gone, False, names)
 
 
 def host(url: Column) -> Column:
@@ -220,36 +288,42 @@ def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, contents = [], []
         for page in pdf["html"]:
             root = parse(page)
-            found.append(sorted({h for _, h in removable(root)}))
-            digest = hashlib.blake2b("\n\n".join(_main_blocks(root)).encode("utf-8", "replace"), digest_size=8).digest()
-            contents.append(int.from_bytes(digest, "big", signed=True))
+            found.append(sorted({h for _, hashes in removable(root) for h in hashes}))
+            contents.append(_digest(_main_blocks(root)))
         yield pd.DataFrame({"host": pdf["host"], "k": pdf["k"], "u": pdf["u"], "content": contents, "hashes": found})
 
 
+def template_counts(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, hash) of each host's template. parsed: host, content, hashes."""
+    sizes = stored(parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages))
+    seen = parsed.select("host", "content", F.explode("hashes").alias("hash")).distinct()
+    counts = stored(seen.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages))
+    common = counts.join(sizes.hint("merge"), "host").filter(F.col("n") >= min_share * F.col("pages"))
+    return common.select("host", "hash")
+
+
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(k, u, template): the template hashes of each page that has any. pages: host, k, u, html."""
     made = pages.select("host", "k", "u", "html").mapInPandas(_hashes, "host string, k long, u long, content long, hashes array<long>")
     parsed = stored(made)
-    sizes = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    common = stored(template_counts(parsed, min_pages, min_share))
     rows = parsed.select("host", "k", "u", F.explode("hashes").alias("hash"))
-    seen = parsed.select("host", "content", F.explode("hashes").alias("hash")).distinct()
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    common = counts.join(sizes.hint("merge"), "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
-    return rows.join(common.hint("merge"), ["host", "hash"]).groupBy("k", "u").agg(F.collect_set("hash").alias("template"))
+    return stored(rows.join(common.hint("merge"), ["host", "hash"]).groupBy("k", "u").agg(F.collect_set("hash").alias("template")))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) of every page."""
-    url, page = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", names: bool = True, article: bool = True) -> DataFrame:
+    """(id, url, text, n_chars) of every page. Without names and article, templates alone decide what goes."""
+    url, page = quoted(url_col), F.coalesce(quoted(html_col), F.lit(""))
     keyed = pages.select(
-        F.col(id_col).alias("id"), url.alias("url"), page.alias("html"), host(url).alias("host"),
-        order_id(F.col(id_col)).alias("k"), F.xxhash64(url, page).alias("u"),
+        quoted(id_col).alias("id"), url.alias("url"), page.alias("html"), host(url).alias("host"),
+        order_id(quoted(id_col)).alias("k"), F.xxhash64(url, page).alias("u"),
     )
     joined = keyed.join(templates(keyed).hint("merge"), ["k", "u"], "left")
 
     @F.pandas_udf("string")
     def text(html: pd.Series, template: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p, set() if t is None else {int(h) for h in t}) for p, t in zip(html, template, strict=True)])
+        sets = [set() if t is None else {int(h) for h in t} for t in template]
+        return pd.Series([main_text(p, t, names, article) for p, t in zip(html, sets, strict=True)])
 
     out = joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text("html", "template").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from curves.llm import html_main
 from curves.llm.html_main import extract, main_text
 
+DATA = "/root/testdata/sf0.1"
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/x">x</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy</div>
 <div class="cookie-notice">We use</div><article><h1>Head &amp; more</h1><p><b>First  line<br>goes on<p>Second &eacute;&#233; {n}</p>
@@ -55,3 +63,79 @@ def test_copies_of_a_page_are_not_its_template(spark):
     assert all(got[i] == f"Own words {i}" for i in range(15))
     assert all(got[100 + i] == "Copied words" for i in range(30))
     assert all(got[200 + i] == "The story with a link\n\nThe end" for i in range(30))
+
+
+@pytest.mark.parametrize("cls", ["related-work", "post-notice", "sidewalk", "adverbs", "searching-for-truth", "menus-of-1900", "shared-memory"])
+def test_sections_of_an_article_with_ordinary_names_stay(cls):
+    assert main_text(f"<article><p>a</p><section class='{cls}'><p>kept</p></section></article>") == "a\n\nkept"
+
+
+@pytest.mark.parametrize("cls", ["ad", "ads-top", "cookie-notice", "site-notice", "notice", "related-posts", "share-buttons", "comments", "wp-block-comments-area", "x sidebar y", "newsletter-signup"])
+def test_noise_of_an_article_goes_by_name(cls):
+    assert main_text(f"<article><p>a</p><div class='{cls}'><p>gone</p></div></article>") == "a"
+
+
+def test_parsing_takes_linear_time():
+    n = 40_000
+    began = time.process_time()
+    for page in ("<div>" * n + "</b>" * n, "<article><p><div>" + "<span>" * n + "<h1>" * n, "<a href=\"x'>" * n + '"', "<a 'x" * n, "<ul>" + "<li><b>x" * n):
+        main_text(page)
+    assert time.process_time() - began < 60
+    assert main_text("<article>" + "<p>w</p>" * n) == "\n\n".join(["w"] * n)
+
+
+def skeleton(node):
+    """Plain version: nested tuples in place of hashes; and (characters, those of links)."""
+    bones, chars, links = [], 0, 0
+    for c in node.children:
+        if isinstance(c, str):
+            chars += len(" ".join(c.split()))
+        else:
+            bone, n, of = skeleton(c)
+            if not bones or bones[-1] != bone:
+                bones.append(bone)
+            chars, links = chars + n, links + of
+    links = chars if node.tag == "a" else links
+    return (node.tag, node.attrs.get("class", ""), node.attrs.get("id", ""), links * 2 >= chars > 0, tuple(bones)), chars, links
+
+
+def outside(root):
+    """Subtrees of a page with an article that neither are in it nor hold it."""
+    holds = lambda n: html_main.is_main(n) or any(holds(c) for c in n.children if not isinstance(c, str))
+    for c in root.children:
+        if not isinstance(c, str) and not html_main.is_main(c):
+            if not holds(c):
+                yield c
+            yield from outside(c)
+
+
+def test_counts_equal_plain_counts_and_the_template_step_does_the_work(spark):
+    """On all pages of the test table: the hashes' counts for each host, and the text that templates alone leave."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    keyed = pages.select(html_main.host(F.col("url")).alias("host"), "page_id", "html").toPandas()
+    contents, count, of_page = defaultdict(set), defaultdict(set), {}
+    for r in keyed.itertuples():
+        root, text = html_main.parse(r.html or ""), main_text(r.html or "")
+        contents[r.host].add(text)
+        of_page[r.page_id] = r.host, {skeleton(n)[0] for n in outside(root)}
+        for s in of_page[r.page_id][1]:
+            count[r.host, s].add(text)
+    common = {k for k, v in count.items() if len(v) >= 10 and len(v) >= 0.2 * len(contents[k[0]])}
+    made = pages.select(html_main.host(F.col("url")).alias("host"), F.col("page_id").alias("k"), F.lit(0).cast("long").alias("u"), F.coalesce("html", F.lit("")).alias("html"))
+    parsed = made.mapInPandas(html_main._hashes, "host string, k long, u long, content long, hashes array<long>")
+    got = html_main.template_counts(html_main.stored(parsed)).groupBy("host").count().collect()
+    assert {r.host: r["count"] for r in got if r.host in {h for h, _ in common}}.keys() == {h for h, _ in common}
+    with_template = {i for i, (h, bones) in of_page.items() if any((h, s) in common for s in bones)}
+    assert {r.k for r in html_main.templates(made).collect()} >= with_template
+    full = {r.page_id: r.text for r in extract(pages).collect()}
+    alone = {r.page_id: r.text for r in extract(pages, names=False, article=False).collect()}
+    bare = {r.page_id: main_text(r.html or "", names=False, article=False) for r in keyed.itertuples()}
+    changed = {i for i in alone if alone[i] != bare[i]}
+    assert changed == with_template and len(changed) > 100
+    assert all(alone[i] == full[i] for i in changed)  # menus, adverts and footers all went, though their words differ
+
+
+def test_a_very_long_page_and_clashing_names(spark):
+    long = "<article>" + "<p>some words here</p>" * 50_000 + "</article>"
+    pages = spark.createDataFrame([(1, "http://h.org/", long, 1, 2, 3)], "page_id bigint, url string, html string, host int, k int, `a.b` int")
+    assert extract(pages).first().n_chars == 50_000 * 17 - 2
