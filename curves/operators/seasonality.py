@@ -57,7 +57,7 @@ def current_percentile(stack: DataFrame, active: DataFrame, buffer: int = V.BUFF
     other = capped.select("structure", F.col("vintage").alias("v"), "days_to_expiry", "close").join(at.hint("merge"), "structure")
     near = other.filter((F.col("v") != F.col("vintage")) & (F.abs(F.col("days_to_expiry") - F.col("anchor")) <= buffer))
     share = near.groupBy(*KEYS).agg((F.avg((F.col("close") <= F.col("current")).cast("double")) * 100).alias("percentile"))
-    return at.select(*KEYS).join(share, KEYS, "left")
+    return at.select(*KEYS).join(share.hint("merge"), KEYS, "left")
 
 
 def monthly_heatmap(stack: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def seasonal_bias(stack: DataFrame, active: DataFrame, buffer: int = V.BUFFER, h
     near = points.join(at.hint("merge"), ["structure", "anchor"]).filter("v <> vintage")
     moves = near.select(*KEYS, F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"move_{h}").alias("move")) for h in horizons])))
     sums = moves.groupBy(*KEYS, "horizon").agg(F.count_if(F.col("move") > 0).alias("up"), F.count_if(F.col("move") < 0).alias("down"))
-    every = at.select(*KEYS, F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon")).join(sums, [*KEYS, "horizon"], "left")
+    every = at.select(*KEYS, F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon")).join(sums.hint("merge"), [*KEYS, "horizon"], "left")
     return consistency(every.fillna(0, ["up", "down"]))
 
 
@@ -120,7 +120,7 @@ def lifecycle(stack: DataFrame, active: DataFrame, expiry_days: int = 15) -> Dat
     all vintages. An active vintage without rows in the window is Quiet."""
     capped = cap_window(stack)
     span = capped.groupBy("structure").agg(F.min("days_to_expiry").alias("lo"), F.max("days_to_expiry").alias("hi"))
-    out = active.join(span, "structure", "left").join(anchors(capped, active), KEYS, "left")
+    out = active.join(span.hint("merge"), "structure", "left").join(anchors(capped, active).hint("merge"), KEYS, "left")
     part = (F.col("hi") - F.col("anchor")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
     out = out.withColumn("elapsed", F.coalesce(F.greatest(F.least(part, F.lit(1.0)), F.lit(0.0)), F.lit(0.0)))
     e, d = F.col("elapsed"), F.col("anchor")
@@ -132,12 +132,14 @@ def lifecycle(stack: DataFrame, active: DataFrame, expiry_days: int = 15) -> Dat
 
 
 def backtest_rows(stack: DataFrame, horizon: int = 20, buffer: int = V.BUFFER, lookback: int = 20) -> DataFrame:
-    """(structure, vintage, date, alignment, continuation) for every day with a trend and a later close.
+    """(structure, vintage, date, alignment, continuation) for every day with a trend and a later close, of the structures
+    that have more than one vintage in the window.
 
     Each vintage's nearest point to day d is found once; a structure's ups and downs at d are summed over all its
     vintages, and a row takes its own vintage's away again, so the work is linear in the rows.
     """
     capped = cap_window(stack)
+    several = capped.groupBy("structure").agg((F.min("vintage") < F.max("vintage")).alias("several")).filter("several").select("structure")
     points = nearest_vintage_point(stack, buffer, (horizon,)).select(*KEYS, "d", F.signum(f"move_{horizon}").cast("int").alias("s"))
     sums = points.groupBy("structure", "d").agg(F.count_if(F.col("s") > 0).alias("ups"), F.count_if(F.col("s") < 0).alias("downs"))
     w = _by_date()
@@ -148,13 +150,12 @@ def backtest_rows(stack: DataFrame, horizon: int = 20, buffer: int = V.BUFFER, l
             "d": F.col("days_to_expiry"),
         }
     ).filter("trend <> 0 and move is not null")
+    rows = rows.join(several.hint("merge"), "structure", "left_semi")
     both = rows.join(points.hint("merge"), [*KEYS, "d"]).join(sums.hint("merge"), ["structure", "d"])
     net = (F.col("ups") - F.col("downs")) - F.coalesce("s", F.lit(0))
     seasonal = F.when(net > 0, "Bullish").when(net < 0, "Bearish").otherwise("Neutral")
     trend = F.when(F.col("trend") > 0, "Bullish").otherwise("Bearish")
-    several = F.size(F.collect_set("vintage").over(Window.partitionBy("structure"))) > 1
-    out = both.select(*KEYS, "date", alignment(seasonal, trend).alias("alignment"), (F.col("move") * F.col("trend")).alias("continuation"), several.alias("__s"))
-    return out.filter("__s").drop("__s")
+    return both.select(*KEYS, "date", alignment(seasonal, trend).alias("alignment"), (F.col("move") * F.col("trend")).alias("continuation"))
 
 
 def alignment_backtest(rows: DataFrame) -> DataFrame:
@@ -164,7 +165,7 @@ def alignment_backtest(rows: DataFrame) -> DataFrame:
         F.avg((F.col("continuation") > 0).cast("double")).alias("hit_rate"), F.median("continuation").alias("median_return"),
     )
     every = rows.select("structure").distinct().select("structure", F.explode(F.array(*map(F.lit, ("Tailwind", "Headwind", "Mixed")))).alias("alignment"))
-    return every.join(found, ["structure", "alignment"], "left").fillna(0, ["n"])
+    return every.join(found.hint("merge"), ["structure", "alignment"], "left").fillna(0, ["n"])
 
 
 def alignment_edge(backtest: DataFrame) -> DataFrame:

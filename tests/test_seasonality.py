@@ -91,6 +91,16 @@ def test_backtest_equals_all_pairs(spark, stack, rows):
         assert r.n == len(xs) and np.allclose([r.avg_continuation, r.median_return], [np.mean(xs), np.median(xs)])
 
 
+def test_backtest_counts_vintages_before_the_filters(spark):
+    """A second vintage too short for a trend or a later close still makes the first one's rows count."""
+    start, rng = date(2020, 1, 1), np.random.default_rng(2)
+    long = [("x", 2020, start + timedelta(days=i), 1, 300 - i, float(c)) for i, c in enumerate(np.cumsum(rng.normal(0, 1, 200)))]
+    short = [("x", 2021, start + timedelta(days=i), 1, 10 - i, 1.0) for i in range(10)]
+    got = {r.alignment: r.n for r in S.alignment_backtest(S.backtest_rows(spark.createDataFrame([*long, *short], SCHEMA))).collect()}
+    assert got == {"Tailwind": 0, "Headwind": 0, "Mixed": 160}
+    assert S.alignment_backtest(S.backtest_rows(spark.createDataFrame(long, SCHEMA))).count() == 0
+
+
 def test_percentile_of_the_richest_is_100(spark, stack):
     top = stack.withColumn("close", F.when(F.col("vintage") == 2022, 1e6).otherwise(F.col("close")))
     cut = top.filter("vintage <> 2022 or days_to_expiry > 100")
