@@ -100,44 +100,24 @@ def zscore_vote(threshold: float = 2.0) -> Column:
     )
 
 
-#: Name of each vote's query: (vote, the columns it reads, how they are made).
-PARTS = {
-    "ma": (ma_vote, ["ema20", "ema50", "sma200"], I.ma_ribbon),
-    "adx": (adx_vote, ["plus_di", "minus_di", "adx"], I.dmi_adx),
-    "macd": (macd_vote, ["hist"], I.macd),
-    "rsi": (rsi_vote, ["rsi", "rsi_upper", "rsi_lower"], I.adaptive_rsi),
-    "bollinger": (bollinger_vote, ["pctb"], I.bollinger),
-    "zscore": (zscore_vote, ["z60"], lambda df, keys: I.zscore(df, 60, keys=keys)),
-}
-
-
-def _state(df: DataFrame, parts: list[str], keys: list[str]) -> DataFrame:
-    """One row a series with all that the named votes read."""
-    wide, cols = df.select(*keys, "date", "close"), []
-    for p in parts:
-        if p in PARTS:
-            wide = PARTS[p][2](wide, keys=keys)
-            cols += PARTS[p][1]
-            wide = wide.select(*keys, "date", "close", *cols)
-    out = last_rows(wide, cols or ["close"], keys)
-    if "macd" in parts:
-        out = out.join(I.macd_divergence(df.select(*keys, "date", "close"), keys), keys, "left")
+VOTES = {"ma": ma_vote, "adx": adx_vote, "supertrend": supertrend_vote, "macd": macd_vote, "rsi": rsi_vote, "bollinger": bollinger_vote, "zscore": zscore_vote}
+
+
+def _voted(df: DataFrame, parts: list[str], keys: list[str]) -> DataFrame:
+    """(keys, name, bias, value, note) of the named votes. What no vote reads is pruned."""
+    state = I.last_readings(df, keys)
     if "supertrend" in parts:
-        out = out.join(last_rows(I.supertrend(df, keys=keys), ["direction"], keys).drop("n"), keys, "left")
-    return out
+        state = state.join(last_rows(I.supertrend(df, keys=keys), ["direction"], keys).drop("n").hint("merge"), keys, "left")
+    return state.select(*keys, F.inline(F.array(*[VOTES[p]() for p in parts])))
 
 
 def vote(df: DataFrame, part: str, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, name, bias, value, note) of one indicator."""
-    column = supertrend_vote() if part == "supertrend" else PARTS[part][0]()
-    return _state(df, [part], keys).select(*keys, F.inline(F.array(column)))
+    return _voted(df, [part], keys)
 
 
 def all_signals(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """The seven votes of every series."""
-    parts = ["ma", "adx", "supertrend", "macd", "rsi", "bollinger", "zscore"]
-    columns = [supertrend_vote() if p == "supertrend" else PARTS[p][0]() for p in parts]
-    return _state(df, parts, keys).select(*keys, F.inline(F.array(*columns)))
+    return _voted(df, list(VOTES), keys)
 
 
 def _category(kind: int) -> Column:
@@ -175,8 +155,8 @@ def regime_weights(spark) -> DataFrame:
 def contributions(signals: DataFrame, regimes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, regime, name, category, bias, weight, contribution); unknown names count as trend."""
     weights = regime_weights(signals.sparkSession).select("regime", "category", "weight").distinct()
-    rows = signals.withColumn("category", _category(1)).join(regimes.select(*keys, "regime"), keys)
-    rows = rows.join(F.broadcast(weights), ["regime", "category"])
+    rows = signals.withColumn("category", _category(1)).join(regimes.select(*keys, "regime").hint("merge"), keys)
+    rows = rows.join(F.broadcast(weights), ["regime", "category"])  # eight rows
     return rows.select(*keys, "regime", "name", "category", "bias", "weight", (F.col("weight") * F.col("bias")).alias("contribution"))
 
 
@@ -199,16 +179,16 @@ def risk_metrics(df: DataFrame, period: int = 20, atr_period: int = 14, keys: li
     """(keys, pctb, bandwidth, atr, atr_percentile) on the last date; nulls for short series."""
     wide = I.atr(I.bollinger_layers(df.select(*keys, "date", "close"), period, keys), atr_period, "atr", keys)
     last = last_rows(wide, ["pctb", "bandwidth", "atr"], keys)
-    share = wide.select(*keys, F.col("atr").alias("a")).join(last.select(*keys, F.col("atr").alias("now")), keys).filter("a is not null")
+    share = wide.select(*keys, F.col("atr").alias("a")).join(last.select(*keys, F.col("atr").alias("now")).hint("merge"), keys).filter("a is not null")
     pct = share.groupBy(*keys).agg((F.avg((F.col("a") <= F.col("now")).cast("double")) * 100).alias("atr_percentile"))
     enough = F.col("n") >= period
-    return last.join(pct, keys, "left").select(*keys, *[F.when(enough, F.col(c)).alias(c) for c in ("pctb", "bandwidth", "atr", "atr_percentile")])
+    return last.join(pct.hint("merge"), keys, "left").select(*keys, *[F.when(enough, F.col(c)).alias(c) for c in ("pctb", "bandwidth", "atr", "atr_percentile")])
 
 
 def trade_levels(df: DataFrame, modes: DataFrame, period: int = 20, keys: list[str] = KEYS) -> DataFrame:
     """(keys, mode, side, entry, take_profit, stop_loss, risk_reward, note) on the last date. modes: keys, mode."""
     cols = ["close", "mid", "u2", "l2", "u3", "l3"]
-    last = last_rows(I.bollinger_layers(df.select(*keys, "date", "close"), period, keys), cols, keys).join(modes, keys)
+    last = last_rows(I.bollinger_layers(df.select(*keys, "date", "close"), period, keys), cols, keys).join(modes.hint("merge"), keys)
     fade = F.col("mode") == "Mean reversion"
     up, down = F.col("close") >= F.col("u2"), F.col("close") <= F.col("l2")
 
