@@ -115,7 +115,7 @@ def regime_diagnostics(df: DataFrame, keys: list[str] = KEYS, adf: bool = True)
     """(keys, hurst, half_life, variance_ratio, adf_pvalue, is_mean_reverting): the verdict is a strict majority of the
     tests that are available."""
     parts = [hurst(df, keys=keys), half_life(df, keys), variance_ratio(df, keys=keys), *([adf_pvalue(df, keys)] if adf else [])]
-    out = reduce(lambda a, b: a.join(b, keys), parts)
+    out = reduce(lambda a, b: a.join(b.hint("merge"), keys), parts)
     votes = [F.col("hurst") < 0.5, F.col("variance_ratio") < 1.0, *([F.col("adf_pvalue") < 0.10] if adf else [])]
     yes = reduce(lambda a, b: a + b, [F.coalesce(v.cast("int"), F.lit(0)) for v in votes])
     known = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in votes])

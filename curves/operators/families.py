@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curves.functions import vocab as V
+from curves.functions.storage import stored
 
 CONTRACT = ["instrument_id", "symbol"]
 
@@ -32,6 +33,14 @@ def basic_clean(raw: DataFrame) -> DataFrame:
     return last_12_months(dedup_clean(raw))
 
 
+def _family(raw: DataFrame, pattern: str, names: list[str], trim: bool = True, deduped: bool = False) -> DataFrame:
+    """The clean bars of a family with each contract's last trade date as __last, which trimming doesn't change."""
+    rows = parsed(raw, pattern, names)
+    rows = rows if deduped else dedup_clean(rows)
+    rows = rows.withColumn("__last", F.max("date").over(Window.partitionBy(*CONTRACT)))
+    return rows.filter(F.col("date") >= F.add_months("__last", -12)) if trim else rows
+
+
 def expiry_year(month: Column, token: Column, last: Column) -> Column:
     """Full year of a year token: 10 and above is 2000 + n; a single digit is the first year ending in it whose
     contract month doesn't begin before the last trade date."""
@@ -49,8 +58,8 @@ def far_year(month: Column, token: Column, near_year: Column, near_month: Column
 
 
 def with_expiry(frame: DataFrame, month: str, token: str, out: str) -> DataFrame:
-    last = F.max("date").over(Window.partitionBy(*CONTRACT))
-    return frame.withColumn("__last", last).withColumn(out, expiry_year(F.col(month), F.col(token), F.col("__last"))).drop("__last")
+    """frame, which has __last, with the year of a leg."""
+    return frame.withColumn(out, expiry_year(F.col(month), F.col(token), F.col("__last")))
 
 
 def _numbers(frame: DataFrame, *legs: str) -> DataFrame:
@@ -64,32 +73,32 @@ def _label(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def outrights(raw: DataFrame, trim: bool = True) -> DataFrame:
-    clean = basic_clean if trim else dedup_clean
-    rows = _numbers(clean(parsed(raw, V.OUTRIGHT, ["month_code", "year_digit"])), "")
-    rows = with_expiry(rows, "month", "year_digit", "expiry_year")
+def outrights(raw: DataFrame, trim: bool = True, deduped: bool = False) -> DataFrame:
+    """deduped, here and below: whether raw went through dedup_clean already."""
+    rows = _numbers(_family(raw, V.OUTRIGHT, ["month_code", "year_digit"], trim, deduped), "")
+    rows = with_expiry(rows, "month", "year_digit", "expiry_year").drop("__last")
     return rows.withColumn("contract", _label("CL", F.col("month_code"), F.col("expiry_year")))
 
 
-def calendars(raw: DataFrame) -> DataFrame:
+def calendars(raw: DataFrame, deduped: bool = False) -> DataFrame:
     names = ["near_month_code", "near_year_digit", "far_month_code", "far_year_digit"]
-    rows = _numbers(basic_clean(parsed(raw, V.CALENDAR, names)), "near_", "far_")
-    rows = with_expiry(rows, "near_month", "near_year_digit", "near_year")
+    rows = _numbers(_family(raw, V.CALENDAR, names, deduped=deduped), "near_", "far_")
+    rows = with_expiry(rows, "near_month", "near_year_digit", "near_year").drop("__last")
     rows = rows.withColumn("far_year", far_year(F.col("far_month"), F.col("far_year_digit"), F.col("near_year"), F.col("near_month")))
     return rows.withColumn("contract", _label("CL", F.col("near_month_code"), F.col("near_year"), "-CL", F.col("far_month_code"), F.col("far_year")))
 
 
-def cracks(raw: DataFrame) -> DataFrame:
-    rows = _numbers(basic_clean(parsed(raw, V.CRACK, ["product", "month_code", "year_digit"])), "")
-    rows = with_expiry(rows, "month", "year_digit", "expiry_year")
+def cracks(raw: DataFrame, deduped: bool = False) -> DataFrame:
+    rows = _numbers(_family(raw, V.CRACK, ["product", "month_code", "year_digit"], deduped=deduped), "")
+    rows = with_expiry(rows, "month", "year_digit", "expiry_year").drop("__last")
     return rows.withColumn("contract", _label("CL:C1 ", F.col("product"), "-CL ", F.col("month_code"), F.col("expiry_year")))
 
 
-def brent_wti(raw: DataFrame) -> DataFrame:
+def brent_wti(raw: DataFrame, deduped: bool = False) -> DataFrame:
     """Brent minus WTI: the listed WTI minus Brent bars negated, high and low swapped."""
     names = ["wti_month_code", "wti_year_digit", "brent_month_code", "brent_year_digit"]
-    rows = _numbers(basic_clean(parsed(raw, V.BRENT, names)), "wti_", "brent_")
-    rows = with_expiry(with_expiry(rows, "wti_month", "wti_year_digit", "wti_year"), "brent_month", "brent_year_digit", "brent_year")
+    rows = _numbers(_family(raw, V.BRENT, names, deduped=deduped), "wti_", "brent_")
+    rows = with_expiry(with_expiry(rows, "wti_month", "wti_year_digit", "wti_year"), "brent_month", "brent_year_digit", "brent_year").drop("__last")
     rows = rows.withColumns({"open": -F.col("open"), "high": -F.col("low"), "low": -F.col("high"), "close": -F.col("close")})
     return rows.withColumn("contract", _label("CL", F.col("wti_month_code"), F.col("wti_year"), "-BZ", F.col("brent_month_code"), F.col("brent_year")))
 
@@ -102,7 +111,7 @@ def calendar_spread(legs: DataFrame, gap: int, name: str, trim: bool = True) ->
         V.shift_contract(F.col("month"), F.col("expiry_year"), gap).alias("far_contract"),
     )
     far = legs.select("date", F.col("contract").alias("far_contract"), F.col("close").alias("far_close"))
-    out = near.join(far, ["date", "far_contract"]).withColumns(
+    out = near.join(far.hint("merge"), ["date", "far_contract"]).withColumns(
         {
             "close": F.col("near_close") - F.col("far_close"),
             "contract": F.concat("near_contract", F.lit("-"), "far_contract"),
@@ -120,7 +129,7 @@ def flies(legs: DataFrame, name: str = "fly", trim: bool = True, months: tuple[s
         F.col("expiry_year").alias("front_year"), later(1).alias("mid_contract"), later(2).alias("back_contract"),
     )
     leg = lambda p: legs.select("date", F.col("contract").alias(f"{p}_contract"), F.col("close").alias(f"{p}_close"))
-    out = front.join(leg("mid"), ["date", "mid_contract"]).join(leg("back"), ["date", "back_contract"])
+    out = front.join(leg("mid").hint("merge"), ["date", "mid_contract"]).join(leg("back").hint("merge"), ["date", "back_contract"])
     out = out.withColumns(
         {
             "close": F.col("front_close") - 2 * F.col("mid_close") + F.col("back_close"),
@@ -132,11 +141,14 @@ def flies(legs: DataFrame, name: str = "fly", trim: bool = True, months: tuple[s
 
 
 def build_all(raw: DataFrame, trim_synthetic: bool = True) -> dict[str, DataFrame]:
-    """The eight families. The untrimmed legs feed four of them and are persisted."""
-    legs = outrights(raw, trim=False).select("date", "contract", "close", "month", "month_code", "expiry_year").persist()
+    """The eight families. The feed is deduplicated once for all listed families; the untrimmed outrights, which are the
+    legs of four families and once trimmed the first, are written once."""
+    clean = stored(dedup_clean(raw))
+    whole = stored(outrights(clean, trim=False, deduped=True))
+    legs = whole.select("date", "contract", "close", "month", "month_code", "expiry_year")
     spreads = {name: calendar_spread(legs, gap, name, trim_synthetic) for name, gap in V.TENORS.items()}
-    listed = {"outrights": outrights(raw), "calendars": calendars(raw), "cracks": cracks(raw), "brent_wti": brent_wti(raw)}
-    return {**listed, **spreads, "flies": flies(legs, trim=trim_synthetic)}
+    listed = {name: build(clean, deduped=True) for name, build in (("calendars", calendars), ("cracks", cracks), ("brent_wti", brent_wti))}
+    return {"outrights": last_12_months(whole), **listed, **spreads, "flies": flies(legs, trim=trim_synthetic)}
 
 
 def symbol_family(symbol: Column) -> Column:

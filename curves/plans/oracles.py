@@ -4,6 +4,7 @@ which each query uses what it needs."""
 from __future__ import annotations
 
 from curves.functions import vocab as V
+from curves.sources.bars import YEARS
 
 M = V.MONTHS
 #: Added before rounding, on both sides.
@@ -284,6 +285,8 @@ def _plan(col: str, fade_up: str, fade_down: str, up: str, down: str, inside: st
 
 _FINAL: dict[str, str] = {
     "raw_daily_date": "SELECT date, count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols FROM feed GROUP BY date",
+    "loaded_feed": f"SELECT {_OHLC} FROM clean",
+    "saved_frames": " UNION ALL ".join(f"SELECT '{n}' AS frame, {y}::INT AS year, count(*) AS n_rows, count(DISTINCT contract) AS n_contracts FROM {n} GROUP BY 2" for n, y in YEARS.items()),
     "parse_outright": "SELECT DISTINCT symbol, symbol[3:3] AS month_code, symbol[4:] AS year_token FROM feed WHERE regexp_matches(symbol, '^CL[FGHJKMNQUVXZ][0-9]{1,2}$')",
     "parse_calendar": f"SELECT DISTINCT symbol, regexp_extract(symbol, '{V.CALENDAR}', 1) AS near_code, regexp_extract(symbol, '{V.CALENDAR}', 2) AS near_token, regexp_extract(symbol, '{V.CALENDAR}', 3) AS far_code, regexp_extract(symbol, '{V.CALENDAR}', 4) AS far_token FROM feed WHERE regexp_matches(symbol, '{V.CALENDAR}')",
     "parse_crack": f"SELECT DISTINCT symbol, regexp_extract(symbol, '{V.CRACK}', 1) AS product, regexp_extract(symbol, '{V.CRACK}', 2) AS month_code, regexp_extract(symbol, '{V.CRACK}', 3) AS year_token FROM feed WHERE symbol LIKE 'CL:C1 %'",
@@ -306,7 +309,7 @@ _FINAL: dict[str, str] = {
     "flies": f"SELECT date, front_contract, month, front_year, mid_contract, back_contract, contract, structure, n_legs, {r('front_close', 'mid_close', 'back_close', 'close')} FROM flies",
     "structure_legs": f"SELECT {_ID}, leg_no, contract, date, {r('coef', 'close', 'volume')} FROM slegs",
     "nearest_vintage_point": f"SELECT {_ID}, d::INT AS d, abs(days_to_expiry - d)::INT AS dist, date, {r('m20 AS move_20')} FROM (SELECT *, unnest(range(days_to_expiry - {V.BUFFER}, days_to_expiry + {V.BUFFER} + 1)) AS d FROM mv) QUALIFY row_number() OVER (PARTITION BY {_ID}, d ORDER BY abs(days_to_expiry - d), date) = 1",
-    "price_matrix": "SELECT date, " + ", ".join(r(f"avg(close) FILTER (contract = 'CL{m}1998') AS CL{m}1998") for m in M) + " FROM outrights GROUP BY date",
+    "price_matrix": f"SELECT date, contract, {r('avg(close) AS close')} FROM outrights GROUP BY date, contract HAVING avg(close) IS NOT NULL",
     "available_years": f"SELECT {_ID} FROM years",
     "structure_series": f"SELECT {_ID}, date, {r('close', 'volume')} FROM series",
     "near_leg_expiry": f"SELECT {_ID}, make_date((((vintage + near_offset) * 12 + near_month - 2) // 12)::INT, (((vintage + near_offset) * 12 + near_month - 2) % 12 + 1)::INT, 20) AS expiry FROM years JOIN dim USING (structure)",
@@ -339,7 +342,7 @@ _FINAL: dict[str, str] = {
     "signal_panel": f"SELECT {_ID}, family, sign(sum(bias))::INT AS bias, {r('CASE WHEN sum(bias) = 0 THEN 0 ELSE count(*) FILTER (sign(bias) = b) / count(*) FILTER (bias <> 0) END AS conviction')} FROM (SELECT *, sign(sum(bias) OVER (PARTITION BY {_ID}, family)) AS b FROM votes JOIN inds USING (name) WHERE n >= 5) GROUP BY ALL",
     "regime_weights": "SELECT w.regime, name, category, weight::DOUBLE AS weight, coalesce(n, 0) AS n_series FROM wts w JOIN inds USING (category) LEFT JOIN (SELECT regime, count(*) AS n FROM reg GROUP BY 1) USING (regime)",
     "composite_score": f"SELECT {_ID}, regime, round({_VALUE}, 1) + 0.0 AS score, {_reading(_VALUE)} AS reading FROM parts GROUP BY ALL",
-    "score_reading": f"SELECT {_ID}, v + 0.0 AS value, {_reading('v')} AS reading FROM (SELECT {_ID}, round(greatest(least(arg_max(close, date), 100), -100) + {NUDGE}, 6) AS v FROM panel GROUP BY ALL)",
+    "score_reading": f"SELECT reading, count(*) AS n_series, {r('min(score) AS least', 'max(score) AS greatest')} FROM (SELECT {_ID}, regime, round({_VALUE}, 1) + 0.0 AS score, {_reading(_VALUE)} AS reading FROM parts GROUP BY ALL) GROUP BY reading",
     "vote_breakdown": f"SELECT {_ID}, regime, name, category, bias, {r('weight', 'contribution')} FROM parts",
     "regime": f"SELECT {_ID}, {r('level_mean')}, regime FROM reg",
     "maturity_slices": f"SELECT {_ID}, bucket, date, days_to_expiry, {r('close')} FROM stack JOIN buckets ON days_to_expiry BETWEEN lo AND hi",

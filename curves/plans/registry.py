@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curves.functions import vocab as V
+from curves.functions.storage import scratch, stored
 from curves.operators import diagnostics as D
 from curves.operators import families as P
 from curves.operators import indicators as I
@@ -49,8 +52,8 @@ def series(spark, d) -> DataFrame:
 
 
 def stack(spark, d) -> DataFrame:
-    """The seasonal stack, persisted: a query reads it for the active vintages and again for the others."""
-    return E.seasonal_stack(series(spark, d)).persist()
+    """The seasonal stack, written: a query reads it for the active vintages and again for the others."""
+    return stored(E.seasonal_stack(series(spark, d)))
 
 
 def active(st: DataFrame) -> DataFrame:
@@ -58,10 +61,10 @@ def active(st: DataFrame) -> DataFrame:
 
 
 def panel(spark, d) -> DataFrame:
-    """Every structure series and every hourly event series, as (structure, vintage, date, close); persisted, as
+    """Every structure series and every hourly event series, as (structure, vintage, date, close); written, as
     several votes read it."""
     own = series(spark, d).select("structure", "vintage", F.col("date").cast("timestamp_ntz").alias("date"), "close")
-    return own.unionByName(bars.hourly(spark, d)).persist()
+    return stored(own.unionByName(bars.hourly(spark, d)))
 
 
 OHLC = ["instrument_id", "symbol", "date", "open", "high", "low", "close", "volume"]
@@ -77,6 +80,26 @@ def raw_daily_date(spark, d):
     return bars.with_date(stamped).groupBy("date").agg(F.count("*").alias("n_rows"), F.countDistinct("symbol").alias("n_symbols"))
 
 
+@query
+def loaded_feed(spark, d):
+    """The feed saved without its order and loaded again: first bars of a day by their place in the files."""
+    rows = raw(spark, d).orderBy("ingest_seq").withColumn("ts_event", F.concat(F.col("date").cast("string"), F.lit("T00:00:00.000000000Z")))
+    path = scratch(spark)
+    rows.drop("date", "ingest_seq").write.parquet(path)
+    return rounded(P.dedup_clean(bars.load_raw(spark, path)).select(*OHLC))
+
+
+@query
+def saved_frames(spark, d):
+    """Rows and contracts of each frame and year, from frames built, saved in folders by year and loaded again."""
+    frames = bars.load_or_build(spark, scratch(spark), lambda: P.build_all(raw(spark, d)), bars.YEARS)
+    parts = [
+        df.groupBy(F.lit(name).alias("frame"), F.col(bars.YEARS[name]).cast("int").alias("year")).agg(F.count("*").alias("n_rows"), F.countDistinct("contract").alias("n_contracts"))
+        for name, df in frames.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _symbols(spark, d, pattern, names) -> DataFrame:
     return P.parsed(raw(spark, d).select("symbol").distinct(), pattern, names)
 
@@ -225,10 +248,9 @@ def nearest_vintage_point(spark, d):
 
 @query
 def price_matrix(spark, d):
-    """Mean closes of each date, for the contract months of one delivery year."""
-    cols = [f"CL{m}1998" for m in V.MONTHS]
-    wide = E.price_matrix(trimmed(spark, d), cols)
-    return rounded(wide)
+    """Mean closes of each date and contract: the wide matrix over all contracts, turned back to rows."""
+    wide = E.price_matrix(trimmed(spark, d))
+    return rounded(wide.unpivot("date", [c for c in wide.columns if c != "date"], "contract", "close").filter("close is not null"))
 
 
 @query
@@ -275,7 +297,7 @@ def contract_stats(spark, d):
 def structure_dim(spark, d):
     """The universe, with the bars of the tables that its legs have."""
     listed = E.structure_legs(trimmed(spark, d)).groupBy("structure").agg(F.count("*").alias("n_leg_days"))
-    return E.structure_dim(listed).join(listed, "structure", "left").fillna(0, ["n_leg_days"])
+    return E.structure_dim(listed).join(listed.hint("merge"), "structure", "left").fillna(0, ["n_leg_days"])
 
 
 # 2.6: indicators
@@ -346,7 +368,7 @@ def signal_panel(spark, d):
 def regime_weights(spark, d):
     """Weight of each indicator by regime, with the number of series in that regime."""
     counts = G.regime(panel(spark, d)).groupBy("regime").agg(F.count("*").alias("n_series"))
-    return G.regime_weights(spark).join(F.broadcast(counts), "regime", "left").fillna(0, ["n_series"])
+    return G.regime_weights(spark).join(F.broadcast(counts), "regime", "left").fillna(0, ["n_series"])  # two rows
 
 
 def _parts(spark, d):
@@ -361,9 +383,9 @@ def composite_score(spark, d):
 
 @query
 def score_reading(spark, d):
-    """The reading of each series' score: here its last close, cut to the range of scores."""
-    last = G.last_rows(panel(spark, d), ["close"]).withColumn("value", F.round(F.greatest(F.least(F.col("close"), F.lit(100.0)), F.lit(-100.0)) + NUDGE, 6))
-    return last.select("structure", "vintage", (F.col("value") + 0.0).alias("value"), G.reading(F.col("value")).alias("reading"))
+    """Series, and least and greatest score, of each reading."""
+    scores = G.composite_score(_parts(spark, d))
+    return rounded(scores.groupBy("reading").agg(F.count("*").alias("n_series"), F.min("score").alias("least"), F.max("score").alias("greatest")))
 
 
 @query
@@ -450,7 +472,7 @@ def alignment(spark, d):
     bias = S.seasonal_bias(st, active(st)).select("structure", "vintage", "direction")
     trend = G.last_rows(I.trend_sign(S.cap_window(st)), ["trend_sign"])
     named = F.when(F.col("trend_sign") > 0, "Up").when(F.col("trend_sign") < 0, "Down").otherwise("Flat")
-    out = bias.join(trend, ["structure", "vintage"]).withColumn("trend", named)
+    out = bias.join(trend.hint("merge"), ["structure", "vintage"]).withColumn("trend", named)
     return out.select("structure", "vintage", "direction", "trend", S.alignment(F.col("direction"), F.col("trend")).alias("alignment"))
 
 
@@ -484,7 +506,7 @@ def cone_by_bucket(spark, d):
 def seasonal_driver(spark, d):
     """The driver of each structure that the tables hold."""
     st = stack(spark, d)
-    return S.seasonal_driver(st).join(st.select("structure").distinct(), "structure", "left_semi")
+    return S.seasonal_driver(st).join(st.select("structure").distinct().hint("merge"), "structure", "left_semi")
 
 
 # 2.10: diagnostics

@@ -23,15 +23,29 @@ def with_date(raw: DataFrame) -> DataFrame:
 
 
 def load_raw(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Bars from parquet or CSV files, with ingest_seq, the feed order that deduplication needs."""
-    reader = spark.read.schema(RAW_SCHEMA)
-    return with_date(reader.csv(path, header=True) if fmt == "csv" else reader.parquet(path))
+    """Bars from parquet or CSV files, with ingest_seq, the feed order that deduplication needs. A feed without that
+    column gets it from where its rows stand: files by name, and rows by their place in a file."""
+    load = lambda schema=None: (spark.read.schema(schema) if schema else spark.read).option("header", True).format(fmt).load(path)
+    if "ingest_seq" in load().columns:
+        return with_date(load(RAW_SCHEMA))
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")]
+    rows = load(RAW_SCHEMA.removesuffix(", ingest_seq bigint"))
+    return with_date(rows.withColumn("ingest_seq", F.struct(*place)))
 
 
-def save_frames(frames: dict[str, DataFrame], out: str, fmt: str = "parquet") -> None:
-    """A folder for each frame."""
+#: The year by which each frame is saved in folders, if asked for.
+YEARS = {
+    "outrights": "expiry_year", "calendars": "near_year", "cracks": "expiry_year", "brent_wti": "wti_year",
+    "quarterly": "near_year", "semestral": "near_year", "yearly": "near_year", "flies": "front_year",
+}
+
+
+def save_frames(frames: dict[str, DataFrame], out: str, fmt: str = "parquet", years: dict[str, str] | None = None) -> None:
+    """A folder for each frame; with years, in it one for each value of the frame's column."""
     for name, df in frames.items():
-        writer = df.write.mode("overwrite")
+        year = (years or {}).get(name)
+        # rows of a year go to one task each, split by date, so that a folder has few files
+        writer = (df.repartition(year, F.year("date")).write.partitionBy(year) if year else df.write).mode("overwrite")
         (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(f"{out}/{name}")
 
 
@@ -43,10 +57,10 @@ def load_frames(spark: SparkSession, out: str) -> dict[str, DataFrame] | None:
         return None
 
 
-def load_or_build(spark: SparkSession, out: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+def load_or_build(spark: SparkSession, out: str, build: Callable[[], dict[str, DataFrame]], years: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """The saved families; if one is missing, all are built and saved first."""
     if (found := load_frames(spark, out)) is None:
-        save_frames(build(), out)
+        save_frames(build(), out, years=years)
         found = load_frames(spark, out)
     return found
 
