@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curves.functions.storage import stored
+
+__all__ = ["SPACES", "SPACE_RE", "WORD_RE", "free", "held_out", "let", "n_words", "order_id", "quoted", "stored", "table", "training_rows", "words"]
+
 #: The six ASCII white space characters; a word is a run of anything else.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -57,24 +59,6 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder, which all executors see. Only a local master gets one made here."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: short lineage, known size, safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text leaves the remainder fold; a null id counts as an empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold).alias("held_out")

@@ -34,7 +34,7 @@ def test_stages_filter_and_keep_columns(spark, tmp_path):
             assert docs.columns == columns
             counts.append(docs.count())
             assert all(r.n_chars == len(r.text) for r in docs.collect())
-    assert counts[:4] == [18, 7, 6, 6] or counts[:4] == [18, 7, 6, 5]
+    assert counts[:4] == [18, 7, 6, 5]  # eleven short or blank rows and the marks go; one equal text; one text with a word more
     assert docs.columns == ["bin_id", "capacity", "n_tokens", "doc_ids", "starts", "lengths"]
 
 
