@@ -8,14 +8,17 @@ of agreeing bins for chance: ``(agree - c) / (1 - c)`` with ``c = 2 ** -BITS``,
 
 `with_next` pairs each document with the next by ascending id (the last with the first) in one shuffle of the
 texts: boundaries are ids of the table, rows go to the range they fall in, and the first row of each range also
-goes to the range before it, so every range holds its rows' successors.
+goes to the range before it, so every range holds its rows' successors. An id with more rows than a range has boundaries
+at hashes of its texts too, so that null ids, or one id on a third of all rows, spread over many tasks.
 
 Cases: null text counts as empty; a text without words has the empty fingerprint, which is like itself (1) and
-unlike all others (0); null ids come first; rows of equal id follow each other by text; a table of one row is its
-own next; an empty table gives an empty result; other input columns don't matter.
+unlike all others (0); null ids come first; rows of equal id follow each other by their texts' hashes, and rows equal in
+both each have an equal next, or the first row after them; such rows are in one range; a very long text is hashed word by word in
+one task; a table of one row is its own next; an empty table gives an empty result; other input columns don't matter.
 """
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curves.llm.common import order_id, table
+from curves.llm.common import order_id, quoted, table
 
 SHINGLE, BINS, BITS = 5, 256, 4
 #: Ranges for each shuffle partition.
 RANGES = 3
+LEAST = -(2**63)
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -98,25 +102,62 @@ class Fingerprinter:
         return float(min(1.0, max(0.0, ((x == y).all(axis=1).mean() - chance) / (1 - chance))))
 
 
+def _bounds(rows: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """First (key, text hash) of each range, in order. The hash of an id with one boundary is the least there is. Hashes
+    have 53 bits, so that a quantile of them is one of them."""
+    wanted = [(i + 1) / ranges for i in range(ranges - 1)]
+    first, cuts = rows.agg(F.min("key"), F.percentile_approx("key", wanted, F.lit(100_000))).first()
+    if first is None:
+        return [(0, LEAST)]
+    near = np.unique(np.array([first, *(cuts or [])], np.int64))  # quantiles are doubles: large ids come rounded
+
+    @F.pandas_udf("int")
+    def place(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(near, keys.to_numpy(), side="right").astype("int32"))
+
+    least = rows.groupBy(place("key").alias("part")).agg(F.min("key").alias("least")).collect()
+    at = {r["part"]: r["least"] for r in least}
+    times = Counter(k for c in [first, *(cuts or [])] if (k := at.get(int(np.searchsorted(near, c, side="right")))) is not None)
+    times |= {k: max(times[k], 1) for k in at.values()}
+    hot = [k for k, n in times.items() if n > 1]
+    bounds = [(k, LEAST) for k, n in times.items() if n == 1]
+    if hot:
+        found = rows.filter(F.col("key").isin(hot)).groupBy("key").agg(F.min("h").alias("low"), F.percentile_approx("h", wanted, F.lit(10_000)).alias("cuts"))
+        for r in found.collect():
+            step = max(1, len(r["cuts"]) // times[r["key"]])
+            bounds += {(r["key"], h) for h in [r["low"], *r["cuts"][step - 1 :: step]]}
+    return sorted(bounds)
+
+
+def _placed(keys: np.ndarray, hashes: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the range of each row, and whether the row may be the first of it."""
+    ids, hs = (np.array(x, np.int64) for x in zip(*bounds, strict=True))
+    at = np.searchsorted(ids, keys, side="right") - 1
+    first = ids[at] == keys
+    for k in np.unique(ids[1:][ids[1:] == ids[:-1]]):
+        own, low, high = keys == k, np.searchsorted(ids, k, side="left"), np.searchsorted(ids, k, side="right")
+        at[own] = low + np.searchsorted(hs[low:high], hashes[own], side="right") - 1
+        first[own] = hs[at[own]] == hashes[own]
+    return at, first
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, visit, schema: str) -> DataFrame:
     """visit(id, text, next text) -> row, for each document and the next one. Ids are integers."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).isNull().alias("none"), order_id(F.col(id_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spark, text = docs.sparkSession, F.coalesce(quoted(text_col), F.lit(""))
+    rows = docs.select(quoted(id_col).isNull().alias("none"), order_id(quoted(id_col)).alias("key"), F.shiftright(F.xxhash64(text), 11).alias("h"), text.alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wanted = [(i + 1) / (RANGES * parts) for i in range(RANGES * parts - 1)]
-    first, cuts = rows.agg(F.min("key"), F.percentile_approx("key", wanted, F.lit(100_000))).first()
-    bounds = np.unique(np.array([first, *cuts] if first is not None else [0], np.int64))
+    bounds = _bounds(rows, RANGES * parts)
 
     @F.pandas_udf("struct<part:int,first:boolean>")
-    def ranged(keys: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(bounds, keys.to_numpy(), side="right") - 1
-        return pd.DataFrame({"part": at.astype("int32"), "first": bounds[at] == keys.to_numpy()})
+    def ranged(keys: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        at, first = _placed(keys.to_numpy(), hashes.to_numpy(), bounds)
+        return pd.DataFrame({"part": at.astype("int32"), "first": first})
 
-    placed = rows.withColumn("at", ranged("key"))
+    placed = rows.withColumn("at", ranged("key", "h"))
     own = F.struct(F.col("at.part").alias("part"), F.lit(False).alias("ahead"))
     before = F.struct(F.pmod(F.col("at.part") - 1, F.lit(len(bounds))).alias("part"), F.lit(True).alias("ahead"))
-    copies = placed.select("none", "key", "text", F.inline(F.when(F.col("at.first"), F.array(own, before)).otherwise(F.array(own))))
-    dealt = copies.repartition(parts, "part").sortWithinPartitions("part", "ahead", "key", "text")
+    copies = placed.select("none", "key", "h", "text", F.inline(F.when(F.col("at.first"), F.array(own, before)).otherwise(F.array(own))))
+    dealt = copies.repartition(parts, "part").sortWithinPartitions("part", "ahead", "key", "h", "text")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, names = None, [c.split()[0] for c in schema.split(", ")]

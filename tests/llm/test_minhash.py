@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 
+from curves.llm import minhash
 from curves.llm.minhash import Fingerprinter, fingerprints
 from tests.llm.data import ODD, documents, prose
 
@@ -53,6 +54,38 @@ def test_every_row_meets_its_successor(spark):
         assert all(r.fingerprint == tool(by[r.doc_id]) and r.n_chars == len(by[r.doc_id]) for r in got)
 
 
+def test_an_id_on_many_rows_spreads_and_is_followed_in_order(spark):
+    """A third of the rows has a null id and a third one id; each row's next is the one after it by id and text hash."""
+    texts = [(None, prose(i, 5)) for i in range(200)] + [(5, prose(1000 + i, 5)) for i in range(200)] + [(i, prose(2000 + i, 5)) for i in range(200) if i != 5]
+    docs = documents(spark, texts)
+    keyed = docs.selectExpr("doc_id", "text", "shiftright(xxhash64(text), 11) AS h").collect()
+    order = sorted(keyed, key=lambda r: (-(2**63) if r.doc_id is None else r.doc_id, r.h))
+    want = sorted((str(a.doc_id), a.text, b.text) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    for parts in ("2", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = minhash.with_next(docs, "doc_id", "text", lambda i, t, u: (i, t, u), "a bigint, b string, c string").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert sorted((str(r.a), r.b, r.c) for r in got) == want
+    rows = docs.selectExpr("coalesce(doc_id, -9223372036854775808) AS key", "shiftright(xxhash64(text), 11) AS h")
+    bounds = minhash._bounds(rows, 24)
+    at, _ = minhash._placed(*(rows.toPandas()[c].to_numpy() for c in ("key", "h")), bounds)
+    assert np.bincount(at).max() < 60 and len(bounds) > 15
+
+
+def test_ids_beyond_the_precision_of_doubles(spark):
+    texts = [(2**62 + 3 * i, prose(i, 5)) for i in range(300)]
+    got = minhash.with_next(documents(spark, texts), "doc_id", "text", lambda i, t, u: (i, u), "a bigint, b string").collect()
+    assert {r.a: r.b for r in got} == {a: u for (a, _), (_, u) in zip(texts, texts[1:] + texts[:1], strict=True)} and len(got) == 300
+
+
+def test_equal_rows_and_a_very_long_text(spark):
+    docs = documents(spark, [(1, "same"), (1, "same"), (1, "same"), (2, prose(1, 300_000))])
+    got = sorted((r.doc_id, r.n_chars, r.near_next) for r in fingerprints(docs).collect())
+    assert [r[0] for r in got] == [1, 1, 1, 2] and sorted(r[2] for r in got)[-2:] == [1.0, 1.0]
+
+
 def test_odd_rows(spark):
     docs = documents(spark, ODD)
     got = fingerprints(docs).collect()
