@@ -77,6 +77,14 @@ def _fit(y: np.ndarray, x: np.ndarray) -> tuple[float, float]:
     return aic, float(beta[1] / math.sqrt(rss / (n - k) * np.linalg.inv(x.T @ x)[1, 1]))
 
 
+def mackinnon_p(stat: float) -> float:
+    """Approximate p-value of a Dickey-Fuller statistic with a constant."""
+    if stat > TAU_MAX or stat < TAU_MIN:
+        return float(stat > TAU_MAX)
+    z = sum(c * stat**i for i, c in enumerate(SMALL_P if stat <= TAU_STAR else LARGE_P))
+    return 0.5 * (1 + math.erf(z / math.sqrt(2)))
+
+
 def adf_p(close: np.ndarray) -> float | None:
     """P-value of the augmented Dickey-Fuller test with a constant, its lag chosen by AIC on the common sample."""
     n = len(close)
@@ -94,10 +102,7 @@ def adf_p(close: np.ndarray) -> float | None:
         stat = _fit(*design(best, best))[1]
     except np.linalg.LinAlgError:
         return None
-    if stat > TAU_MAX or stat < TAU_MIN:
-        return float(stat > TAU_MAX)
-    z = sum(c * stat**i for i, c in enumerate(SMALL_P if stat <= TAU_STAR else LARGE_P))
-    return 0.5 * (1 + math.erf(z / math.sqrt(2)))
+    return mackinnon_p(stat)
 
 
 def adf_pvalue(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -36,6 +36,9 @@ def _vote(name: str, *cases: tuple[Column | None, int, Column | None, Column | s
     return out
 
 
+# The names and notes of votes and plans below are part of the results.
+
+
 def ma_vote() -> Column:
     f, m, s = F.col("ema20"), F.col("ema50"), F.col("sma200")
     few = s.isNull()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date, timedelta
 
 import numpy as np
@@ -125,6 +126,47 @@ def test_diagnostics_tell_mean_reversion_from_a_walk(spark):
     assert (got["short"].hurst, got["short"].half_life, got["short"].variance_ratio, got["short"].adf_pvalue, got["short"].is_mean_reverting) == (None, None, None, None, False)
 
 
+@pytest.mark.parametrize(("stat", "p"), [(-3.43, 0.01), (-3.12, 0.025), (-2.86, 0.05), (-2.57, 0.10), (-0.44, 0.90), (-0.07, 0.95), (0.23, 0.975), (0.60, 0.99)])
+def test_adf_p_at_the_published_percentiles(stat, p):
+    """Asymptotic percentiles of the statistic with a constant (Fuller 1976, MacKinnon 1994)."""
+    assert abs(D.mackinnon_p(stat) - p) < 0.005  # the percentiles have two decimals
+
+
+def plain_adf(close):
+    """Lag search by loops and normal equations; the p-value and the lag."""
+    n, steps = len(close), [b - a for a, b in zip(close, close[1:], strict=False)]
+    most = min(n // 2 - 2, math.ceil(12 * (n / 100) ** 0.25))
+
+    def fit(lags, skip):
+        rows = [[1.0, close[t], *(steps[t - k] for k in range(1, lags + 1))] for t in range(skip, len(steps))]
+        want, size = steps[skip:], lags + 2
+        gram = [[sum(r[a] * r[b] for r in rows) for b in range(size)] for a in range(size)]
+        inverse = np.linalg.inv(np.array(gram))
+        beta = inverse @ [sum(r[a] * y for r, y in zip(rows, want, strict=True)) for a in range(size)]
+        rss = sum((y - sum(b * x for b, x in zip(beta, r, strict=True))) ** 2 for r, y in zip(rows, want, strict=True))
+        return len(rows) * math.log(rss / len(rows)) + 2 * size, beta[1] / math.sqrt(rss / (len(rows) - size) * inverse[1, 1])
+
+    scores = [fit(k, most)[0] for k in range(most + 1)]
+    lag = scores.index(min(scores))
+    return D.mackinnon_p(fit(lag, lag)[1]), lag
+
+
+def test_adf_equals_a_plain_lag_search(spark):
+    rng, series, lags = np.random.default_rng(12), {}, set()
+    for i, coefs in enumerate([(0.5,), (1.0,), (0.9, -0.4), (0.3, 0.2, 0.4), (1.4, -0.4), (0.1, 0.0, 0.0, 0.6)]):
+        for n in (25, 60, 180):
+            xs = [0.0] * len(coefs)
+            for e in rng.normal(0, 1, n):
+                xs.append(sum(c * xs[-k - 1] for k, c in enumerate(coefs)) + e)
+            series[f"s{i}_{n}"] = [5 + x for x in xs[-n:]]
+    got = {r.structure: r.adf_pvalue for r in D.adf_pvalue(frame(spark, **series)).collect()}
+    for name, xs in series.items():
+        p, lag = plain_adf(xs)
+        lags.add(lag)
+        assert got[name] == pytest.approx(p, abs=1e-6), name
+    assert {0, 1} < lags and len(lags) >= 4
+
+
 def test_adf_polynomial_at_the_known_critical_value():
     z = sum(c * (-2.86) ** i for i, c in enumerate(D.SMALL_P))
     assert abs(0.5 * (1 + __import__("math").erf(z / 2**0.5)) - 0.05) < 0.002

@@ -97,3 +97,25 @@ def test_raw_dates_from_nanosecond_stamps(spark, tmp_path):
     row = [("2020-03-01T23:59:59.123456789Z", 35, 1, 9, 1.0, 1.0, 1.0, 1.0, 1, "CLH0", 1)]
     spark.createDataFrame(row, bars.RAW_SCHEMA).write.parquet(str(tmp_path / "raw"))
     assert bars.load_raw(spark, str(tmp_path / "raw")).first().date == date(2020, 3, 1)
+
+
+def test_feed_order_is_derived_from_the_files(spark, tmp_path):
+    """Without ingest_seq, rows count in the order of the files and of the lines in them."""
+    rows = [(f"2020-03-01T00:00:{i:02d}Z", 35, 1, 9, 1.0, 1.0, 1.0, float(i), 1, "CLH0") for i in range(40)]
+    schema = bars.RAW_SCHEMA.removesuffix(", ingest_seq bigint")
+    for fmt in ("parquet", "csv"):
+        for part, low in (("a", 0), ("b", 20)):
+            one = spark.createDataFrame(rows[low : low + 20], schema).coalesce(1)
+            (one.write.option("header", True).csv if fmt == "csv" else one.write.parquet)(str(tmp_path / fmt / part))
+        raw_bars = bars.load_raw(spark, str(tmp_path / fmt / "*"), fmt)
+        assert [r.close for r in raw_bars.orderBy("ingest_seq").collect()] == [float(i) for i in range(40)]
+        assert [r.close for r in P.dedup_clean(raw_bars).collect()] == [0.0]
+
+
+def test_frames_saved_by_year_come_back_whole(spark, tmp_path):
+    frames = P.build_all(bars.feed(spark, "/root/testdata/sf0.001"))
+    again = bars.load_or_build(spark, str(tmp_path), lambda: frames, bars.YEARS)
+    assert any((tmp_path / "outrights").glob("expiry_year=*"))
+    for name, df in frames.items():
+        back = again[name].select(df.columns)
+        assert back.count() == df.count() and back.subtract(df).count() == 0
