@@ -75,6 +75,12 @@ def test_mix_of_odd_rows(spark):
     assert mixing.copies(docs.limit(0)).count() == 0
 
 
+def test_a_very_long_text_counts_with_all_its_words(spark):
+    docs = documents(spark, ["w " * 300_000, *(prose(i, 10) for i in range(9))]).withColumn("domain", F.lit("dom0"))
+    read = {r.doc_id: r["__copies"] for r in mixing.copies(docs, share=0.0005, epochs=1).collect()}
+    assert read[0] == 0 and sum(read.values()) > 0  # its leaf's share ends before it
+
+
 def test_clashing_names_of_the_mix(spark):
     docs = documents(spark, [prose(i, 30) for i in range(20)]).selectExpr("*", "'d' AS w", "'x' AS __full", "1 AS __thr", "2 AS __copies", "3 AS range", "4 AS `a.b`")
     out = mixing.select(docs, path=("w", "lang", "source"), share=0.5, epochs=1)

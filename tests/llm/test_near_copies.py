@@ -81,3 +81,9 @@ def test_odd_rows(spark):
     assert len([r for r in rows if r.doc_id == 7]) == 2 and len([r for r in rows if r.doc_id == 0]) == 1
     assert near_copies.near_copies(docs).count() == len(ODD)
     assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_a_very_long_text_is_read_whole(spark):
+    long = prose(1, 100_000, 90_000)
+    kept = near_copies.drop_near_copies(documents(spark, [long, edited(long, 1, 500), long[: len(long) // 2], prose(2, 50)]))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]

@@ -134,3 +134,36 @@ def test_factorisation_identity():
     for (idx, val), y in zip(rows, got, strict=True):
         pairs = sum(params[a, 1:] @ params[b, 1:] * x * z for i, (a, x) in enumerate(zip(idx, val, strict=True)) for b, z in list(zip(idx, val, strict=True))[:i])
         assert y == pytest.approx(params[idx, 0] @ val + pairs, rel=1e-3, abs=1e-3)
+
+
+def test_training_step_equals_the_numeric_gradient(monkeypatch):
+    """One AdaGrad step on a minibatch, from the slope of the loss in every parameter."""
+    rng = np.random.default_rng(8)
+    start = rng.normal(0, 0.5, (30, 4))
+    rows = [(rng.choice(30, n, replace=False).astype(np.int32), rng.random(n)) for n in (3, 5, 8, 2)]
+    labels = np.array([0.0, 1.0, 1.0, 0.0])
+
+    def loss(params):
+        z = quality_fm.raw_scores(params, rows)[0]
+        return float(np.mean(np.log1p(np.exp(-np.where(labels == 1, z, -z)))))
+
+    slope = np.zeros_like(start)
+    for at in np.ndindex(*start.shape):
+        step = np.zeros_like(start)
+        step[at] = 1e-5
+        slope[at] = (loss(start + step) - loss(start - step)) / 2e-5
+    used = np.unique(np.concatenate([r[0] for r in rows]))
+    slope[used] += quality_fm.DECAY * start[used]
+    monkeypatch.setattr(quality_fm, "PASSES", 1)
+    params, grads = start.copy(), np.full(start.shape, 0.1)
+    quality_fm.fit(params, grads, rows, labels, 0)
+    want = start - quality_fm.RATE * slope / np.sqrt(0.1 + slope**2 + 1e-8)
+    assert np.allclose(params, want, atol=1e-5) and np.abs(params - start).max() > 1e-3
+
+
+def test_training_gives_the_same_model_however_rows_are_dealt(spark):
+    docs = documents(spark, [prose(i, 40) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    a = quality_fm.train(docs.repartition(1), labels.repartition(3), 3, 1)
+    b = quality_fm.train(docs.repartition(7), labels, 3, 1)
+    assert np.array_equal(a, b)

@@ -98,3 +98,12 @@ def test_near_duplicates_and_odd_rows(spark):
     assert len([r for r in kept.collect() if r.doc_id == 7]) == 2  # equal rows are one document
     assert len([r for r in kept.collect() if r.doc_id is None]) == 1  # the empty one without an id has a twin with one
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_a_very_long_text_is_read_whole(spark):
+    long = prose(1, 200_000, 90_000)
+    changed = " ".join(f"x{w}" for w in long.split()[100_000:])
+    docs = documents(spark, [long, f"{long} end", long[: len(long) // 2] + " " + changed, None])
+    got = {r.id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got[0] == got[1] == 0 and got[2] == 2 and got[3] == 3
+    assert simhash.fingerprint(long) == simhash.fingerprint(long.upper())
