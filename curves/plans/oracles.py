@@ -340,7 +340,7 @@ _FINAL: dict[str, str] = {
     **{f"vote_{k}": _vote(n) for k, (n, *_) in zip(("ma", "adx", "supertrend", "macd", "rsi", "bollinger", "zscore"), V.INDICATORS, strict=True)},
     "all_signals": f"SELECT {_ID}, name, bias::INT AS bias, {r('value')}, note FROM votes WHERE n >= 5",
     "signal_panel": f"SELECT {_ID}, family, sign(sum(bias))::INT AS bias, {r('CASE WHEN sum(bias) = 0 THEN 0 ELSE count(*) FILTER (sign(bias) = b) / count(*) FILTER (bias <> 0) END AS conviction')} FROM (SELECT *, sign(sum(bias) OVER (PARTITION BY {_ID}, family)) AS b FROM votes JOIN inds USING (name) WHERE n >= 5) GROUP BY ALL",
-    "regime_weights": "SELECT w.regime, name, category, weight::DOUBLE AS weight, coalesce(n, 0) AS n_series FROM wts w JOIN inds USING (category) LEFT JOIN (SELECT regime, count(*) AS n FROM reg GROUP BY 1) USING (regime)",
+    "regime_weights": f"SELECT regime, name, category, count(*) AS n_series, {r('weight', 'sum(contribution) AS contribution')} FROM parts GROUP BY regime, name, category, weight",
     "composite_score": f"SELECT {_ID}, regime, round({_VALUE}, 1) + 0.0 AS score, {_reading(_VALUE)} AS reading FROM parts GROUP BY ALL",
     "score_reading": f"SELECT reading, count(*) AS n_series, {r('min(score) AS least', 'max(score) AS greatest')} FROM (SELECT {_ID}, regime, round({_VALUE}, 1) + 0.0 AS score, {_reading(_VALUE)} AS reading FROM parts GROUP BY ALL) GROUP BY reading",
     "vote_breakdown": f"SELECT {_ID}, regime, name, category, bias, {r('weight', 'contribution')} FROM parts",
@@ -371,7 +371,7 @@ _FINAL: dict[str, str] = {
     "alignment_backtest": f"SELECT structure, alignment, n, {r('avg_continuation', 'hit_rate', 'median_return')} FROM backtest",
     "alignment_edge": f"SELECT structure, {r('edge')}, CASE WHEN edge > 0 THEN 'adds information' ELSE 'visual context only' END AS verdict FROM (SELECT t.structure, t.avg_continuation - h.avg_continuation AS edge FROM backtest t JOIN backtest h ON h.structure = t.structure AND t.alignment = 'Tailwind' AND h.alignment = 'Headwind') WHERE edge IS NOT NULL",
     "cone_by_bucket": f"SELECT {_CONE.format(k='d.bucket, ')} FROM (SELECT bucket, structure, unnest(range(min(days_to_expiry), max(days_to_expiry) + 1))::INT AS d FROM hist JOIN buckets ON days_to_expiry BETWEEN lo AND hi GROUP BY bucket, structure) d JOIN buckets b USING (bucket) JOIN hist h ON h.structure = d.structure AND h.days_to_expiry BETWEEN b.lo AND b.hi AND h.days_to_expiry BETWEEN d - {V.BUFFER} AND d + {V.BUFFER} GROUP BY ALL",
-    "seasonal_driver": f"SELECT structure, near_month, driver FROM dim JOIN ({_values(list(enumerate(V.DRIVERS, 1)))}) t(near_month, driver) USING (near_month) WHERE structure IN (SELECT structure FROM stack)",
+    "seasonal_driver": f"SELECT structure, near_month, driver, n_vintages, n_days FROM dim JOIN ({_values(list(enumerate(V.DRIVERS, 1)))}) t(near_month, driver) USING (near_month) JOIN (SELECT structure, count(DISTINCT vintage) AS n_vintages, count(*) AS n_days FROM stack GROUP BY structure) USING (structure)",
     "hurst": f"SELECT {_ID}, {r('hurst')} FROM hurst",
     "half_life": f"SELECT {_ID}, {r('half_life')} FROM hl",
     "variance_ratio": f"SELECT {_ID}, {r('variance_ratio')} FROM vr",

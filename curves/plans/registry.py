@@ -364,18 +364,18 @@ def signal_panel(spark, d):
     return rounded(G.signal_panel(G.all_signals(_long_enough(spark, d))))
 
 
-@query
-def regime_weights(spark, d):
-    """Weight of each indicator by regime, with the number of series in that regime."""
-    counts = G.regime(panel(spark, d)).groupBy("regime").agg(F.count("*").alias("n_series"))
-    return G.regime_weights(spark).join(F.broadcast(counts), "regime", "left").fillna(0, ["n_series"])  # two rows
-
-
 def _parts(spark, d):
     long = _long_enough(spark, d, "score")
     return G.contributions(G.all_signals(long), G.regime(long))
 
 
+@query
+def regime_weights(spark, d):
+    """Weight of each indicator by regime, with the series that it was applied to and what it gave to their scores."""
+    rows = _parts(spark, d).groupBy("regime", "name", "category", "weight")
+    return rounded(rows.agg(F.count("*").alias("n_series"), F.sum("contribution").alias("contribution")))
+
+
 @query
 def composite_score(spark, d):
     return rounded(G.composite_score(_parts(spark, d)))
@@ -504,9 +504,10 @@ def cone_by_bucket(spark, d):
 
 @query
 def seasonal_driver(spark, d):
-    """The driver of each structure that the tables hold."""
+    """The driver of each structure that the tables hold, with its vintages and days."""
     st = stack(spark, d)
-    return S.seasonal_driver(st).join(st.select("structure").distinct().hint("merge"), "structure", "left_semi")
+    held = st.groupBy("structure").agg(F.countDistinct("vintage").alias("n_vintages"), F.count("*").alias("n_days"))
+    return held.join(F.broadcast(S.seasonal_driver(st)), "structure")  # 23 rows
 
 
 # 2.10: diagnostics
