@@ -26,8 +26,14 @@ def scratch(spark: SparkSession) -> str:
     return path.toString()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """df written to the shared folder and read back: short lineage, known size, safe from lost executors."""
-    path = scratch(df.sparkSession)
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what was stored at path; nothing may still be computed from it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
