@@ -89,7 +89,7 @@ def test_near_duplicates_and_odd_rows(spark):
         by.setdefault(r["f"], set()).add(r.component_id)
     assert all(len(v) == 1 for v in by.values())
     n = len(ODD)
-    ids = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
+    ids = {r.id: r.component_id for r in found if r.id is not None}
     assert ids[n] == ids[n + 1] == ids[n + 2] == n and ids[n + 3] == n + 3
     assert ids[0] == ids[1] == ids[2] == 0
     kept = simhash.drop_near_duplicates(docs)
