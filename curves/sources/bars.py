@@ -69,9 +69,16 @@ def _token(ym: Column) -> Column:
     return F.concat(F.substring(F.lit(MONTHS), (ym % 12 + 1).cast("int"), F.lit(1)), (F.floor(ym / 12) % 10).cast("int").cast("string"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its files are too few to keep them busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw feed that lineitem stands for (FIXTURES.md, fixture A)."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_shipdate")
+    li = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*columns))
     line, part, supp = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     day = F.to_date("l_shipdate")
     ym = F.year(day) * 12 + F.month(day) + 1 + part % 11 + F.when(line == 7, 12).when(line == 6, 24).otherwise(0)
