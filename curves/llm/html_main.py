@@ -27,12 +27,12 @@ their own; a very long page is parsed in time linear in its length, by one task;
 other input columns don't matter. Unclosed, misnested and cut-off markup is read to its end.
 """
 
-import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,18 +62,19 @@ NOISE = re.compile(
     r"(?:cookies?|site|page|top|legal|privacy|copyright|gdpr|consent)[-_]notice|notice)" + _PARTS + r"(?=$|\s)"
 )
 #: A quote opens a value only after "=", and an unclosed one runs to the end; so every match goes on from where the last ended.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its tag, attributes, and children, which are elements or texts."""
+    """An element: its tag, attributes, and children, which are elements or texts. `survey` adds what is below it: its
+    characters, of them those of links, whether it holds a link or control, and whether it is or holds main content; and
+    whether it lies in main content. `removable` adds the hashes of its subtree."""
 
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "chars", "children", "inside", "linked", "links", "main", "skeleton", "tag", "whole")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.whole = tag, attrs, [], None
 
 
 class _Open:
@@ -158,75 +159,67 @@ def is_main(node: Node) -> bool:
     return node.tag in ("article", "main") or node.attrs.get("role") == "main"
 
 
-def _digest(parts: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+def _digest(*parts: str) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest("\x1f".join(parts).encode("utf-8", "replace")), "big", signed=True)
 
 
-class Marks:
-    """Of a node: the hashes of its subtree, whole and as a skeleton, whether it holds a link or control or is or holds
-    main content, and how many characters it has, and of them in links."""
-
-    __slots__ = ("chars", "linked", "links", "main", "skeleton", "whole")
-
-    def __init__(self, node: Node, marks: dict[int, "Marks"]):
-        own = [node.tag, node.attrs.get("class", ""), node.attrs.get("id", "")]
-        whole, bones, last = list(own), [], None
-        self.chars = self.links = 0
-        self.linked, self.main = node.tag in ("a", "button", "input"), is_main(node)
+def survey(root: Node) -> list[Node]:
+    """The nodes of a tree, each after its parent, with what is below them."""
+    root.inside, order = False, [root]
+    for node in order:  # grows as it goes
+        inside = node.inside or is_main(node)
+        for c in node.children:
+            if isinstance(c, Node):
+                c.inside = inside
+                order.append(c)
+    for node in reversed(order):
+        node.chars = node.links = 0
+        node.linked, node.main = node.tag in ("a", "button", "input"), is_main(node)
         for c in node.children:
             if isinstance(c, Node):
-                below = marks[id(c)]
-                whole.append(str(below.whole))
-                if below.skeleton != last:
-                    bones.append(str(below.skeleton))
-                last = below.skeleton
-                self.linked |= below.linked
-                self.main |= below.main
-                self.chars += below.chars
-                self.links += below.links
+                node.chars += c.chars
+                node.links += c.links
+                node.linked = node.linked or c.linked
+                node.main = node.main or c.main
             else:
-                text = _SPACE.sub(" ", c).strip()
-                whole.append(text)
-                self.chars += len(text)
+                node.chars += len(c.strip())
         if node.tag == "a":
-            self.links = self.chars
-        self.whole = _digest(whole)
-        self.skeleton = _digest([*own, "links" if self.dense else "text", *bones])
+            node.links = node.chars
+    return order
 
-    @property
-    def dense(self) -> bool:
-        """Whether at least half of the text is links."""
-        return self.links * 2 >= self.chars > 0
 
-
-def marked(root: Node) -> dict[int, Marks]:
-    """The marks of each node, by its identity."""
-    marks: dict[int, Marks] = {}
-    order, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += [c for c in node.children if isinstance(c, Node)]
-    for node in reversed(order):
-        marks[id(node)] = Marks(node, marks)
-    return marks
+def _hash(node: Node) -> None:
+    """Its subtree's hashes, whole and as a skeleton, from those of its children."""
+    own = (node.tag, node.attrs.get("class", ""), node.attrs.get("id", ""))
+    whole, bones = [], []
+    for c in node.children:
+        if isinstance(c, Node):
+            whole.append(str(c.whole))
+            if not bones or bones[-1] != c.skeleton:
+                bones.append(c.skeleton)
+        else:
+            whole.append(" ".join(c.split()))
+    node.whole = _digest(*own, *whole)
+    node.skeleton = _digest(*own, "links" if node.links * 2 >= node.chars > 0 else "text", *map(str, bones))
 
 
 def removable(root: Node) -> list[tuple[Node, tuple[int, ...]]]:
     """(node, hashes) of the subtrees that may be template, those that names drop included: outside the main content
-    by the whole and the skeleton, inside an article by the whole if it holds a link."""
-    marks, out = marked(root), []
-    article = marks[id(root)].main
-    todo = [(c, False) for c in root.children if isinstance(c, Node)]
-    while todo:
-        node, inside = todo.pop()
-        m, main = marks[id(node)], is_main(node)
-        if not inside and not m.main:
-            out.append((node, (m.whole, m.skeleton) if article or m.dense else (m.whole,)))
-        elif inside and not main and m.linked and node.tag not in INLINE:
-            out.append((node, (m.whole,)))
-        todo += [(c, inside or main) for c in node.children if isinstance(c, Node)]
-    return out
+    by the whole and the skeleton, inside an article by the whole if it holds a link. Only they and what is below them
+    are hashed."""
+    order, out, needed = survey(root), [], set()
+    for node in order[1:]:
+        may = not node.main if not node.inside else node.linked and node.tag not in INLINE and not is_main(node)
+        if may:
+            out.append(node)
+        if may or id(node) in needed:
+            needed.add(id(node))
+            needed.update(id(c) for c in node.children if isinstance(c, Node))
+    for node in reversed(order):
+        if id(node) in needed:
+            _hash(node)
+    skeletons = lambda n: not n.inside and (root.main or n.links * 2 >= n.chars > 0)
+    return [(n, (n.whole, n.skeleton) if skeletons(n) else (n.whole,)) for n in out]
 
 
 def _blocks(top: list[Node], gone: set[int], article: bool, names: bool) -> list[str]:
@@ -234,7 +227,7 @@ def _blocks(top: list[Node], gone: set[int], article: bool, names: bool) -> list
     blocks, words = [], []
 
     def flush() -> None:
-        if text := _SPACE.sub(" ", entities.unescape("".join(words))).strip():
+        if text := " ".join(entities.unescape("".join(words)).split()):
             blocks.append(text)
         words.clear()
 
@@ -289,7 +282,7 @@ def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pdf["html"]:
             root = parse(page)
             found.append(sorted({h for _, hashes in removable(root) for h in hashes}))
-            contents.append(_digest(_main_blocks(root)))
+            contents.append(_digest(*_main_blocks(root)))
         yield pd.DataFrame({"host": pdf["host"], "k": pdf["k"], "u": pdf["u"], "content": contents, "hashes": found})
 
 

@@ -89,7 +89,7 @@ def skeleton(node):
     bones, chars, links = [], 0, 0
     for c in node.children:
         if isinstance(c, str):
-            chars += len(" ".join(c.split()))
+            chars += len(c.strip())
         else:
             bone, n, of = skeleton(c)
             if not bones or bones[-1] != bone:
