@@ -19,7 +19,7 @@ A word alone says little, so an arc emits the pattern that a clause has matched,
 A pattern's weight times the insulting word's weight (and what negation and reported speech leave of it) is the
 probability that it is toxic. The document's machine reads what the clauses emit: its first lone insult counts as LONE,
 which keeps one isolated word below the threshold whatever its weight; if another clause had one before, it is the pattern
-``repeated``. A document's score is that none of its emissions misses, 1 - prod(1 - p).
+``repeated``. A document's score is the probability that any of its emissions is right, 1 - prod(1 - p).
 
 The words of violence, negation, reported speech and targets are fixed lists in four languages. The insults are
 fixed ones and those learned: words and word beginnings of 4 to 6 letters, weighted by their precision over a
