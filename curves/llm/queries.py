@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curves.llm import html_main, line_dedup, minhash, mixing, packing, quality_fm, quality_rules, revisits, simhash, toxicity
+from curves.llm import html_main, line_dedup, merkle, minhash, mixing, packing, quality_fm, quality_rules, revisits, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_html_main": html_main.op9_html_main,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op13_merkle": merkle.op13_merkle,
 }
 ORACLES = {
     "op2_revisits": revisits.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
