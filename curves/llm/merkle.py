@@ -308,11 +308,11 @@ def _up_sql(name: str, k: int) -> str:
 
 def _climb_sql(name: str, source: str, k: int) -> str:
     """Each row's siblings of a level added to its proof, and its fold taken one level up."""
-    left, right = f"array_to_string(kids[1:at % {FAN}], '')", f"array_to_string(kids[at % {FAN} + 2:], '')"
+    left, right = f"array_to_string(kids[1:place % {FAN}], '')", f"array_to_string(kids[place % {FAN} + 2:], '')"
     return f"""
-{name}{k + 1} AS (SELECT p.* REPLACE (at // {FAN} AS at, CASE WHEN more THEN proof || {left} || {right} ELSE proof END AS proof,
+{name}{k + 1} AS (SELECT p.* REPLACE (place // {FAN} AS place, CASE WHEN more THEN proof || {left} || {right} ELSE proof END AS proof,
         CASE WHEN more THEN sha256({left} || fold || {right}) ELSE fold END AS fold)
-    FROM {name}{k} p JOIN {source}{k + 1} t ON t.tree = p.{"tree" if name == "p" else "top"} AND t.i = p.at // {FAN})"""
+    FROM {name}{k} p JOIN {source}{k + 1} t ON t.tree = p.{"tree" if name == "p" else "top"} AND t.i = p.place // {FAN})"""
 
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -322,9 +322,9 @@ n0 AS (SELECT doc_id, tree, d, held, row_number() OVER (PARTITION BY tree ORDER
 {",".join(_up_sql("n", k) for k in range(_LEVELS))},
 t0 AS (SELECT '' AS tree, tree AS own, d, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM n{_LEVELS}),
 {",".join(_up_sql("t", k) for k in range(_LEVELS))},
-p0 AS (SELECT doc_id, tree, d AS leaf, i AS at, '' AS proof, coalesce(held, d) AS fold FROM n0),
+p0 AS (SELECT doc_id, tree, d AS leaf, i AS place, '' AS proof, coalesce(held, d) AS fold FROM n0),
 {",".join(_climb_sql("p", "n", k) for k in range(_LEVELS))},
-q0 AS (SELECT p.* REPLACE (t0.i AS at), '' AS top, t0.d AS subroot FROM p{_LEVELS} p JOIN t0 ON t0.own = p.tree),
+q0 AS (SELECT p.* REPLACE (t0.i AS place), '' AS top, t0.d AS subroot FROM p{_LEVELS} p JOIN t0 ON t0.own = p.tree),
 {",".join(_climb_sql("q", "t", k) for k in range(_LEVELS))}
 SELECT doc_id, leaf, subroot, t.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = t.d AS verified FROM q{_LEVELS}, t{_LEVELS} t
 """
