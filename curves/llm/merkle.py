@@ -286,7 +286,7 @@ def op13_merkle(spark, sf_dir):
 _LEVELS = 7
 
 
-def _crc_sql(text: str) -> str:
+def crc_sql(text: str) -> str:
     """CRC-32 of a text's UTF-8 bytes, bit by bit."""
     byte = f"list_transform(range(length(hex(encode({text}))) // 2), lambda k: ('0x' || substr(hex(encode({text})), (2 * k + 1)::BIGINT, 2))::BIGINT)"
     step = "lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
@@ -317,7 +317,7 @@ def _climb_sql(name: str, source: str, k: int) -> str:
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = f"""
-WITH l AS (SELECT *, {_leaf_sql("text")} AS d, CASE WHEN {_crc_sql("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf_sql(_LOW)} END AS held, coalesce('=' || lang, '-') AS tree FROM documents),
+WITH l AS (SELECT *, {_leaf_sql("text")} AS d, CASE WHEN {crc_sql("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf_sql(_LOW)} END AS held, coalesce('=' || lang, '-') AS tree FROM documents),
 n0 AS (SELECT doc_id, tree, d, held, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM l),
 {",".join(_up_sql("n", k) for k in range(_LEVELS))},
 t0 AS (SELECT '' AS tree, tree AS own, d, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM n{_LEVELS}),

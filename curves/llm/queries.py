@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curves.llm import html_main, line_dedup, merkle, minhash, mixing, packing, quality_fm, quality_rules, revisits, simhash, toxicity
+from curves.llm import bottom_k, html_main, line_dedup, merkle, minhash, mixing, packing, quality_fm, quality_rules, resampling, revisits, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_html_main": html_main.op9_html_main,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_bottom_k": bottom_k.op11_bottom_k,
+    "op12_resampling": resampling.op12_resampling,
     "op13_merkle": merkle.op13_merkle,
 }
 ORACLES = {
@@ -22,5 +24,6 @@ ORACLES = {
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op12_resampling": resampling.ORACLE,
     "op13_merkle": merkle.ORACLE,
 }
