@@ -8,13 +8,15 @@ on at least MIN_PAGES pages and MIN_SHARE of the host's pages are the host's tem
 taken. Pages of a host with the same main text, taken without templates, count as one, so that copies of a page under many
 ids and urls don't make its own text a template.
 
-Main content is the first ``article``, ``main`` or ``role=main`` element with text that is not inside a dropped one
-(several articles of a page all count), else the body. Inside an article a recurring subtree goes only if it is equal as
+Main content are the ``article``, ``main`` or ``role=main`` elements with text, else the body; several articles of a page
+all count, but for teasers, short ones with a link. What lies in a menu, footer, sidebar or the like isn't main content. Inside an article a recurring subtree goes only if it is equal as
 a whole and holds a link or a control: a paragraph that pages share is still part of their articles. On a page without an
 article a skeleton counts only if most of its text is links, since the skeletons of plain paragraphs are alike everywhere.
 
 Elements whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert, form or comments go too
-(``names``): hosts with few pages have no template, and a notice may be on few pages. They are counted like all others.
+(``names``): hosts with few pages have no template, and a notice may be on few pages. They are counted like all others. A class, id,
+role or form never takes main content with it: an element that holds some, or on a page without an article most of
+the text, stays, unless it names comments. Of articles inside and outside such elements those outside are the page's. Hidden elements go.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are trimmed and empty
 ones left out, and the blocks are joined by an empty line.
@@ -28,6 +30,7 @@ other input columns don't matter. Unclosed, misnested and cut-off markup is read
 """
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
@@ -61,6 +64,17 @@ NOISE = re.compile(
     r"comments?|commentlist|disqus|respond|replies|login|signup|search)|side|related|recommended|"
     r"(?:cookies?|site|page|top|legal|privacy|copyright|gdpr|consent)[-_]notice|notice)" + _PARTS + r"(?=$|\s)"
 )
+#: Before a name, words by which a layout says that it has such a part: has-sidebar, no-banner.
+HAVING = re.compile(r"(?:^|(?<=\s))(?:has|have|with|without|no|is|not|hide|show)[-_]\S+")
+#: Names of reader comments, which go even where they hold most of a page.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies)(?:$|[\s_-])")
+HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Elements that may be put around a whole page.
+WRAPPERS = frozenset("form fieldset label".split())
+#: Share of a text that is most of it.
+MOST = 0.5
+#: A teaser has links, and less than this share of the characters of the longest article.
+TEASER = 0.25
 #: A quote opens a value only after "=", and an unclosed one runs to the end; so every match goes on from where the last ended.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -142,16 +156,29 @@ def parse(page: str) -> Node:
     return root
 
 
-def dropped(node: Node, inside: bool, names: bool = True) -> bool:
-    """Whether an element goes by its own name; inside: of an article, whose own header stays. Without names, only what
-    is never text goes."""
+def _named(node: Node) -> str:
+    return HAVING.sub("", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".strip().lower())
+
+
+def hidden(node: Node) -> bool:
+    return "hidden" in node.attrs or node.attrs.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(node.attrs.get("style", "")))
+
+
+def dropped(node: Node, inside: bool, names: bool = True, least: float | None = None) -> bool:
+    """Whether an element goes by its own name; inside: of main content, whose own header stays. Without names, only what
+    is never text goes. least: the characters outside links that make an element one that holds most of the text; such
+    a one, and one that holds main content, doesn't go by class, id or role, nor a form around it. None inside an article."""
     if not names:
         return node.tag in RAW or node.tag in ("head", "title")
-    if node.tag in DROPPED:
+    if node.tag in DROPPED and node.tag not in WRAPPERS:
         return not (inside and node.tag == "header")
-    if "hidden" in node.attrs or node.attrs.get("role", "").lower() in ROLES:
+    if hidden(node):
+        return True
+    named = _named(node)
+    if least is not None and (node.main or node.chars - node.links > least) and not COMMENTS.search(named):
+        return False
+    if node.tag in WRAPPERS or node.attrs.get("role", "").lower() in ROLES:
         return True
-    named = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".strip().lower()
     return bool(named) and node.tag not in ("article", "main", "body") and bool(NOISE.search(named))
 
 
@@ -203,11 +230,11 @@ def _hash(node: Node) -> None:
     node.skeleton = _digest(*own, "links" if node.links * 2 >= node.chars > 0 else "text", *map(str, bones))
 
 
-def removable(root: Node) -> list[tuple[Node, tuple[int, ...]]]:
-    """(node, hashes) of the subtrees that may be template, those that names drop included: outside the main content
+def removable(root: Node, order: list[Node]) -> list[tuple[Node, tuple[int, ...]]]:
+    """order: the surveyed nodes. (node, hashes) of the subtrees that may be template, those that names drop included: outside the main content
     by the whole and the skeleton, inside an article by the whole if it holds a link. Only they and what is below them
     are hashed."""
-    order, out, needed = survey(root), [], set()
+    out, needed = [], set()
     for node in order[1:]:
         may = not node.main if not node.inside else node.linked and node.tag not in INLINE and not is_main(node)
         if may:
@@ -222,8 +249,8 @@ def removable(root: Node) -> list[tuple[Node, tuple[int, ...]]]:
     return [(n, (n.whole, n.skeleton) if skeletons(n) else (n.whole,)) for n in out]
 
 
-def _blocks(top: list[Node], gone: set[int], article: bool, names: bool) -> list[str]:
-    """The texts below the nodes top; article: whether they are main content, whose own header stays."""
+def _blocks(top: list[Node], gone: set[int], names: bool, least: float | None = None) -> list[str]:
+    """The texts below the nodes top, which are main content, or the root. least: as in dropped, until an article is met."""
     blocks, words = [], []
 
     def flush() -> None:
@@ -231,45 +258,61 @@ def _blocks(top: list[Node], gone: set[int], article: bool, names: bool) -> list
             blocks.append(text)
         words.clear()
 
-    todo: list = [(n, article) for n in reversed(top)]
+    todo: list = [(n, n.tag != "html", None if n.tag == "article" else least) for n in reversed(top)]
     while todo:
-        item, inside = todo.pop()
+        item, inside, most = todo.pop()
         if item is None:
             flush()
         elif isinstance(item, str):
             words.append(item)
-        elif id(item) not in gone and not dropped(item, inside, names):
+        elif id(item) not in gone and not dropped(item, inside, names, most):
             if item.tag in ("br", "wbr"):
                 words.append(" " if item.tag == "br" else "")
                 continue
             if item.tag not in INLINE:
                 flush()
-                todo.append((None, inside))
-            todo += [(c, inside or is_main(item)) for c in reversed(item.children)]
+                todo.append((None, inside, most))
+            below = None if item.tag == "article" else most
+            todo += [(c, inside or is_main(item), below) for c in reversed(item.children)]
     flush()
     return blocks
 
 
+def _mains(root: Node, gone: set[int], names: bool) -> list[list[Node]]:
+    """Main contents of a page in its order, those that lie in the fewest elements with a name of noise, teasers left out."""
+    found, todo, least = [], [(root, 0)], math.inf
+    while todo:
+        node, noise = todo.pop()
+        if node is not root:
+            if id(node) in gone or dropped(node, False, names, least):
+                continue
+            noise += dropped(node, False, names)
+        if is_main(node):
+            inner = [c for c in node.children if isinstance(c, Node) and c.tag == "article"]
+            found.append((noise, inner or [node]))
+            continue
+        todo += [(c, noise) for c in reversed(node.children) if isinstance(c, Node) and c.main]
+    fewest = min((noise for noise, nodes in found if any(n.chars for n in nodes)), default=0)
+    mains = [nodes for noise, nodes in found if noise == fewest]
+    longest = max((n.chars for nodes in mains for n in nodes), default=0)
+    teaser = lambda n: n.tag == "article" and 0 < n.links and (n.chars < TEASER * longest or (n.links * 2 >= n.chars and n.chars < longest))
+    return [[n for n in nodes if not (names and teaser(n))] for nodes in mains]
+
+
 def main_text(page: str, template: frozenset[int] | set[int] = frozenset(), names: bool = True, article: bool = True) -> str:
     """The main text of a page without the subtrees whose hash is in template, without the elements that names drop, and
     of the article alone if there is one."""
-    return "\n\n".join(_main_blocks(parse(page), template, names, article))
+    root = parse(page)
+    return "\n\n".join(_main_blocks(root, survey(root), template, names, article))
 
 
-def _main_blocks(root: Node, template: frozenset[int] | set[int] = frozenset(), names: bool = True, article: bool = True) -> list[str]:
-    gone = {id(n) for n, hashes in removable(root) if not template.isdisjoint(hashes)} if template else set()
-    mains, todo = [], [root] if article else []
-    while todo:
-        node = todo.pop()
-        if node is not root and (id(node) in gone or dropped(node, False, names)):
-            continue
-        if is_main(node):
-            inner = [c for c in node.children if isinstance(c, Node) and c.tag == "article"]
-            mains.append(inner or [node])
-            continue
-        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-    blocks = [b for m in mains for b in _blocks(m, gone, True, names)]
-    return blocks or _blocks([root], gone, False, names)
+def _main_blocks(root: Node, order: list[Node], template: frozenset[int] | set[int] = frozenset(), names: bool = True, article: bool = True) -> list[str]:
+    gone = {id(n) for n, hashes in removable(root, order) if not template.isdisjoint(hashes)} if template else set()
+    blocks = []
+    for nodes in _mains(root, gone, names) if article else []:
+        least = MOST * sum(n.chars - n.links for n in nodes)
+        blocks += _blocks(nodes, gone, names, least)
+    return blocks or _blocks([root], gone, names, MOST * (root.chars - root.links))
 
 
 def host(url: Column) -> Column:
@@ -281,8 +324,9 @@ def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, contents = [], []
         for page in pdf["html"]:
             root = parse(page)
-            found.append(sorted({h for _, hashes in removable(root) for h in hashes}))
-            contents.append(_digest(*_main_blocks(root)))
+            order = survey(root)
+            found.append(sorted({h for _, hashes in removable(root, order) for h in hashes}))
+            contents.append(_digest(*_main_blocks(root, order)))
         yield pd.DataFrame({"host": pdf["host"], "k": pdf["k"], "u": pdf["u"], "content": contents, "hashes": found})
 
 

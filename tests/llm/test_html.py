@@ -139,3 +139,43 @@ def test_a_very_long_page_and_clashing_names(spark):
     long = "<article>" + "<p>some words here</p>" * 50_000 + "</article>"
     pages = spark.createDataFrame([(1, "http://h.org/", long, 1, 2, 3)], "page_id bigint, url string, html string, host int, k int, `a.b` int")
     assert extract(pages).first().n_chars == 50_000 * 17 - 2
+
+
+WRAPPING = ["has-sidebar", "layout with-sidebar", "right-sidebar", "no-sidebar", "site has-banner", "nav-content", "site-modal", "share-article", "wrapper-search"]
+
+
+@pytest.mark.parametrize("cls", WRAPPING)
+def test_a_name_never_takes_main_content_with_it(cls):
+    side = "<div class='sidebar'><p>side</p></div>"
+    for main in ("<article><p>Own</p></article>", "<main><p>Own</p></main>", "<main><div><article><p>Own</p></article></div></main>"):
+        assert main_text(f"<div class='{cls}'>{side}{main}<div class='related-posts'><article><p>other</p></article></div></div>") == "Own"
+        assert main_text(f"<body><div id='{cls}'><form>{main}</form></div></body>") == "Own"
+    assert main_text(f"<main><div class='{cls}'><article><p>Own words of it</p></article></div></main>") == "Own words of it"
+    # without an article: what holds most of the text stays, and its small parts of such a name go
+    assert main_text(f"<div class='{cls}'><p>Most of the text of this page is here</p>{side}</div>") == "Most of the text of this page is here"
+
+
+def test_wrapped_pages_of_a_host_keep_their_articles(spark):
+    pages = [(i, f"http://w.org/{i}", f"<form><div class='has-sidebar'><article><p>Own words {i}</p></article></div></form>") for i in range(30)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"Own words {i}" for i in range(30)}
+
+
+def test_hidden_text_and_teasers_go():
+    hidden = ["style='display:none'", "style='color:red; display : none;'", "aria-hidden=true", "hidden", "style='visibility:hidden'"]
+    for attr in hidden:
+        assert main_text(f"<article><p>a</p><div {attr}><p>gone</p></div></article>") == "a"
+        assert main_text(f"<p>Shown text</p><div {attr}><p>gone, though it is most of the text of the page</p></div>") == "Shown text"
+    teaser = "<article><h2><a href='/x'>Another story</a></h2><p>its sum</p></article>"
+    own = "<article><p>The story of this page, at some length, as it was told to us by those who saw it</p></article>"
+    text = "The story of this page, at some length, as it was told to us by those who saw it"
+    assert main_text(f"{own}<div class='grid'>{teaser}{teaser}</div>") == text
+    assert main_text(f"<aside>{teaser}</aside>{own}<footer>{teaser}</footer>") == text
+    assert main_text(teaser) == "Another story\n\nits sum"
+
+
+def test_comments_go_even_where_they_are_most_of_the_text():
+    long = "<article class='comment'><p>A reader says much more about it than the story itself does, as readers do</p></article>"
+    assert main_text(f"<article><p>Own</p><section id='comments'>{long * 3}</section></article>") == "Own"
+    assert main_text(f"<main><p>Own</p><div class='comments-area'>{long * 3}</div></main>") == "Own"
+    assert main_text(f"<div><p>Own</p></div><div id='comments'><p>{'a reader says ' * 9}</p></div>") == "Own"
