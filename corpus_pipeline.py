@@ -41,7 +41,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays; links are pairs with a Jaccard likeness of 0.8 or more over five-word
-    shingles, found by SimHash's multi-index and, beyond its 2 bits, by min-hash bands. Texts without words are one
+    shingles, found by SimHash's multi-index and, beyond its 2 bits, by inverted lists of bottom-k sketches. Texts without words are one
     component; null ids are kept only where a component has no other; of ties the least text hash stays, and rows equal in id and text stay together."""
     return near_copies.drop_near_copies(docs)
 
