@@ -28,7 +28,7 @@ never pass through Python; an empty table gives an empty result; other input col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -98,16 +98,18 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = LIKE_PERCENT) -> bool:
     return same * 100 >= (len(a) + len(b) - same) * percent
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
-    """Written rows (id, t, v, n, sketch): a text's hash, its node, the size of its set, and the least values of it."""
+def signed(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, of: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """Written rows (id, t, v, n, f, sketch): a text's hash, its node, the size of its set, what `of` makes of the set, and its
+    least values."""
 
-    @F.pandas_udf("struct<v:long,n:long,sketch:binary>")
+    @F.pandas_udf("struct<v:long,n:long,f:long,sketch:binary>")
     def sign(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t, size) for t in texts]
-        return pd.DataFrame({"v": [node(s) for s in sets], "n": [len(s) for s in sets], "sketch": [packed(s[:K]) for s in sets]})
+        more = [of(s) if of and len(s) else 0 for s in sets]
+        return pd.DataFrame({"v": [node(s) for s in sets], "n": [len(s) for s in sets], "f": more, "sketch": [packed(s[:K]) for s in sets]})
 
-    text = F.coalesce(quoted(text_col), F.lit(""))
-    rows = stored(docs.select(quoted(id_col).alias("id"), F.xxhash64(text).alias("t"), sign(text).alias("s")))
+    text = quoted(text_col)
+    rows = stored(docs.select(quoted(id_col).alias("id"), F.xxhash64(text).alias("t"), sign(F.coalesce(text, F.lit(""))).alias("s")))
     return rows.select("id", "t", "s.*")
 
 
@@ -177,16 +179,16 @@ def _blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return left.groupBy("x", "a", "b").cogroup(right.groupBy("x", "a", "b")).applyInPandas(compare, "u long, v long").distinct()
 
 
-def _rest(listed: DataFrame, lists: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components that the lists leave open."""
+def _rest(listed: DataFrame, lists: DataFrame, roots: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """Pairs (u, v) of different components that the lists leave open. most: nodes of a short list."""
     named = listed.join(roots.hint("merge"), F.col("v") == F.col("node"), "left").select("x", "v", "least", F.coalesce("root", "v").alias("c"))
     named = stored(named.join(lists.select("x", "n").hint("merge"), "x"))
     spans = named.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("x")
     open_ = stored(named.join(spans.hint("merge"), "x", "left_semi"))
-    long = open_.filter(F.col("n") > LIST)
+    long = open_.filter(F.col("n") > most)
     # lists in blocks don't count overlaps, so a pair may have all of its own in them
     crowded = long.groupBy("v").agg(F.count("*").alias("more"))
-    short = stored(open_.filter(F.col("n") <= LIST).join(crowded.hint("merge"), "v", "left").select("x", "v", "c", "least", F.coalesce("more", F.lit(0)).alias("more")))
+    short = stored(open_.filter(F.col("n") <= most).join(crowded.hint("merge"), "v", "left").select("x", "v", "c", "least", F.coalesce("more", F.lit(0)).alias("more")))
     other = short.toDF("x", "u", "c_u", "least_u", "more_u")
     met = short.join(other.hint("merge"), "x").filter("u < v and c <> c_u").groupBy("u", "v").agg(
         F.count("*").alias("same"), F.max(F.least("least", "least_u")).alias("least"), F.max(F.least("more", "more_u")).alias("more")
@@ -202,12 +204,12 @@ def _sets(docs: DataFrame, text_col: str, rows: DataFrame, pairs: DataFrame, siz
     """(v, grams): the full sets of the nodes in pairs, from a text of each."""
     needed = pairs.select(F.explode(F.array("u", "v")).alias("v")).distinct()
     one = rows.filter("n > 0").groupBy("v").agg(F.min("t").alias("t")).join(needed.hint("merge"), "v", "left_semi")
-    text = F.coalesce(quoted(text_col), F.lit(""))
+    text = quoted(text_col)
     texts = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).groupBy("t").agg(F.first("text").alias("text"))
 
     @F.pandas_udf("binary")
     def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([packed(shingles(t, size)) for t in texts])
+        return pd.Series([packed(shingles(t or "", size)) for t in texts])
 
     return stored(texts.join(stored(one).hint("merge"), "t").select("v", whole("text").alias("grams")))
 
@@ -224,9 +226,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(both.filter(close("u_grams", "v_grams")).select("u", "v"))
 
 
-def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", size: int = SHINGLE, percent: int = LIKE_PERCENT, also: DataFrame | None = None) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", size: int = SHINGLE, percent: int = LIKE_PERCENT, also: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Edges (u, v) between the nodes of signed rows whose components are those of all pairs of a likeness of `percent`
-    hundredths, 80 at least. also: more pairs (u, v) to look at."""
+    hundredths, 80 at least. also: more pairs (u, v) to look at. most: nodes of a short list."""
     if percent < 80:
         raise ValueError("the sketches find a likeness of 0.8 or more")
     nodes = stored(rows.filter("n > 0").select("v", "sketch").groupBy("v").agg(F.first("sketch").alias("sketch")))
@@ -235,20 +237,21 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", size: int =
     if also is not None:
         hubs = stored(hubs.unionByName(also).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     first = _verified(hubs, _sets(docs, text_col, rows, hubs, size), percent)
-    rest = _rest(listed, lists, components(first), nodes)
+    rest = _rest(listed, lists, components(first), nodes, most or LIST)
     second = _verified(rest, _sets(docs, text_col, rows, rest, size), percent)
     return first.unionByName(second)
 
 
-def grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, t, n, root, component_id) of every signed row: the node that names its component, and the least id of it."""
-    roots = components(edges)
-    least = rows.filter("n > 0").groupBy("v").agg(F.min("id").alias("least"))
+def grouped(rows: DataFrame, edges: DataFrame, empty_alike: bool = False) -> DataFrame:
+    """(id, t, n, root, component_id) of every signed row: the node that names its component, and the least id of it.
+    empty_alike: whether rows without words are one component, or one each."""
+    roots, bare = components(edges), F.lit(False) if empty_alike else F.col("n") == 0
+    least = rows.filter(~bare).groupBy("v").agg(F.min("id").alias("least"))
     named = stored(least.join(roots.hint("merge"), F.col("v") == F.col("node"), "left").select("v", "least", F.coalesce("root", "v").alias("root")))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = stored(named.select("v", "root").join(ids.hint("merge"), "root").select("v", "root", "component_id"))
-    own = rows.filter("n = 0").select("id", "t", "n", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
-    return rows.filter("n > 0").join(groups.hint("merge"), "v").select("id", "t", "n", "root", "component_id").unionByName(own)
+    own = rows.filter(bare).select("id", "t", "n", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
+    return rows.filter(~bare).join(groups.hint("merge"), "v").select("id", "t", "n", "root", "component_id").unionByName(own)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = LIKE_PERCENT) -> DataFrame:
@@ -265,7 +268,7 @@ def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     """The rows of docs that have the least id of their component; rows of equal id in it stay together."""
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = found.filter(~kept(found)).select(F.col("id").alias("__gone"), F.col("t").alias("__hash")).distinct()
-    same = quoted(id_col).eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))) == F.col("__hash"))
+    same = quoted(id_col).eqNullSafe(F.col("__gone")) & (F.xxhash64(quoted(text_col)) == F.col("__hash"))
     return docs.join(gone.hint("merge"), same, "left_anti")
 
 

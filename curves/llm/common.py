@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from curves.functions.storage import stored
 
-__all__ = ["SPACES", "SPACE_RE", "WORD_RE", "free", "held_out", "let", "n_words", "order_id", "quoted", "stored", "table", "training_rows", "words"]
+__all__ = ["SPACES", "SPACE_RE", "WORD_RE", "free", "held_out", "integer_ids", "let", "n_words", "order_id", "quoted", "stored", "table", "training_rows", "words"]
 
 #: The six ASCII white space characters; a word is a run of anything else.
 SPACES = " \t\n\x0b\f\r"
@@ -43,6 +44,13 @@ def order_id(col: Column) -> Column:
     return F.coalesce(col.cast("long"), F.lit(-(2**63)))
 
 
+def integer_ids(docs: DataFrame, id_col: str) -> None:
+    """Raises TypeError unless the ids are integers."""
+    kind = docs.select(quoted(id_col)).schema[0].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, not {kind.simpleString()}")
+
+
 def free(docs: DataFrame, *stems: str) -> list[str]:
     """A column name for each stem that docs doesn't have, in any case."""
     taken = {c.lower() for c in docs.columns}

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curves.llm.common import order_id, quoted, stored, table
+from curves.llm.common import quoted, stored, table
 
 MIN_PAGES, MIN_SHARE = 10, 0.2
 
@@ -353,7 +353,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url, page = quoted(url_col), F.coalesce(quoted(html_col), F.lit(""))
     keyed = pages.select(
         quoted(id_col).alias("id"), url.alias("url"), page.alias("html"), host(url).alias("host"),
-        order_id(quoted(id_col)).alias("k"), F.xxhash64(url, page).alias("u"),
+        F.xxhash64(quoted(id_col)).alias("k"), F.xxhash64(url, page).alias("u"),
     )
     joined = keyed.join(templates(keyed).hint("merge"), ["k", "u"], "left")
 

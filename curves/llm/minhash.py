@@ -2,7 +2,8 @@
 
 Each five-word shingle (lower-cased; a shorter text is one shingle) is hashed once; the top bits choose one of
 BINS bins, which keeps its least hash. An empty bin takes the value of a filled one by optimal densification: a
-fixed random sequence of bins for each bin, followed to the first filled one, the same for every document. The
+fixed random sequence of bins for each bin, followed to the first filled one, the same for every document, and
+mixes the bin's number into it. The
 BITS low-order bits of each bin are packed and written as hex. The likeness of two fingerprints corrects the share
 of agreeing bins for chance: ``(agree - c) / (1 - c)`` with ``c = 2 ** -BITS``, cut to 0 .. 1.
 
@@ -11,7 +12,7 @@ texts: boundaries are ids of the table, rows go to the range they fall in, and t
 goes to the range before it, so every range holds its rows' successors. An id with more rows than a range has boundaries
 at hashes of its texts too, so that null ids, or one id on a third of all rows, spread over many tasks.
 
-Cases: null text counts as empty; a text without words has the empty fingerprint, which is like itself (1) and
+Cases: ids are integers, others are refused with a TypeError; null text counts as empty; a text without words has the empty fingerprint, which is like itself (1) and
 unlike all others (0); null ids come first; rows of equal id follow each other by their texts' hashes, and rows equal in
 both each have an equal next, or the first row after them; such rows are in one range; a very long text is hashed word by word in
 one task; a table of one row is its own next; an empty table gives an empty result; other input columns don't matter.
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curves.llm.common import order_id, quoted, table
+from curves.llm.common import integer_ids, order_id, quoted, table
 
 SHINGLE, BINS, BITS = 5, 256, 4
 #: Ranges for each shuffle partition.
@@ -59,6 +60,11 @@ class Fingerprinter:
 
     def minima(self, text: str) -> np.ndarray | None:
         """The densified bins of a text, None without words."""
+        found = self._bins(text)
+        return None if found is None else found[0]
+
+    def _bins(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The densified bins, and which of them borrowed their value."""
         ws = text.lower().split()
         if not ws:
             return None
@@ -83,12 +89,19 @@ class Fingerprinter:
         if len(empty):  # few filled bins: each remaining bin takes a fixed one of them
             full = np.flatnonzero(filled)
             least[empty] = least[full[empty % len(full)]]
-        return least
+        return least, np.flatnonzero(~filled)
+
+    @staticmethod
+    def _borrowed(values: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        """Values mixed with the bins that borrow them. Their low bits would else agree in all bins of two texts at once."""
+        return _mixed(values ^ (bins.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX[0]))
 
     def __call__(self, text: str) -> str:
-        least = self.minima(text)
-        if least is None:
+        found = self._bins(text)
+        if found is None:
             return ""
+        least, empty = found
+        least[empty] = self._borrowed(least[empty], empty)
         low = (least & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
         return np.packbits(np.unpackbits(low[:, None], axis=1)[:, 8 - self.bits :].ravel()).tobytes().hex()
 
@@ -142,7 +155,8 @@ def _placed(keys: np.ndarray, hashes: np.ndarray, bounds: list[tuple[int, int]])
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, visit, schema: str) -> DataFrame:
-    """visit(id, text, next text) -> row, for each document and the next one. Ids are integers."""
+    """visit(id, text, next text) -> row, the id first, for each document and the next one."""
+    integer_ids(docs, id_col)
     spark, text = docs.sparkSession, F.coalesce(quoted(text_col), F.lit(""))
     rows = docs.select(quoted(id_col).isNull().alias("none"), order_id(quoted(id_col)).alias("key"), F.shiftright(F.xxhash64(text), 11).alias("h"), text.alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -167,7 +181,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, visit, schema: str) -
                 if last and last[0] == part:
                     out.append(visit(last[1], last[2], text))
                 last = None if ahead else (part, None if none else key, text)
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names, dtype=object)  # else a null id turns its column into doubles
 
     return dealt.select("part", "ahead", "none", "key", "text").mapInPandas(walk, schema)
 

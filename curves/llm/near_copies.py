@@ -2,97 +2,31 @@
 
 Edited copies at a Jaccard likeness of 0.8 differ in about 10 of 64 SimHash bits. Hamming balls that wide can't be
 listed, and segments short enough to agree by chance hold a large corpus in a few buckets. So there are two sources of
-links between nodes, which are distinct shingle sets:
+pairs of nodes, which are distinct shingle sets:
 
 * multi-index hashing as in simhash, over the fingerprints of the five-word shingles: nodes within its 2 bits
-* for pairs beyond, BANDS keys of ROWS min-hashes each: two sets of likeness j share a key with probability
-  1 - (1 - j ** ROWS) ** BANDS, 0.9999 at 0.8
+* for pairs beyond, the inverted lists of bottom_k, which lose no pair in long lists
 
-A pair of either source is linked if its sets' Jaccard likeness is at least LIKE, so no two documents that differ more are
+A pair of either source is linked if its sets' Jaccard likeness is at least 0.8, so no two documents that differ more are
 linked by chance bits.
 
-Keys with at most BUCKET nodes pair them all. The nodes of a more crowded key are keyed again, by that key together
-with each of the MORE bands that follow it, which parts texts that only have the key in common; keys still crowded
-link their nodes to CENTRES of them, so that links grow with the nodes and not with their square.
-
-Shuffles: the keys as two longs, counted with partial aggregation; the sets of candidates, by node. Cases: null text
-counts as empty; texts without words are one component; a text of fewer than SHINGLE words is one shingle; null ids,
-repeated ids, ties and repeated rows as in simhash; a very long text is one row, whose min-hashes are taken in blocks; an
-empty table gives an empty result; other input columns don't matter and are returned as they were.
+Cases: null text counts as empty; texts without words are one component; a text of fewer than SHINGLE words is one shingle; null ids,
+repeated ids, ties and repeated rows as in simhash; ids never pass through Python; a very long text is one row, hashed in
+one piece; an empty table gives an empty result; other input columns don't matter and are returned as they were.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curves.llm import simhash
-from curves.llm.common import quoted, stored
-from curves.llm.components import components
+from curves.llm import bottom_k, simhash
+from curves.llm.common import stored
 from curves.llm.simhash import majority
 
 SHINGLE, LIKE_PERCENT = 5, 80
-BANDS, ROWS = 24, 5
-BUCKET, MORE, CENTRES = 16, 4, 4
-#: Shingles whose min-hashes are taken at a time.
-_BLOCK = 1 << 12
-_RANDOM = np.random.default_rng(5).integers(0, 2**64, (3, BANDS * ROWS), np.uint64)
-_XOR, _ODD, _MIX = _RANDOM[0], _RANDOM[1] | np.uint64(1), (_RANDOM[2] | np.uint64(1)).reshape(BANDS, ROWS)
-_SCHEMA = "i long, t long, v long, f long, shingles array<int>, bands array<long>"
-
-
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the lower-cased word shingles."""
-    ws = text.lower().split()
-    grams = [" ".join(g) for g in zip(*(ws[k:] for k in range(size)), strict=False)] or ([" ".join(ws)] if ws else [])
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), np.uint64, len(grams)))
-
-
-def bands(grams: np.ndarray) -> np.ndarray:
-    """The keys of a set of shingles, none for an empty set."""
-    if not len(grams):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
-    for at in range(0, len(grams), _BLOCK):
-        mixed = (grams[at : at + _BLOCK, None] ^ _XOR) * _ODD
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
-    keys = (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
-    return (keys ^ (keys >> np.uint64(29))).view(np.int64)
-
-
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        sets = [shingles(t) for t in pdf["text"]]
-        yield pd.DataFrame(
-            {
-                "i": pdf["i"], "t": pdf["t"], "v": [np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) for s in sets],
-                "f": [majority(s) if len(s) else 0 for s in sets], "shingles": [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets],
-                "bands": [bands(s) for s in sets],
-            }
-        )
-
-
-def _pairs(slots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(u, v) that share a key with at most BUCKET nodes; (v, key, seg) of the slots whose key has more."""
-    groups = stored(slots.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("u"), F.max("v").alias("w")).filter("n > 1"))
-    members = stored(slots.join(groups.filter("n > 2").select("key", "n").hint("merge"), "key"))
-    few = members.filter(F.col("n") <= BUCKET).select("key", "v")
-    met = few.withColumnRenamed("v", "u").join(few.hint("merge"), "key").filter("u < v").select("u", "v")
-    return groups.filter("n = 2").select("u", F.col("w").alias("v")).unionByName(met), members.filter(F.col("n") > BUCKET).drop("n")
-
-
-def _stars(slots: DataFrame) -> DataFrame:
-    """(u, v): each node of a key with CENTRES of its nodes."""
-    centre = [F.min(F.struct(F.xxhash64(F.lit(c), "v").alias("h"), F.col("v").alias("u")))["u"] for c in range(CENTRES)]
-    centres = stored(slots.groupBy("key").agg(F.array_distinct(F.array(*centre)).alias("us")))
-    both = slots.join(centres.hint("merge"), "key").select("v", F.explode("us").alias("u")).filter("u <> v")
-    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+#: Nodes of an inverted list up to which all of its pairs are listed.
+BUCKET = 32
 
 
 def print_pairs(nodes: DataFrame) -> DataFrame:
@@ -105,44 +39,13 @@ def print_pairs(nodes: DataFrame) -> DataFrame:
     return same.unionByName(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct (u, v) of the nodes v of sets that share a key of `bands`, of crowded keys as described above, or have
-    fingerprints f that simhash links."""
-    slots = stored(sets.select("v", F.posexplode("bands").alias("seg", "key")))
-    met, crowded = _pairs(slots)
-    parts = [met, print_pairs(sets.select("v", "f"))]
-    if crowded.head(1):
-        nexts = F.transform(F.sequence(F.lit(1), F.lit(MORE)), lambda k: F.get("bands", F.pmod(F.col("seg") + k, F.lit(BANDS))))
-        again = crowded.join(sets.select("v", "bands").hint("merge"), "v").select("v", "seg", "key", F.explode(nexts).alias("next"))
-        finer, still = _pairs(stored(again.select("v", "seg", F.xxhash64("key", "next").alias("key"))))
-        parts += [finer, _stars(still), _stars(crowded)]
-    return reduce(DataFrame.unionByName, parts).distinct()
-
-
-def links(signed: DataFrame, nodes: DataFrame, percent: int = LIKE_PERCENT) -> DataFrame:
-    """The candidates of nodes whose sets' Jaccard likeness is at least `percent` hundredths. Only the candidates' sets
-    are kept, as 32-bit hashes."""
-    of = lambda name, col: sets.select(F.col("v").alias(name), F.col("shingles").alias(col)).hint("merge")
-    pairs = stored(candidates(nodes))
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("v")).distinct()
-    sets = stored(signed.select("v", "shingles").dropDuplicates(["v"]).join(needed.hint("merge"), "v", "left_semi"))
-    both = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v")
-    likened = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("same"), (F.size("a") + F.size("b")).alias("total"))
-    return likened.filter(F.col("same") * 100 >= (F.col("total") - F.col("same")) * percent).select("u", "v")
-
-
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, root, component_id) of every row of docs: its text's hash, the least node of its component and the
-    least id."""
-    text = quoted(text_col)
-    rows = docs.select(quoted(id_col).cast("long").alias("i"), F.xxhash64(text).alias("t"), F.coalesce(text, F.lit("")).alias("text"))
-    signed = stored(rows.mapInPandas(_signed, _SCHEMA))
-    roots = components(links(signed, stored(signed.select("v", "f", "bands").dropDuplicates(["v"]))))
-    nodes = signed.groupBy("v").agg(F.min("i").alias("least"))
-    named = stored(nodes.join(roots.hint("merge"), F.col("v") == F.col("node"), "left").select("v", "least", F.coalesce("root", "v").alias("root")))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = stored(named.select("v", "root").join(least.hint("merge"), "root").select("v", "root", "component_id"))
-    return signed.select("v", "i", "t").join(groups.hint("merge"), "v").select(F.col("i").alias("id"), "t", "root", "component_id")
+    """(id, t, n, root, component_id) of every row of docs: its text's hash, the number of its shingles, the node that
+    names its component, and the least id of it."""
+    rows = bottom_k.signed(docs, id_col, text_col, SHINGLE, majority)
+    nodes = stored(rows.filter("n > 0").groupBy("v").agg(F.first("f").alias("f")))
+    edges = bottom_k.links(docs, rows, text_col, SHINGLE, LIKE_PERCENT, print_pairs(nodes), BUCKET)
+    return bottom_k.grouped(rows, edges, empty_alike=True)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

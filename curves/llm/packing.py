@@ -14,7 +14,7 @@ are numbered in blocks of BLOCK, which are dealt before they are.
 
 Lengths are words by default (no tokenizer is trained or needed); pass a column of token counts for exact ones.
 
-Cases: null, empty and blank texts have length zero and no piece; negative or null lengths count as zero; rows
+Cases: ids are integers, others are refused with a TypeError; null, empty and blank texts have length zero and no piece; negative or null lengths count as zero; rows
 of equal id are packed each; a null id is a null in the bin's list; a very long text is cut into many bins, of which only
 its id and numbers are kept; an empty table gives an empty result; other input columns don't matter. The result doesn't
 depend on the partitioning: items are ordered by length, id, start and number.
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curves.llm.common import n_words, order_id, quoted, stored, table
+from curves.llm.common import integer_ids, n_words, order_id, quoted, stored, table
 
 CAPACITIES, OVERHEAD, QUADRATIC, DOCS, BLOCK = (512, 1024, 2048, 4096, 8192), 32, 32768, 20_000, 4096
 SCHEMA = "bin_id string, capacity int, n_tokens int, doc_ids array<bigint>, starts array<bigint>, lengths array<int>"
@@ -92,6 +92,7 @@ def pack_items(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) ->
 
 def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, docs_a_shard: int = DOCS) -> DataFrame:
     """One row a bin: its capacity and tokens, and the id, first token and length of each piece in it."""
+    integer_ids(docs, id_col)
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
     n = F.greatest(F.coalesce((n_words(quoted(text_col)) if length is None else length).cast("long"), F.lit(0)), F.lit(0))

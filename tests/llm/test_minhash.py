@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pytest
 
-from curves.llm import minhash
+from curves.llm import line_dedup, minhash, packing
 from curves.llm.minhash import Fingerprinter, fingerprints
 from tests.llm.data import ODD, documents, prose
 
@@ -93,3 +94,23 @@ def test_odd_rows(spark):
     one = fingerprints(documents(spark, ["alone in the world"])).first()
     assert one.near_next == 1.0
     assert fingerprints(docs.limit(0)).count() == 0
+
+
+def test_huge_ids_beside_a_null_id(spark):
+    ids = [*(2**60 + 2 * i + 1 for i in range(6)), None]
+    got = fingerprints(documents(spark, [(i, prose(k, 20)) for k, i in enumerate(ids)]))
+    assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in got.collect())
+
+
+def test_short_unrelated_texts_are_unlike():
+    tool = Fingerprinter()
+    for n in range(1, 9):
+        prints = [tool(prose(1000 * n + i, n, 10**6)) for i in range(120)]
+        pairs = [tool.likeness(a, b) for k, a in enumerate(prints) for b in prints[:k]]
+        assert max(pairs) < 0.2 and tool.likeness(prints[0], tool(prose(1000 * n, n, 10**6))) == 1.0
+
+
+@pytest.mark.parametrize("operator", [fingerprints, packing.pack, line_dedup.dedup_lines])
+def test_ids_that_are_not_integers_are_refused(spark, operator):
+    with pytest.raises(TypeError):
+        operator(documents(spark, ["a b"]).selectExpr("concat('n', doc_id) AS doc_id", "text"))

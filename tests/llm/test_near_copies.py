@@ -87,3 +87,25 @@ def test_a_very_long_text_is_read_whole(spark):
     long = prose(1, 100_000, 90_000)
     kept = near_copies.drop_near_copies(documents(spark, [long, edited(long, 1, 500), long[: len(long) // 2], prose(2, 50)]))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
+def test_huge_ids_beside_a_null_id(spark):
+    docs = documents(spark, [(2**60 + 2 * i + 1, prose(i, 40)) for i in range(6)] + [(None, prose(9, 40))])
+    for drop in (near_copies.drop_near_copies, simhash.drop_near_duplicates):
+        assert sorted(str(r.doc_id) for r in drop(docs).collect()) == sorted(str(i) for i in [*(2**60 + 2 * i + 1 for i in range(6)), None])
+
+
+def test_string_ids(spark):
+    docs = documents(spark, [prose(1, 40), prose(1, 40), prose(2, 40)]).selectExpr("concat('n', doc_id) AS doc_id", "text")
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == ["n0", "n2"]
+
+
+def test_near_pairs_in_a_family_just_below_the_likeness(spark):
+    """Each text has a partner at 0.8 or more, in a family whose members are alike by less."""
+    base, texts = prose(3, 400, 50_000), []
+    for i in range(150):
+        one = edited(base, i, 5)
+        texts += [one, edited(one, 1000 + i, 3)]
+    want = survivors(texts)
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(documents(spark, texts)).collect()) == want
+    assert len(want) <= 150
