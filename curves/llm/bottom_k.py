@@ -8,14 +8,17 @@ never where both sets are known in full; so both sketches have LEAST of their va
 * Inverted lists. Values are put in one order, by the number of nodes that retain them, rare ones first. Two sketches of s
   values with o in common share MATCHES of the first s - o + MATCHES in that order, so only those make lists, without the ones that
   nobody else has. What pairs have in common over the lists are their overlaps.
-* Hubs. Each node is paired with the least node of the lists that it shares most of, so a group of many copies has as many
-  pairs as nodes. What holds makes first components.
+* Hubs. Each node is paired with the hub of the lists that it shares most of, the node of a list whose values most others
+  retain too. So a group of many copies has as many pairs as nodes. What holds makes first components.
 * The rest. Lists whose nodes are of one component are done. Of the others, short ones (LIST nodes at most) pair their nodes
-  of different components, and pairs with MATCHES overlaps go on. Longer ones are compared in blocks: all nodes outside the list's largest
-  component against all of its nodes, SIDE against SIDE sketches a task, which returns only pairs with enough in common. Nothing is
-  capped: a long list costs blocks in proportion to its nodes outside the largest component.
-* Pairs are held against the estimate of their union's sketch, then against their full sets, made again from the texts of
-  just these nodes.
+  of different components, and pairs with MATCHES overlaps go on. In long ones, sets are told apart by what sets them off from the
+  hub: if a node isn't linked to the hub, a link of it to another node means that over half of the other's difference
+  from the hub is in its own. So the rarer half of each node's difference makes new lists, which all values of the difference of the
+  nodes that aren't linked to the hub look up; a family of texts that most shingles unite falls apart there. Lists of such values that are still long are
+  compared in blocks, at most SIDE against SIDE sets a task, which return a link for each node and component. Nothing is
+  capped: a long list costs blocks in proportion to its nodes.
+* Pairs are held against the estimate of their union's sketch, then against their full sets, which are made again from the
+  texts of just these nodes.
 
 Shuffles: two longs a retained value, to count it and to rank a node's; the distinct texts once. Tasks get partial counts before
 the shuffle; joins on a hot value or node are plain exchanges that Spark can split.
@@ -28,6 +31,7 @@ never pass through Python; an empty table gives an empty result; other input col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +46,8 @@ from curves.llm.components import components
 SHINGLE, LIKE_PERCENT = 2, 80
 K, LEAST, MATCHES = 64, 0.55, 4
 LIST, SIDE = 32, 256
+#: Shingles of one side of a block, and common values compared at a time.
+_BLOCK, _COLUMNS = 1 << 18, 1 << 12
 #: Bytes of a hash in sets and sketches.
 _BYTES = 6
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -125,79 +131,131 @@ def _retained(nodes: DataFrame) -> DataFrame:
 
 
 def _listed(nodes: DataFrame) -> DataFrame:
-    """(x, v, least): the nodes in each inverted list of two or more. least: the overlaps that a pair of the node must have."""
+    """(x, v, least, w): the nodes in each inverted list. least: the overlaps that a pair of the node must have; w: how
+    common its values are."""
     values = _retained(nodes)
     common = stored(values.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1"))
     shared = values.join(common.hint("merge"), "x")
     own = Window.partitionBy("v")
     need = F.ceil(F.col("s") * F.lit(LEAST)).cast("int")
-    ranked = shared.withColumns({"k": F.row_number().over(own.orderBy("df", "x")), "m": F.count("*").over(own), "least": F.least(need, F.lit(MATCHES))})
+    ranked = shared.withColumns({"k": F.row_number().over(own.orderBy("df", "x")), "m": F.count("*").over(own), "w": F.sum(F.floor(F.log2("df") * 16)).over(own), "least": F.least(need, F.lit(MATCHES))})
     # values that no other node has come first in the order
-    first = ranked.filter(F.col("s") - F.col("m") + F.col("k") <= F.col("s") - need + F.col("least")).select("x", "v", "least")
+    first = ranked.filter(F.col("s") - F.col("m") + F.col("k") <= F.col("s") - need + F.col("least")).select("x", "v", "least", "w")
     return stored(first)
 
 
 def _hubs(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lists (x, n, u) of two or more nodes, u the least, and (u, v), each node with the hub that it shares most lists with."""
-    lists = stored(listed.groupBy("x").agg(F.count("*").alias("n"), F.min("v").alias("u")).filter("n > 1"))
-    met = listed.join(lists.hint("merge"), "x").filter("u <> v").groupBy("v", "u").agg(F.count("*").alias("same"), F.max("least").alias("least"))
-    best = met.filter("same >= least").groupBy("v").agg(F.max_by("u", F.struct("same", "u")).alias("u"))
+    """The lists (x, n, h) of two or more nodes, h the hub, and (u, v), each node with the hub that it shares most lists with."""
+    lists = stored(listed.groupBy("x").agg(F.count("*").alias("n"), F.max_by("v", F.struct("w", "v")).alias("h")).filter("n > 1"))
+    met = listed.join(lists.hint("merge"), "x").filter("h <> v").groupBy("v", "h").agg(F.count("*").alias("same"), F.max("least").alias("least"))
+    best = met.filter("same >= least").groupBy("v").agg(F.max_by("h", F.struct("same", "h")).alias("u"))
     return lists, stored(best.select("u", "v"))
 
 
-def _blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of the long lists' rows (x, v, c, n, hot, out) of different c with LEAST of their sketches in common; hot
-    is the largest component of a list, and out the number of its nodes outside."""
-    parts = lambda n: F.ceil(F.col(n) / SIDE).cast("long")
+def _open(listed: DataFrame, lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(x, v, least, c, n, h): the lists whose nodes are of several components c."""
+    named = listed.join(roots.hint("merge"), F.col("v") == F.col("node"), "left").select("x", "v", "least", F.coalesce("root", "v").alias("c"))
+    named = stored(named.join(lists.hint("merge"), "x"))
+    several = stored(named.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("x"))
+    return stored(named.join(several.hint("merge"), "x", "left_semi"))
+
+
+def _short(rows: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components of the short lists' rows with enough overlaps."""
+    # long lists don't count overlaps, so a pair may have all of its own in them
+    crowded = long.groupBy("v").agg(F.count("*").alias("more"))
+    own = stored(rows.join(crowded.hint("merge"), "v", "left").select("x", "v", "c", "least", F.coalesce("more", F.lit(0)).alias("more")))
+    other = own.toDF("x", "u", "c_u", "least_u", "more_u")
+    met = own.join(other.hint("merge"), "x").filter("u < v and c <> c_u").groupBy("u", "v").agg(
+        F.count("*").alias("same"), F.max(F.least("least", "least_u")).alias("least"), F.max(F.least("more", "more_u")).alias("more")
+    )
+    return stored(met.filter("same + more >= least").select("u", "v"))
+
+
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(h, v, c, d, need, far): what sets the members (h, v, c) off from their hubs. need: how many of those values a node that
+    isn't linked to the hub must share to be linked to v; far: whether v isn't linked to the hub."""
+
+    @F.pandas_udf("struct<d:array<long>,need:int,far:boolean>")
+    def differ(hubs: pd.Series, owns: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(hubs, owns, strict=True):
+            hub, own = unpacked(x), unpacked(y)
+            d = np.setxor1d(hub, own, assume_unique=True)
+            need = (len(d) * (100 + percent) + (100 - percent) * (len(hub) - len(own))) // (2 * (100 + percent)) + 1
+            out.append((d.astype(np.int64), need, len(d) * (100 + percent) > (100 - percent) * (len(hub) + len(own))))
+        return pd.DataFrame(out, columns=["d", "need", "far"])
+
+    of = lambda name: sets.select(F.col("v").alias(name), F.col("grams").alias(f"{name}_grams")).hint("merge")
+    both = members.join(of("h"), "h").join(of("v"), "v").select("h", "v", "c", differ("h_grams", "v_grams").alias("d"))
+    return stored(both.select("h", "v", "c", "d.*"))
+
+
+def _long(rows: DataFrame, sets: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) to verify, and links (u, v), of different components of the long lists' rows (x, v, c, h)."""
+    members = rows.filter("v <> h").select("h", "v", "c").distinct()
+    told = _differences(members, sets, percent)
+    parts = told.select("h", "v", "c", "need", "far", F.size("d").alias("size"), F.explode("d").alias("token"))
+    common = stored(parts.groupBy("h", "token").agg(F.count("*").alias("df"), F.max("far").alias("any")).filter("df > 1 and any"))
+    shared = parts.join(common.select("h", "token", "df").hint("merge"), ["h", "token"])
+    own = Window.partitionBy("h", "v")
+    ranked = shared.withColumns({"k": F.row_number().over(own.orderBy("df", "token")), "m": F.count("*").over(own)})
+    listed = ranked.withColumn("near", F.col("size") - F.col("m") + F.col("k") <= F.col("size") - F.col("need") + 1).filter("near or far")
+    listed = stored(listed.select(F.xxhash64("h", "token").alias("x"), "v", "c", "near", "far"))
+    sizes = listed.groupBy("x").agg(F.count_if("near").alias("n"), F.count_if("far").alias("out"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    sizes = stored(sizes.filter("n > 0 and out > 0 and lo < hi").select("x", "n", "out"))
+    named = stored(listed.join(sizes.hint("merge"), "x"))
+    few = F.col("n") * F.col("out") <= F.lit(64 * most)
+    small = named.filter(few)
+    other = small.filter("far").select("x", F.col("v").alias("u"), F.col("c").alias("c_u")).toDF("x", "u", "c_u")
+    met = small.filter("near").select("x", "v", "c").join(other.hint("merge"), "x").filter("u <> v and c <> c_u")
+    pairs = stored(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    large = named.filter(~few)
+    links = told.filter("not far").select(F.least("h", "v").alias("u"), F.greatest("h", "v").alias("v"))
+    return pairs, links.unionByName(_blocks(large, sets, percent)) if large.head(1) else links
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v), written, of the far nodes of each list of rows (x, v, c, near, far, n, out) with its near nodes of other
+    components, one for each far node, block and component. n and out count a list's near and far nodes. Sets are compared with those of their own class of size
+    and its neighbours, and blocks of large sets have fewer of them."""
+    ratio = 100 / percent
+    full = rows.join(sets.hint("merge"), "v").withColumn("size", F.floor(F.log(F.length("grams") / _BYTES) / math.log(ratio)).cast("int"))
+    side = F.greatest(F.least(F.lit(SIDE), F.floor(F.lit(_BLOCK) / F.pow(F.lit(ratio), F.col("size") + 1))), F.lit(1)).cast("long")
+    parts = lambda n: F.ceil(F.col(n) / side).cast("long")
     deal = lambda n: F.pmod(F.xxhash64("v"), parts(n))
-    full = rows.join(nodes.select("v", "sketch").hint("merge"), "v")
-    left = full.filter("c <> hot").select("x", deal("out").alias("a"), F.explode(F.sequence(F.lit(0), parts("n") - 1)).alias("b"), "v", "c", "sketch")
-    right = full.select("x", F.explode(F.sequence(F.lit(0), parts("out") - 1)).alias("a"), deal("n").alias("b"), "v", "c", "hot", "sketch")
-    right = right.toDF("x", "a", "b", "v", "c", "hot", "sketch")  # columns of its own
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), parts(n) - 1))
+    left = full.filter("far").select("x", "size", deal("out").alias("a"), every("n").alias("b"), "v", "c", "grams")
+    near = full.filter("near").withColumn("size", F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)])))
+    met = stored(full.filter("far").select("x", "size").distinct())
+    right = near.join(met.hint("merge"), ["x", "size"], "left_semi").select("x", "size", every("out").alias("a"), deal("n").alias("b"), "v", "c", "grams")
+    right = right.toDF(*right.columns)  # columns of its own
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        sizes = [np.array([len(b) // _BYTES for b in side["sketch"]]) for side in (left, right)]
-        values = [unpacked(b"".join(side["sketch"])) for side in (left, right)]
-        both = np.intersect1d(*values)
-        held = []
-        for size, value in zip(sizes, values, strict=True):
-            at, where = np.repeat(np.arange(len(size)), size), np.searchsorted(both, value)
-            known = (where < len(both)) & (both[np.minimum(where, len(both) - 1)] == value) if len(both) else np.zeros(len(value), bool)
-            grid = np.zeros((len(size), len(both)), np.float32)
-            grid[at[known], where[known]] = 1
-            held.append(grid)
-        same = held[0] @ held[1].T
-        least = np.ceil(LEAST * np.maximum(sizes[0][:, None], sizes[1][None, :]) - 1e-9)
-        u, v = left["v"].to_numpy(), right["v"].to_numpy()
-        # a pair of two nodes outside the largest component is met from both sides
-        once = (right["c"] == right["hot"]).to_numpy()[None, :] | (u[:, None] < v[None, :])
-        i, j = np.nonzero((same >= least) & once & (left["c"].to_numpy()[:, None] != right["c"].to_numpy()[None, :]))
-        return pd.DataFrame({"u": np.minimum(u[i], v[j]), "v": np.maximum(u[i], v[j])})
-
-    return left.groupBy("x", "a", "b").cogroup(right.groupBy("x", "a", "b")).applyInPandas(compare, "u long, v long").distinct()
-
-
-def _rest(listed: DataFrame, lists: DataFrame, roots: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """Pairs (u, v) of different components that the lists leave open. most: nodes of a short list."""
-    named = listed.join(roots.hint("merge"), F.col("v") == F.col("node"), "left").select("x", "v", "least", F.coalesce("root", "v").alias("c"))
-    named = stored(named.join(lists.select("x", "n").hint("merge"), "x"))
-    spans = named.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("x")
-    open_ = stored(named.join(spans.hint("merge"), "x", "left_semi"))
-    long = open_.filter(F.col("n") > most)
-    # lists in blocks don't count overlaps, so a pair may have all of its own in them
-    crowded = long.groupBy("v").agg(F.count("*").alias("more"))
-    short = stored(open_.filter(F.col("n") <= most).join(crowded.hint("merge"), "v", "left").select("x", "v", "c", "least", F.coalesce("more", F.lit(0)).alias("more")))
-    other = short.toDF("x", "u", "c_u", "least_u", "more_u")
-    met = short.join(other.hint("merge"), "x").filter("u < v and c <> c_u").groupBy("u", "v").agg(
-        F.count("*").alias("same"), F.max(F.least("least", "least_u")).alias("least"), F.max(F.least("more", "more_u")).alias("more")
-    )
-    pairs = met.filter("same + more >= least").select("u", "v")
-    sizes = long.groupBy("x", "c").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("c", F.struct("k", "c")).alias("hot"), (F.sum("k") - F.max("k")).alias("out"))
-    if long.head(1):
-        pairs = pairs.unionByName(_blocks(stored(long.join(sizes.hint("merge"), "x")), nodes)).distinct()
-    return stored(pairs)
+        sets = [[unpacked(b) for b in part["grams"]] for part in (left, right)]
+        sizes = [np.array([len(s) for s in part]) for part in sets]
+        values = [np.concatenate(part) for part in sets]
+        at = [np.repeat(np.arange(len(size)), size) for size in sizes]
+        both, same = np.intersect1d(*values), np.zeros((len(left), len(right)), np.int64)
+        for first in range(0, len(both), _COLUMNS):
+            part, grids = both[first : first + _COLUMNS], []
+            for value, own, size in zip(values, at, sizes, strict=True):
+                where = np.searchsorted(part, value)
+                known = part[np.minimum(where, len(part) - 1)] == value
+                grid = np.zeros((len(size), len(part)), np.float32)
+                grid[own[known], where[known]] = 1
+                grids.append(grid)
+            same += (grids[0] @ grids[1].T).astype(np.int64)
+        union = sizes[0][:, None] + sizes[1][None, :] - same
+        u, v, c, d = (x.to_numpy() for x in (left["v"], right["v"], left["c"], right["c"]))
+        i, j = np.nonzero((same * 100 >= union * percent) & (c[:, None] != d[None, :]))
+        out = pd.DataFrame({"u": u[i], "v": v[j], "d": d[j]}).drop_duplicates(["u", "d"])
+        return pd.DataFrame({"u": np.minimum(out["u"], out["v"]), "v": np.maximum(out["u"], out["v"])})
+
+    keys = ["x", "size", "a", "b"]
+    return stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "u long, v long").distinct())
 
 
 def _sets(docs: DataFrame, text_col: str, rows: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -237,9 +295,18 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", size: int =
     if also is not None:
         hubs = stored(hubs.unionByName(also).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     first = _verified(hubs, _sets(docs, text_col, rows, hubs, size), percent)
-    rest = _rest(listed, lists, components(first), nodes, most or LIST)
-    second = _verified(rest, _sets(docs, text_col, rows, rest, size), percent)
-    return first.unionByName(second)
+    most = most or LIST
+    open_ = _open(listed, lists, components(first))
+    long = open_.filter(F.col("n") > most)
+    pairs = _short(open_.filter(F.col("n") <= most), long)
+    crowded = bool(long.head(1))
+    needed = pairs.unionByName(long.select(F.col("h").alias("u"), "v").distinct()) if crowded else pairs
+    sets = _sets(docs, text_col, rows, needed, size)
+    edges = first.unionByName(_verified(pairs, sets, percent))
+    if crowded:
+        more, links = _long(long, sets, percent, most)
+        edges = edges.unionByName(_verified(more, sets, percent)).unionByName(links)
+    return edges
 
 
 def grouped(rows: DataFrame, edges: DataFrame, empty_alike: bool = False) -> DataFrame:

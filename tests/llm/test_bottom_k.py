@@ -94,7 +94,7 @@ def test_odd_rows(spark):
     assert near_duplicates(named).count() == docs.count()
 
 
-@pytest.mark.parametrize("lists, side", [(32, 256), (4, 16), (2, 5)])
+@pytest.mark.parametrize("lists, side", [(32, 256), (4, 16), (0.01, 5)])
 def test_families_lose_no_link(spark, monkeypatch, lists, side):
     """Long lists and many blocks, with one family in which most pairs are linked and others in which few are."""
     monkeypatch.setattr(bottom_k, "LIST", lists)
@@ -103,7 +103,8 @@ def test_families_lose_no_link(spark, monkeypatch, lists, side):
     base = prose(7, 150, 4000)
     loose = [changed(base, rng, 9) for _ in range(60)]  # alike by about 0.78
     pairs = [changed(t, rng, 2) for t in loose[:30]]
-    texts = [*family(80), *loose, *pairs, *(prose(100 + i, 60, 50) for i in range(40)), *(base + " " + prose(200 + i, 160) for i in range(40))]
+    inserted = [" ".join([*base.split()[:k], *(f"in{j}" for j in range(k, k + 12)), *base.split()[k:]]) for k in range(0, 60, 3)]
+    texts = [*family(80), *loose, *inserted, *pairs, *(prose(100 + i, 60, 50) for i in range(40)), *(base + " " + prose(200 + i, 160) for i in range(40))]
     rows = list(enumerate(texts))
     want = plain(rows)
     assert result(near_duplicates(documents(spark, texts))) == want
