@@ -4,6 +4,7 @@ which each query uses what it needs."""
 from __future__ import annotations
 
 from curves.functions import vocab as V
+from curves.operators import diagnostics as D
 from curves.sources.bars import YEARS
 
 M = V.MONTHS
@@ -79,6 +80,31 @@ _FU = f"(CASE WHEN s.fu IS NULL OR p.close + 3 * {_A10} < s.fu OR p.prev > s.fu
 _FL = f"(CASE WHEN s.fl IS NULL OR p.close - 3 * {_A10} > s.fl OR p.prev < s.fl THEN p.close - 3 * {_A10} ELSE s.fl END)"
 _DX = f"(100 * abs(100 * {_U14} / nullif({_A14}, 0) - 100 * {_D14} / nullif({_A14}, 0)) / nullif(100 * {_U14} / nullif({_A14}, 0) + 100 * {_D14} / nullif({_A14}, 0), 0))"
 
+
+
+def _matrix_sql(name: str, values: str) -> str:
+    """Cross products of the values v at positions p of each row r, as a matrix m in order of p; yy is its last element."""
+    return f"""
+{name} AS (SELECT structure, vintage, list(row ORDER BY i) AS m, max_by(row, i)[-1] AS yy FROM (
+    SELECT structure, vintage, i, list(g ORDER BY j) AS row FROM (
+        SELECT a.structure, a.vintage, a.p AS i, b.p AS j, sum(a.v * b.v) AS g FROM {values} a JOIN {values} b USING (structure, vintage, r) GROUP BY ALL)
+    GROUP BY ALL) GROUP BY ALL)"""
+
+
+def _elimination_sql(name: str, matrix: str, last: str) -> str:
+    """The matrix after p pivots, for every p up to last; sound unless a column depends on those before."""
+    cell = "m[i][j] - m[i][p + 1] * m[p + 1][j] / nullif(m[p + 1][p + 1], 0)"
+    return f"""
+{name} AS (SELECT structure, vintage, 0 AS p, m, yy, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS diagonal, true AS sound FROM {matrix}
+    UNION ALL SELECT structure, vintage, p + 1, list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: {cell})), yy, diagonal,
+        sound AND m[p + 1][p + 1] > 1e-10 * diagonal[p + 1] FROM {name} WHERE p < {last})"""
+
+
+def _polynomial_sql(x: str, coefs, when: str, other) -> str:
+    sql = lambda cs: " + ".join(f"{c} * pow({x}, {i})" for i, c in enumerate(cs))
+    return f"CASE WHEN {when} THEN {sql(coefs)} ELSE {sql(other)} END"
+
+
 _CTES = [
     f"""
 src AS (SELECT *, l_shipdate::DATE AS date, year(l_shipdate) * 12 + month(l_shipdate) + 1 + l_partkey % 11
@@ -230,6 +256,32 @@ hl AS (SELECT structure, vintage, CASE WHEN n >= 20 AND b < 0 THEN -ln(2) / b EN
         CASE WHEN n >= 20 AND m > 2 AND sxx > 0 AND syy - b * sxy > 0 THEN b / sqrt((syy - b * sxy) / (m - 2) / sxx) END AS df_tstat FROM ar),
 vr AS (SELECT structure, vintage, CASE WHEN count(*) >= 15 THEN var_samp(dk) / nullif(5 * var_samp(d1), 0) END AS variance_ratio
     FROM (SELECT *, close - lag(close) OVER ({_SER}) AS d1, close - lag(close, 5) OVER ({_SER}) AS dk FROM panel) GROUP BY ALL)""",
+    f"""
+adf_x AS (SELECT structure, vintage, row_number() OVER ({_SER}) - 2 AS r, n, lag(x) OVER ({_SER}) AS l, x - lag(x) OVER ({_SER}) AS d
+    FROM (SELECT structure, vintage, date, close - avg(close) OVER s AS x, count(*) OVER s AS n FROM panel SEMI JOIN
+          (SELECT structure, vintage FROM panel GROUP BY ALL HAVING count(*) >= 20 AND count(DISTINCT close) >= 3) USING (structure, vintage)
+          WINDOW s AS (PARTITION BY structure, vintage))),
+adf_s AS MATERIALIZED (SELECT structure, vintage, r, n, l, d, least(n // 2 - 2, ceil(12 * pow(n / 100, 0.25))::BIGINT) AS most FROM adf_x WHERE r >= 0),
+adf_v AS (SELECT structure, vintage, r, 1 AS p, 1.0::DOUBLE AS v FROM adf_s WHERE r >= most UNION ALL SELECT structure, vintage, r, 2, l FROM adf_s WHERE r >= most
+    UNION ALL SELECT a.structure, a.vintage, a.r, CASE WHEN b.r = a.r THEN a.most + 3 ELSE a.r - b.r + 2 END, b.d
+    FROM adf_s a JOIN adf_s b ON b.structure = a.structure AND b.vintage = a.vintage AND b.r BETWEEN a.r - a.most AND a.r WHERE a.r >= a.most),
+{_matrix_sql("adf_g", "adf_v")},
+{_elimination_sql("adf_e", "adf_g", "len(m) - 1")},
+adf_k AS (SELECT e.structure, e.vintage, arg_min(p - 2, (k * (ln(2 * pi()) + ln(m[-1][-1] / k) + 1) + 2 * p, p)) AS lag
+    FROM adf_e e JOIN (SELECT structure, vintage, any_value(n - 1 - most) AS k FROM adf_s GROUP BY ALL) USING (structure, vintage)
+    WHERE p >= 2 GROUP BY ALL HAVING bool_and(sound) AND min(m[-1][-1] / yy) > 1e-10),
+adf_s2 AS MATERIALIZED (SELECT s.*, lag FROM adf_s s JOIN adf_k USING (structure, vintage)),
+adf_v2 AS (SELECT structure, vintage, r, 1 AS p, 1.0::DOUBLE AS v FROM adf_s2 WHERE r >= lag UNION ALL SELECT structure, vintage, r, lag + 2, l FROM adf_s2 WHERE r >= lag
+    UNION ALL SELECT a.structure, a.vintage, a.r, CASE WHEN b.r = a.r THEN a.lag + 3 ELSE a.r - b.r + 1 END, b.d
+    FROM adf_s2 a JOIN adf_s2 b ON b.structure = a.structure AND b.vintage = a.vintage AND b.r BETWEEN a.r - a.lag AND a.r WHERE a.r >= a.lag),
+{_matrix_sql("adf_h", "adf_v2")},
+{_elimination_sql("adf_f", "adf_h", "len(m) - 2")},
+adf_t AS (SELECT structure, vintage, lag::INT AS adf_lag, m[-2][-1] / sqrt(m[-2][-2] * (m[-1][-1] - m[-2][-1] * m[-2][-1] / m[-2][-2]) / (n - 1 - lag - lag - 2)) AS adf_stat
+    FROM adf_f JOIN (SELECT structure, vintage, any_value(n) AS n, any_value(lag) AS lag FROM adf_s2 GROUP BY ALL) USING (structure, vintage) WHERE p = len(m) - 2 AND sound),
+adf_z AS (SELECT *, {_polynomial_sql("adf_stat", D.SMALL_P, f"adf_stat <= {D.TAU_STAR}", D.LARGE_P)} / sqrt(2) AS z FROM adf_t),
+adf AS (SELECT structure, vintage, adf_lag, adf_stat, CASE WHEN adf_stat > {D.TAU_MAX} THEN 1 WHEN adf_stat < {D.TAU_MIN} THEN 0
+        ELSE 0.5 * (1 + sign(z) * exp(-z * z) * list_sum(list_transform(range(150), lambda k: pow(abs(z), 2 * k + 1) / gamma(k + 1.5)))) END AS adf_pvalue
+    FROM counts LEFT JOIN adf_z USING (structure, vintage))""",
 ]
 PRELUDE = "WITH RECURSIVE " + ",".join(_CTES)
 
@@ -376,7 +428,8 @@ _FINAL: dict[str, str] = {
     "half_life": f"SELECT {_ID}, {r('half_life')} FROM hl",
     "variance_ratio": f"SELECT {_ID}, {r('variance_ratio')} FROM vr",
     "df_tstat": f"SELECT {_ID}, {r('df_tstat')} FROM hl",
+    "adf_pvalue": f"SELECT {_ID}, adf_lag, {r('adf_stat', 'adf_pvalue')} FROM adf",
+    "regime_diagnostics": f"SELECT {_ID}, {r('hurst', 'half_life', 'variance_ratio', 'adf_pvalue')}, (coalesce((hurst < 0.5)::INT, 0) + coalesce((variance_ratio < 1)::INT, 0) + coalesce((adf_pvalue < 0.1)::INT, 0)) * 2 > (hurst IS NOT NULL)::INT + (variance_ratio IS NOT NULL)::INT + (adf_pvalue IS NOT NULL)::INT AS is_mean_reverting FROM hurst JOIN hl USING (structure, vintage) JOIN vr USING (structure, vintage) JOIN adf USING (structure, vintage)",
     "mean_reversion_verdict": f"SELECT {_ID}, {r('hurst', 'half_life', 'variance_ratio')}, (coalesce((hurst < 0.5)::INT, 0) + coalesce((variance_ratio < 1)::INT, 0)) * 2 > (hurst IS NOT NULL)::INT + (variance_ratio IS NOT NULL)::INT AS is_mean_reverting FROM hurst JOIN hl USING (structure, vintage) JOIN vr USING (structure, vintage)",
 }
-#: adf_pvalue and regime_diagnostics fit regressions of a data-dependent order, for which SQL has no equal.
 ORACLES = {name: f"{PRELUDE}\n{sql}" for name, sql in _FINAL.items()}

@@ -535,7 +535,8 @@ def df_tstat(spark, d):
 
 @query
 def adf_pvalue(spark, d):
-    return rounded(D.adf_pvalue(panel(spark, d)))
+    """Lag, statistic and p-value of the augmented Dickey-Fuller test of every series."""
+    return rounded(D.adf(panel(spark, d)))
 
 
 @query
@@ -545,5 +546,5 @@ def regime_diagnostics(spark, d):
 
 @query
 def mean_reversion_verdict(spark, d):
-    """The verdict without the Dickey-Fuller test, for which SQL has no equal."""
+    """The verdict of the two tests without a regression."""
     return rounded(D.regime_diagnostics(panel(spark, d), adf=False))
