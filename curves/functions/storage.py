@@ -33,7 +33,47 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete what was stored at path; nothing may still be computed from it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, fs = _folder(spark, path)
+    fs.delete(path, True)
+
+
+def files(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Size of each file below a folder by its path in it, but for hidden ones and marks; empty if there is no such folder."""
+    base, fs = _folder(spark, folder)
+    if not fs.exists(base):
+        return {}
+    found, root = fs.listFiles(base, True), fs.resolvePath(base).toString().rstrip("/") + "/"
+    out = {}
+    while found.hasNext():
+        entry = found.next()
+        path = entry.getPath().toString().removeprefix(root)
+        if not path.rsplit("/", 1)[-1].startswith(("_", ".")):
+            out[path] = entry.getLen()
+    return out
+
+
+def taken(spark: SparkSession, folder: str) -> bool:
+    """Whether there is anything in a folder."""
+    base, fs = _folder(spark, folder)
+    return bool(fs.exists(base) and len(fs.listStatus(base)))
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file that is there as a whole or not at all: it gets its name when it is complete."""
+    final, fs = _folder(spark, path)
+    hidden = spark._jvm.org.apache.hadoop.fs.Path(final.getParent(), f".{final.getName()}.{uuid4().hex}")
+    stream = fs.create(hidden, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not fs.rename(hidden, final):
+        raise OSError(f"could not rename {hidden.toString()} to {path}")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import math
+import time
 from collections.abc import Callable
+from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from curves.functions import storage
+from curves.functions.storage import stored
 from curves.functions.vocab import MONTHS
 
 RAW_SCHEMA = (
@@ -40,27 +46,80 @@ YEARS = {
 }
 
 
-def save_frames(frames: dict[str, DataFrame], out: str, fmt: str = "parquet", years: dict[str, str] | None = None) -> None:
+#: Rows of a file of a frame saved by year.
+ROWS_A_FILE = 1_000_000
+
+
+def by_ranges(df: DataFrame, year: str, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
+    """df dealt to tasks by ranges of year, date and contract with about rows_a_file rows each, so that tasks grow with the
+    rows, and a year with most of them has many; a folder of a year gets files of neighbouring dates. df is written out
+    first, as the ranges are sampled from it, and it is counted."""
+    rows = stored(df)
+    ranges = max(1, math.ceil(rows.count() / rows_a_file))
+    keys = [c for c in (year, "date", "contract") if c in df.columns]
+    return rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+
+
+def save_frames(frames: dict[str, DataFrame], out: str, fmt: str = "parquet", years: dict[str, str] | None = None, rows_a_file: int = ROWS_A_FILE) -> None:
     """A folder for each frame; with years, in it one for each value of the frame's column."""
     for name, df in frames.items():
         year = (years or {}).get(name)
-        # rows of a year go to one task each, split by date, so that a folder has few files
-        writer = (df.repartition(year, F.year("date")).write.partitionBy(year) if year else df.write).mode("overwrite")
+        writer = (by_ranges(df, year, rows_a_file).write.partitionBy(year).option("maxRecordsPerFile", rows_a_file) if year else df.write).mode("overwrite")
         (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(f"{out}/{name}")
 
 
+def commit_frames(frames: dict[str, DataFrame], out: str, years: dict[str, str] | None = None, rows_a_file: int = ROWS_A_FILE) -> str:
+    """Save a version of the frames below out, and name it in a manifest once all of it is written: each frame's schema, rows,
+    and files with their sizes. Readers follow the newest manifest, so they see all of a version or nothing of it, and a build that
+    is killed leaves the version before. The first version lies in out itself, if nothing else does, and later ones in
+    folders of their own. Returns the version's folder."""
+    spark = next(iter(frames.values())).sparkSession
+    version = f"{time.time_ns():020d}-{uuid4().hex[:8]}"
+    base = f"{out}/{version}" if storage.taken(spark, out) else out
+    save_frames(frames, base, years=years, rows_a_file=rows_a_file)
+    entries = {}
+    for name in frames:
+        saved = spark.read.parquet(f"{base}/{name}")
+        entries[name] = {"schema": saved.schema.json(), "rows": saved.count(), "files": storage.files(spark, f"{base}/{name}")}
+    storage.publish(spark, f"{out}/{MANIFESTS}/{version}.json", json.dumps({"folder": base.removeprefix(out), "frames": entries}))
+    return base
+
+
+#: Folder of the manifests; each is named for its version, and names grow with time.
+MANIFESTS = "_manifests"
+
+
+def manifest(spark: SparkSession, out: str) -> dict | None:
+    """The newest manifest whose frames are all there, in full."""
+    for path in sorted(storage.files(spark, f"{out}/{MANIFESTS}"), reverse=True):
+        found = json.loads(spark.read.text(f"{out}/{MANIFESTS}/{path}", wholetext=True).first()[0])
+        held = found["frames"]
+        if set(held) >= set(FAMILIES) and all(storage.files(spark, f"{out}{found['folder']}/{n}") == e["files"] for n, e in held.items()):
+            return found
+    return None
+
+
 def load_frames(spark: SparkSession, out: str) -> dict[str, DataFrame] | None:
-    """The saved families, or None unless all eight are there."""
-    try:
-        return {name: spark.read.parquet(f"{out}/{name}") for name in FAMILIES}
-    except AnalysisException:
+    """The committed families, or None unless a manifest says that all eight are complete and their files are there."""
+    if (found := manifest(spark, out)) is None:
         return None
+    schemas = {name: StructType.fromJson(json.loads(found["frames"][name]["schema"])) for name in FAMILIES}
+    return {name: spark.read.schema(schema).parquet(f"{out}{found['folder']}/{name}") for name, schema in schemas.items()}
+
+
+def remove_old_frames(spark: SparkSession, out: str, keep: int = 1) -> None:
+    """Remove all committed versions but the newest `keep`, their manifests first."""
+    for path in sorted(storage.files(spark, f"{out}/{MANIFESTS}"), reverse=True)[keep:]:
+        old = json.loads(spark.read.text(f"{out}/{MANIFESTS}/{path}", wholetext=True).first()[0])
+        storage.remove(spark, f"{out}/{MANIFESTS}/{path}")
+        for name in old["frames"]:
+            storage.remove(spark, f"{out}{old['folder']}/{name}")
 
 
 def load_or_build(spark: SparkSession, out: str, build: Callable[[], dict[str, DataFrame]], years: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """The saved families; if one is missing, all are built and saved first."""
+    """The committed families; without a complete version, all are built and committed first."""
     if (found := load_frames(spark, out)) is None:
-        save_frames(build(), out, years=years)
+        commit_frames(build(), out, years)
         found = load_frames(spark, out)
     return found
 

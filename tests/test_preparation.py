@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,48 @@ def test_frames_saved_by_year_come_back_whole(spark, tmp_path):
     for name, df in frames.items():
         back = again[name].select(df.columns)
         assert back.count() == df.count() and back.subtract(df).count() == 0
+
+
+def _bars(spark, n, year=2020):
+    return spark.range(n).selectExpr(f"cast({year} as int) AS y", f"date_add(date'{year}-01-01', cast(id % 300 as int)) AS date", "concat('C', id) AS contract", "double(id) AS close")
+
+
+def test_a_year_with_most_rows_is_many_tasks_and_files(spark, tmp_path):
+    rows = _bars(spark, 900).unionByName(_bars(spark, 60, 2019)).unionByName(_bars(spark, 40, 2021))
+    bars.save_frames({"flies": rows}, str(tmp_path), years={"flies": "y"}, rows_a_file=100)
+    held = {y.name: list(y.glob("*.parquet")) for y in (tmp_path / "flies").iterdir() if y.is_dir()}
+    assert len(held["y=2020"]) >= 9 and 1 <= len(held["y=2019"]) <= 2
+    files = spark.read.parquet(str(tmp_path / "flies")).withColumn("f", F.input_file_name())
+    spans = sorted((r.y, r.a, r.b, r.n) for r in files.groupBy("f").agg(F.min("y").alias("y"), F.min("date").alias("a"), F.max("date").alias("b"), F.count("*").alias("n")).collect())
+    assert max(n for *_, n in spans) <= 100 and sum(n for *_, n in spans) == 1000
+    assert all(one[0] != two[0] or one[2] <= two[1] for one, two in zip(spans, spans[1:], strict=False))  # files of neighbouring dates
+    assert bars.by_ranges(rows, "y", 10).rdd.getNumPartitions() == 100 and bars.by_ranges(rows.limit(0), "y").count() == 0
+
+
+def test_only_complete_versions_are_loaded(spark, tmp_path):
+    out, frames = str(tmp_path), {name: _bars(spark, 20) for name in bars.FAMILIES}
+    bars.save_frames(frames, out)  # folders alone are no version
+    assert bars.load_frames(spark, out) is None
+
+    killed = dict(frames)
+    killed["yearly"] = frames["yearly"].selectExpr("y", "date", "contract", "raise_error('killed') AS close")
+    with pytest.raises(Exception, match="killed"):
+        bars.commit_frames(killed, out)
+    assert bars.load_frames(spark, out) is None  # the build was killed between two frames
+
+    first = bars.commit_frames(frames, out, dict.fromkeys(bars.FAMILIES, "y"))
+    got = bars.load_frames(spark, out)
+    assert set(got) == set(bars.FAMILIES) and got["flies"].count() == 20 and set(got["flies"].columns) == set(frames["flies"].columns)
+    with pytest.raises(Exception, match="killed"):
+        bars.commit_frames(killed, out)
+    assert bars.load_frames(spark, out)["yearly"].count() == 20  # of the version before
+
+    second = bars.commit_frames({n: df.limit(7) for n, df in frames.items()}, out)
+    assert bars.load_frames(spark, out)["flies"].count() == 7
+    next(Path(second, "cracks").glob("*.parquet")).unlink()  # a file is lost
+    assert bars.load_frames(spark, out)["cracks"].count() == 20
+    next(Path(first, "flies").rglob("*.parquet")).write_bytes(b"cut")
+    assert bars.load_frames(spark, out) is None
+    bars.commit_frames(frames, out)
+    bars.remove_old_frames(spark, out)
+    assert not Path(first, "flies").exists() and not Path(second, "flies").exists() and bars.load_frames(spark, out)["flies"].count() == 20
