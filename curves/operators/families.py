@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,9 @@ def parsed(raw: DataFrame, pattern: str, names: list[str]) -> DataFrame:
 
 def dedup_clean(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
     """The first bar of each date and symbol in feed order; then those with high below low go, and constant columns."""
-    first = F.row_number().over(Window.partitionBy("date", "symbol").orderBy(order))
-    return raw.withColumn("__n", first).filter("__n = 1").filter("high >= low").drop("__n", "rtype", "publisher_id", order)
+    kept = [c for c in raw.columns if c not in ("date", "symbol", "rtype", "publisher_id", order)]
+    first = raw.groupBy("date", "symbol").agg(F.min_by(F.struct(*kept), F.struct(order)).alias("__first"))
+    return first.select("*", "__first.*").drop("__first").filter("high >= low").select(*[c for c in raw.columns if c not in ("rtype", "publisher_id", order)])
 
 
 def last_12_months(frame: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -103,49 +106,60 @@ def brent_wti(raw: DataFrame, deduped: bool = False) -> DataFrame:
     return rows.withColumn("contract", _label("CL", F.col("wti_month_code"), F.col("wti_year"), "-BZ", F.col("brent_month_code"), F.col("brent_year")))
 
 
+def with_later(legs: DataFrame, gaps: Iterable[int]) -> DataFrame:
+    """legs with `later_<gap>` for each gap: the closes, on the same date, of the contract so many months later.
+
+    All gaps are frames of one window by date, so the legs are shuffled and sorted once for all spreads and butterflies,
+    where joins would shuffle both sides of each. A date has the contracts of a few years.
+    """
+    at = Window.partitionBy("date").orderBy(F.col("expiry_year") * 12 + F.col("month"))
+    return legs.withColumns({f"later_{g}": F.collect_list(F.struct("close")).over(at.rangeBetween(g, g)) for g in gaps})
+
+
+def _later(legs: DataFrame, *gaps: int) -> DataFrame:
+    missing = [g for g in gaps if f"later_{g}" not in legs.columns]
+    return with_later(legs, missing) if missing else legs
+
+
 def calendar_spread(legs: DataFrame, gap: int, name: str, trim: bool = True) -> DataFrame:
     """Near minus far outright, the far one `gap` months later, on dates when both traded."""
-    near = legs.select(
-        "date", F.col("contract").alias("near_contract"), F.col("close").alias("near_close"), F.col("month").alias("near_month"),
-        F.col("month_code").alias("near_month_code"), F.col("expiry_year").alias("near_year"),
-        V.shift_contract(F.col("month"), F.col("expiry_year"), gap).alias("far_contract"),
-    )
-    far = legs.select("date", F.col("contract").alias("far_contract"), F.col("close").alias("far_close"))
-    out = near.join(far.hint("merge"), ["date", "far_contract"]).withColumns(
+    out = _later(legs, gap).select(
+        "date", V.shift_contract(F.col("month"), F.col("expiry_year"), gap).alias("far_contract"),
+        F.col("contract").alias("near_contract"), F.col("close").alias("near_close"), F.col("month").alias("near_month"),
+        F.col("month_code").alias("near_month_code"), F.col("expiry_year").alias("near_year"), F.explode(f"later_{gap}.close").alias("far_close"),
+    ).withColumns(
         {
             "close": F.col("near_close") - F.col("far_close"),
             "contract": F.concat("near_contract", F.lit("-"), "far_contract"),
             "structure": F.lit(name), "gap_months": F.lit(gap), "n_legs": F.lit(2),
-        }
-    )
+        }
+    )
     return last_12_months(out, ["contract"]) if trim else out
 
 
 def flies(legs: DataFrame, name: str = "fly", trim: bool = True, months: tuple[str, ...] = V.FLY_MONTHS) -> DataFrame:
     """Same-month butterflies over three consecutive years."""
     later = lambda k: _label("CL", F.col("month_code"), F.col("expiry_year") + k)
-    front = legs.filter(F.col("month_code").isin(*months)).select(
-        "date", F.col("contract").alias("front_contract"), F.col("close").alias("front_close"), "month", "month_code",
-        F.col("expiry_year").alias("front_year"), later(1).alias("mid_contract"), later(2).alias("back_contract"),
+    front = _later(legs, 12, 24).filter(F.col("month_code").isin(*months)).select(
+        "date", later(1).alias("mid_contract"), later(2).alias("back_contract"), F.col("contract").alias("front_contract"),
+        F.col("close").alias("front_close"), "month", "month_code", F.col("expiry_year").alias("front_year"), "later_24", F.explode("later_12.close").alias("mid_close"),
     )
-    leg = lambda p: legs.select("date", F.col("contract").alias(f"{p}_contract"), F.col("close").alias(f"{p}_close"))
-    out = front.join(leg("mid").hint("merge"), ["date", "mid_contract"]).join(leg("back").hint("merge"), ["date", "back_contract"])
-    out = out.withColumns(
+    out = front.select("*", F.explode("later_24.close").alias("back_close")).drop("later_24").withColumns(
         {
             "close": F.col("front_close") - 2 * F.col("mid_close") + F.col("back_close"),
             "contract": F.concat_ws("-", "front_contract", "mid_contract", "back_contract"),
             "structure": F.lit(name), "n_legs": F.lit(3),
-        }
-    )
+        }
+    )
     return last_12_months(out, ["contract"]) if trim else out
 
 
 def build_all(raw: DataFrame, trim_synthetic: bool = True) -> dict[str, DataFrame]:
     """The eight families. The feed is deduplicated once for all listed families; the untrimmed outrights, which are the
-    legs of four families and once trimmed the first, are written once."""
+    legs of four families and once trimmed the first, are written once, and once again with the later legs' closes."""
     clean = stored(dedup_clean(raw))
     whole = stored(outrights(clean, trim=False, deduped=True))
-    legs = whole.select("date", "contract", "close", "month", "month_code", "expiry_year")
+    legs = stored(with_later(whole.select("date", "contract", "close", "month", "month_code", "expiry_year"), {*V.TENORS.values(), 12, 24}))
     spreads = {name: calendar_spread(legs, gap, name, trim_synthetic) for name, gap in V.TENORS.items()}
     listed = {name: build(clean, deduped=True) for name, build in (("calendars", calendars), ("cracks", cracks), ("brent_wti", brent_wti))}
     return {"outrights": last_12_months(whole), **listed, **spreads, "flies": flies(legs, trim=trim_synthetic)}

@@ -6,10 +6,15 @@ Each function adds columns to a frame of (keys, date, close). Within a series da
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from curves.functions.places import numbered
+from curves.functions.storage import stored
+
 KEYS = ["structure", "vintage"]
 
 
@@ -249,35 +254,95 @@ def trend_sign(df: DataFrame, lookback: int = 20, keys: list[str] = KEYS) -> Dat
     return df.withColumn("trend_sign", F.coalesce(F.signum(move).cast("int"), F.lit(0)))
 
 
-def supertrend(df: DataFrame, period: int = 10, mult: float = 3.0, seed: str = "first_valid", keys: list[str] = KEYS) -> DataFrame:
+#: What a row of the Supertrend needs of the one before: both bands, the way, the close before and the ATR.
+_STATE = "up double, low double, way int, before double, width double"
+_START = (None, None, 1, None, None)
+
+
+def _walk(closes: list[float], state: tuple, period: int, mult: float) -> tuple[list, list, tuple]:
+    """Lines and ways of closes that follow a state, and the state that they leave."""
+    up, low, way, before, width = state
+    lines, ways = [], []
+    for c in closes:
+        line = None
+        if before is not None and c == c:
+            move = abs(c - before)
+            width = move if width is None else width + (move - width) / period
+            w = mult * width
+            up = c + w if up is None or c + w < up or before > up else up
+            low = c - w if low is None or c - w > low or before < low else low
+            way = (-1 if c < low else 1) if way == 1 else (1 if c > up else -1)
+            line = low if way == 1 else up
+        if c == c:
+            before = c
+        lines.append(line)
+        ways.append(way)
+    return lines, ways, (up, low, way, before, width)
+
+
+def _state(rows: pd.DataFrame) -> tuple:
+    """The state of one row or none."""
+    if not len(rows):
+        return _START
+    own = rows.iloc[0]
+    return tuple(int(own[c]) if c == "way" else None if pd.isna(own[c]) else float(own[c]) for c in ("up", "low", "way", "before", "width"))
+
+
+def _block_starts(rows: DataFrame, keys: list[str], types: str, period: int, mult: float) -> DataFrame:
+    """(keys, block, state): the state before each block but the first of rows (keys, block, date, close).
+
+    A block is walked from the state that the block before left, all blocks at once, and once more wherever that state has changed, until none does. A
+    band is soon reset and the ATR forgets, so that the end of a long block rarely depends on its start; then the third walk changes nothing. In
+    the worst case as many walks are needed as a series has blocks.
+    """
+    by = [*keys, "block"]
+    schema = f"{types}, block long, {_STATE}, moved boolean"
+    starts = stored(rows.select(*by).limit(0).withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in _STATE.split(", ")}))
+
+    def walk(names: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        own = _state(start)
+        end = _walk(pdf.sort_values("date")["close"].tolist(), own, period, mult)[2]
+        return pd.DataFrame([(*names[:-1], names[-1] + 1, *end, True)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    while True:
+        ends = rows.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(walk, schema)
+        last = rows.groupBy(*keys).agg(F.max("block").alias("most"))
+        found = stored(ends.join(last.hint("merge"), keys).filter("block <= most").drop("most", "moved"))
+        near = lambda c: F.coalesce(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= 1e-12 * F.greatest(F.abs(f"a.{c}"), F.lit(1.0)), F.col(f"a.{c}").isNull() & F.col(f"b.{c}").isNull())
+        same = reduce(lambda x, y: x & y, [near(c.split()[0]) for c in _STATE.split(", ")])
+        both = found.alias("a").join(starts.alias("b").hint("merge"), by, "left")
+        if not both.filter(~same).head(1):
+            return found
+        starts = found
+
+
+def supertrend(df: DataFrame, period: int = 10, mult: float = 3.0, seed: str = "first_valid", keys: list[str] = KEYS, block: int | None = None) -> DataFrame:
     """(keys, date, close, supertrend, direction): ratcheting bands of `mult` ATR, which flip when the close crosses them.
 
-    Each band depends on the one before, so a series is read in order by one task, the ATR with it. seed="first_valid"
+    Each band depends on the one before, so a series is read in order by one task, the ATR with it; with block, series are cut
+    into blocks of so many rows, each a task, whose start states are found first. seed="first_valid"
     starts the bands at the first row with an ATR; "row0" starts them at the first row, whose ATR is null, so that they
     stay null and the direction stays 1.
     """
     if seed not in ("first_valid", "row0"):
         raise ValueError("seed is first_valid or row0")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys, "date").schema)
+    rows = df.select(*keys, "date", "close")
+    if seed == "row0":
+        return rows.withColumns({"supertrend": F.lit(None).cast("double"), "direction": F.lit(1)})
+    schema = f"{types}, close double, supertrend double, direction int"
 
-    def walk(pdf):
+    def lines(pdf: pd.DataFrame, start: tuple) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        lines, ways, up, low, way, before, width = [], [], None, None, 1, None, None
-        for c in pdf["close"].tolist():
-            line = None
-            if before is not None and c == c:
-                move = abs(c - before)
-                width = move if width is None else width + (move - width) / period
-                if seed == "first_valid":
-                    w = mult * width
-                    up = c + w if up is None or c + w < up or before > up else up
-                    low = c - w if low is None or c - w > low or before < low else low
-                    way = (-1 if c < low else 1) if way == 1 else (1 if c > up else -1)
-                    line = low if way == 1 else up
-            if c == c:
-                before = c
-            lines.append(line)
-            ways.append(way)
-        return pdf.assign(supertrend=lines, direction=ways)[[*keys, "date", "close", "supertrend", "direction"]].astype({"supertrend": "float64"})
-
-    return df.select(*keys, "date", "close").groupBy(*keys).applyInPandas(walk, f"{types}, close double, supertrend double, direction int")
+        found, ways, _ = _walk(pdf["close"].tolist(), start, period, mult)
+        return pdf.assign(supertrend=found, direction=ways)[[*keys, "date", "close", "supertrend", "direction"]].astype({"supertrend": "float64"})
+
+    if block is None:
+        return rows.groupBy(*keys).applyInPandas(lambda pdf: lines(pdf, _START), schema)
+    placed = numbered(stored(rows), [F.col("date").asc()], keys, "at", "rows")
+    cut = stored(placed.select(*keys, F.floor(F.col("at") / block).cast("long").alias("block"), "date", "close"))
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    starts, by = _block_starts(cut, keys, own, period, mult), [*keys, "block"]
+    return cut.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(lambda pdf, start: lines(pdf, _state(start)), schema)

@@ -1,5 +1,6 @@
 """Seasonal context of each structure across its vintages, over the stack (structure, vintage, date, day_of_year,
-days_to_expiry, close). `active` names each structure's active vintage: (structure, vintage)."""
+days_to_expiry, close). `active` names each structure's active vintage: (structure, vintage). It is counted where it is joined,
+and it, with what is as small, is broadcast if it has few rows; so it should be a written table."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curves.functions import vocab as V
+from curves.functions.joins import fits, sized
+from curves.functions.storage import stored
 
 KEYS = ["structure", "vintage"]
 
@@ -27,7 +30,7 @@ def _spread(rows: DataFrame, buffer: int) -> DataFrame:
 
 
 def _others(stack: DataFrame, active: DataFrame | None) -> DataFrame:
-    return stack if active is None else stack.join(active.hint("merge"), KEYS, "left_anti")
+    return stack if active is None else stack.join(sized(active), KEYS, "left_anti")
 
 
 def seasonal_cone(stack: DataFrame, active: DataFrame | None = None, buffer: int = V.BUFFER, most: int = V.MAX_DTE, least: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
@@ -35,8 +38,12 @@ def seasonal_cone(stack: DataFrame, active: DataFrame | None = None, buffer: int
     first and the last day observed. `by`: more columns that keep cones apart."""
     hist = _others(cap_window(stack, most, least), active)
     keys = [*by, "structure"]
-    near = _spread(hist, buffer).groupBy(*keys, "d").agg(
-        F.avg("close").alias("mean"), F.stddev_pop("close").alias("std"), F.median("close").alias("median"), F.count("*").alias("n"),
+    day = Window.partitionBy(*keys, "d")
+    # the median is picked by rank, so that no task holds the values of a day
+    ranked = _spread(hist, buffer).withColumns({"k": F.row_number().over(day.orderBy("close")), "n": F.count("*").over(day)})
+    middle = F.col("k").isin(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
+    near = ranked.groupBy(*keys, "d").agg(
+        F.avg("close").alias("mean"), F.stddev_pop("close").alias("std"), F.avg(F.when(middle, F.col("close"))).alias("median"), F.max("n").alias("n"),
         F.min("days_to_expiry").alias("lo"), F.max("days_to_expiry").alias("hi"),
     )
     w = Window.partitionBy(*keys)
@@ -44,20 +51,21 @@ def seasonal_cone(stack: DataFrame, active: DataFrame | None = None, buffer: int
     return inside.select(*keys, "d", "mean", "std", (F.col("mean") - F.col("std")).alias("lower"), (F.col("mean") + F.col("std")).alias("upper"), "median", "n")
 
 
-def anchors(stack: DataFrame, active: DataFrame) -> DataFrame:
-    """(structure, vintage, anchor, current): the active vintage's last days to expiry and close."""
-    rows = stack.join(active.hint("merge"), KEYS, "left_semi")
+def anchors(stack: DataFrame, active: DataFrame, small: bool | None = None) -> DataFrame:
+    """(structure, vintage, anchor, current): the active vintage's last days to expiry and close. small: whether active is
+    known to have few rows; the result has as many."""
+    rows = stack.join(sized(active, small), KEYS, "left_semi")
     return rows.groupBy(*KEYS).agg(F.max_by("days_to_expiry", "date").alias("anchor"), F.max_by("close", "date").alias("current"))
 
 
 def current_percentile(stack: DataFrame, active: DataFrame, buffer: int = V.BUFFER) -> DataFrame:
     """(structure, vintage, percentile): share of other vintages' closes near the same day that are at or below."""
-    capped = cap_window(stack)
-    at = anchors(capped, active)
-    other = capped.select("structure", F.col("vintage").alias("v"), "days_to_expiry", "close").join(at.hint("merge"), "structure")
+    capped, small = cap_window(stack), fits(active)
+    at = anchors(capped, active, small)
+    other = capped.select("structure", F.col("vintage").alias("v"), "days_to_expiry", "close").join(sized(at, small), "structure")
     near = other.filter((F.col("v") != F.col("vintage")) & (F.abs(F.col("days_to_expiry") - F.col("anchor")) <= buffer))
     share = near.groupBy(*KEYS).agg((F.avg((F.col("close") <= F.col("current")).cast("double")) * 100).alias("percentile"))
-    return at.select(*KEYS).join(share.hint("merge"), KEYS, "left")
+    return at.select(*KEYS).join(sized(share, small), KEYS, "left")
 
 
 def monthly_heatmap(stack: DataFrame) -> DataFrame:
@@ -83,12 +91,13 @@ def nearest_vintage_point(stack: DataFrame, buffer: int = V.BUFFER, horizons: tu
 def seasonal_bias(stack: DataFrame, active: DataFrame, buffer: int = V.BUFFER, horizons: tuple[int, ...] = (20,)) -> DataFrame:
     """(structure, vintage, horizon, direction, up, down, total, hit_rate, count_label, consistency) of other vintages'
     moves from the active vintage's day."""
-    at = anchors(cap_window(stack), active)
+    small = fits(active)
+    at = anchors(cap_window(stack), active, small)
     points = nearest_vintage_point(stack, buffer, horizons).withColumnsRenamed({"vintage": "v", "d": "anchor"})
-    near = points.join(at.hint("merge"), ["structure", "anchor"]).filter("v <> vintage")
+    near = points.join(sized(at, small), ["structure", "anchor"]).filter("v <> vintage")
     moves = near.select(*KEYS, F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"move_{h}").alias("move")) for h in horizons])))
     sums = moves.groupBy(*KEYS, "horizon").agg(F.count_if(F.col("move") > 0).alias("up"), F.count_if(F.col("move") < 0).alias("down"))
-    every = at.select(*KEYS, F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon")).join(sums.hint("merge"), [*KEYS, "horizon"], "left")
+    every = at.select(*KEYS, F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon")).join(sized(sums, small), [*KEYS, "horizon"], "left")
     return consistency(every.fillna(0, ["up", "down"]))
 
 
@@ -118,9 +127,9 @@ def alignment(seasonal: Column, trend: Column) -> Column:
 def lifecycle(stack: DataFrame, active: DataFrame, expiry_days: int = 15) -> DataFrame:
     """(structure, vintage, phase, days_to_expiry, elapsed, note) of the active vintage; elapsed is over the days of
     all vintages. An active vintage without rows in the window is Quiet."""
-    capped = cap_window(stack)
+    capped, small = cap_window(stack), fits(active)
     span = capped.groupBy("structure").agg(F.min("days_to_expiry").alias("lo"), F.max("days_to_expiry").alias("hi"))
-    out = active.join(span.hint("merge"), "structure", "left").join(anchors(capped, active).hint("merge"), KEYS, "left")
+    out = active.join(sized(span, small), "structure", "left").join(sized(anchors(capped, active, small), small), KEYS, "left")
     part = (F.col("hi") - F.col("anchor")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
     out = out.withColumn("elapsed", F.coalesce(F.greatest(F.least(part, F.lit(1.0)), F.lit(0.0)), F.lit(0.0)))
     e, d = F.col("elapsed"), F.col("anchor")
@@ -135,13 +144,17 @@ def backtest_rows(stack: DataFrame, horizon: int = 20, buffer: int = V.BUFFER, l
     """(structure, vintage, date, alignment, continuation) for every day with a trend and a later close, of the structures
     that have more than one vintage in the window.
 
-    Each vintage's nearest point to day d is found once; a structure's ups and downs at d are summed over all its
-    vintages, and a row takes its own vintage's away again, so the work is linear in the rows.
+    Each vintage's nearest point to day d is found once, and a structure's ups and downs at d are summed over all its
+    vintages, so the work is linear in the rows. A row is its own vintage's nearest point to its day, and takes its own move away again.
     """
     capped = cap_window(stack)
-    several = capped.groupBy("structure").agg((F.min("vintage") < F.max("vintage")).alias("several")).filter("several").select("structure")
     points = nearest_vintage_point(stack, buffer, (horizon,)).select(*KEYS, "d", F.signum(f"move_{horizon}").cast("int").alias("s"))
-    sums = points.groupBy("structure", "d").agg(F.count_if(F.col("s") > 0).alias("ups"), F.count_if(F.col("s") < 0).alias("downs"))
+    vintages = Window.partitionBy("structure")
+    sums = points.groupBy("structure", "d").agg(
+        F.count_if(F.col("s") > 0).alias("ups"), F.count_if(F.col("s") < 0).alias("downs"), F.min("vintage").alias("lo"), F.max("vintage").alias("hi")
+    )
+    several = sums.withColumn("several", F.min("lo").over(vintages) < F.max("hi").over(vintages)).filter("several")
+    sums = stored(several.select("structure", "d", "ups", "downs"))
     w = _by_date()
     rows = capped.withColumns(
         {
@@ -150,9 +163,8 @@ def backtest_rows(stack: DataFrame, horizon: int = 20, buffer: int = V.BUFFER, l
             "d": F.col("days_to_expiry"),
         }
     ).filter("trend <> 0 and move is not null")
-    rows = rows.join(several.hint("merge"), "structure", "left_semi")
-    both = rows.join(points.hint("merge"), [*KEYS, "d"]).join(sums.hint("merge"), ["structure", "d"])
-    net = (F.col("ups") - F.col("downs")) - F.coalesce("s", F.lit(0))
+    both = rows.join(sized(sums), ["structure", "d"])
+    net = F.col("ups") - F.col("downs") - F.signum("move").cast("int")
     seasonal = F.when(net > 0, "Bullish").when(net < 0, "Bearish").otherwise("Neutral")
     trend = F.when(F.col("trend") > 0, "Bullish").otherwise("Bearish")
     return both.select(*KEYS, "date", alignment(seasonal, trend).alias("alignment"), (F.col("move") * F.col("trend")).alias("continuation"))
@@ -160,12 +172,15 @@ def backtest_rows(stack: DataFrame, horizon: int = 20, buffer: int = V.BUFFER, l
 
 def alignment_backtest(rows: DataFrame) -> DataFrame:
     """(structure, alignment, n, avg_continuation, hit_rate, median_return): three rows for each structure with any."""
-    found = rows.groupBy("structure", "alignment").agg(
-        F.count("*").alias("n"), F.avg("continuation").alias("avg_continuation"),
-        F.avg((F.col("continuation") > 0).cast("double")).alias("hit_rate"), F.median("continuation").alias("median_return"),
-    )
-    every = rows.select("structure").distinct().select("structure", F.explode(F.array(*map(F.lit, ("Tailwind", "Headwind", "Mixed")))).alias("alignment"))
-    return every.join(found.hint("merge"), ["structure", "alignment"], "left").fillna(0, ["n"])
+    kinds = ("Tailwind", "Headwind", "Mixed")
+
+    def of(kind: str) -> dict[str, Column]:
+        own = F.when(F.col("alignment") == kind, F.col("continuation"))
+        return {"n": F.count(own), "avg_continuation": F.avg(own), "hit_rate": F.avg((own > 0).cast("double")), "median_return": F.median(own)}
+
+    wide = rows.groupBy("structure").agg(*[c.alias(f"{kind}_{name}") for kind in kinds for name, c in of(kind).items()])
+    each = [F.struct(F.lit(kind).alias("alignment"), *[F.col(f"{kind}_{name}").alias(name) for name in of(kind)]) for kind in kinds]
+    return wide.select("structure", F.inline(F.array(*each)))
 
 
 def alignment_edge(backtest: DataFrame) -> DataFrame:

@@ -57,7 +57,8 @@ def stack(spark, d) -> DataFrame:
 
 
 def active(st: DataFrame) -> DataFrame:
-    return E.current_vintage(st)
+    """The active vintages, written, as they are counted and joined."""
+    return stored(E.current_vintage(st))
 
 
 def panel(spark, d) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import date, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from curves.operators import diagnostics as D
 from curves.operators import indicators as I
@@ -170,3 +171,24 @@ def test_adf_equals_a_plain_lag_search(spark):
 def test_adf_polynomial_at_the_known_critical_value():
     z = sum(c * (-2.86) ** i for i, c in enumerate(D.SMALL_P))
     assert abs(0.5 * (1 + __import__("math").erf(z / 2**0.5)) - 0.05) < 0.002
+
+
+def test_supertrend_in_blocks_equals_supertrend_in_one_task(spark):
+    rng = np.random.default_rng(8)
+    walk = np.cumsum(rng.normal(0, 1, 900))
+    series = {"walk": walk, "flat": [5.0] * 200, "trend": np.arange(500) * 0.1 + rng.normal(0, 0.01, 500), "calm": 50 + 1e-3 * np.sin(np.arange(400)), "one": [1.0], "short": [1.0, 2.0, 1.5]}
+    rows = frame(spark, **{k: list(map(float, v)) for k, v in series.items()})
+    holes = rows.withColumn("close", F.when(F.dayofyear("date") % 17 != 0, F.col("close")))
+    for df, block in ((rows, 100), (holes, 10_000)):
+        key = lambda r: (r.structure, r.date)
+        whole = sorted(I.supertrend(df).collect(), key=key)
+        got = sorted(I.supertrend(df, block=block).collect(), key=key)
+        assert [key(r) for r in got] == [key(r) for r in whole]
+        assert [r.direction for r in got] == [r.direction for r in whole]
+        assert [r.supertrend for r in got] == [x.supertrend if x.supertrend is None else pytest.approx(x.supertrend, rel=1e-9) for x in whole]
+
+
+def test_supertrend_of_one_long_series_in_blocks(spark):
+    rows = spark.range(20_000).selectExpr("'s' AS structure", "0 AS vintage", "timestamp_seconds(id * 60) AS date", "sin(id / 50.0) * 10 + id % 7 AS close")
+    whole = {r.date: r.direction for r in I.supertrend(rows).collect()}
+    assert {r.date: r.direction for r in I.supertrend(rows, block=5000).collect()} == whole
