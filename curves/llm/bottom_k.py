@@ -2,8 +2,8 @@
 
 One hash function orders all shingles, and a set's sketch is its K least values. A node is a distinct set, so that exact
 copies are one. Of two sketches the K least values of the union are a sample of the union of the sets, and the share of
-them that is in both estimates the likeness. For a pair of likeness 0.8 that share is below LEAST with probability 4e-6, and
-never where both sets are known in full; so both sketches have LEAST of their values in common.
+them that is in both estimates the likeness. For a pair of likeness 0.8 that share is below LEAST with probability 4e-6 at most, and
+never where both sets are known in full; so both sketches have many values in common (`in_common`).
 
 * Inverted lists. Values are put in one order, by the number of nodes that retain them, rare ones first. Two sketches of s
   values with o in common share MATCHES of the first s - o + MATCHES in that order, so only those make lists, without the ones that
@@ -45,9 +45,13 @@ from curves.llm.components import components
 
 SHINGLE, LIKE_PERCENT = 2, 80
 K, LEAST, MATCHES = 64, 0.55, 4
+#: Standard deviations below its mean that a sample of a pair of likeness 0.8 may lie.
+DEVIATIONS = 4.6
 LIST, SIDE = 32, 256
 #: Shingles of one side of a block, and common values compared at a time.
 _BLOCK, _COLUMNS = 1 << 18, 1 << 12
+#: Comparisons of two numbers that a join makes within a list, for each node of a short list.
+_COMPARED = 1 << 15
 #: Bytes of a hash in sets and sketches.
 _BYTES = 6
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -120,14 +124,23 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, of:
 
 
 def _retained(nodes: DataFrame) -> DataFrame:
-    """(v, s, x): a row for each value of a sketch of s values."""
+    """(v, n, x): a row for each value of a sketch."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sizes = np.array([len(b) // _BYTES for b in pdf["sketch"]], np.int64)
-            yield pd.DataFrame({"v": np.repeat(pdf["v"].to_numpy(), sizes), "s": np.repeat(sizes.astype(np.int32), sizes), "x": unpacked(b"".join(pdf["sketch"])).astype(np.int64)})
+            yield pd.DataFrame({"v": np.repeat(pdf["v"].to_numpy(), sizes), "n": np.repeat(pdf["n"].to_numpy(), sizes), "x": unpacked(b"".join(pdf["sketch"])).astype(np.int64)})
 
-    return nodes.select("v", "sketch").mapInPandas(spread, "v long, s int, x long")
+    return nodes.select("v", "n", "sketch").mapInPandas(spread, "v long, n long, x long")
+
+
+def in_common(n: Column) -> Column:
+    """Values that a sketch of a set of n has in common with that of any set of likeness 0.8. If the union, 1.25 n at most, isn't
+    longer than a sketch, all are known; else the K least of it are a sample, of which a share beyond 0.8 by more than DEVIATIONS is
+    left to chance."""
+    union = n / 0.8
+    sampled = F.floor(F.lit(0.8 * K) - DEVIATIONS * F.sqrt(F.greatest(0.16 * K * (1 - K / union), F.lit(0.0))))
+    return F.when(union <= K, F.ceil(n * 0.8)).otherwise(sampled).cast("int")
 
 
 def _listed(nodes: DataFrame) -> DataFrame:
@@ -137,10 +150,10 @@ def _listed(nodes: DataFrame) -> DataFrame:
     common = stored(values.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1"))
     shared = values.join(common.hint("merge"), "x")
     own = Window.partitionBy("v")
-    need = F.ceil(F.col("s") * F.lit(LEAST)).cast("int")
+    need = in_common(F.col("n"))
     ranked = shared.withColumns({"k": F.row_number().over(own.orderBy("df", "x")), "m": F.count("*").over(own), "w": F.sum(F.floor(F.log2("df") * 16)).over(own), "least": F.least(need, F.lit(MATCHES))})
     # values that no other node has come first in the order
-    first = ranked.filter(F.col("s") - F.col("m") + F.col("k") <= F.col("s") - need + F.col("least")).select("x", "v", "least", "w")
+    first = ranked.filter(F.col("k") - F.col("m") <= F.col("least") - need).select("x", "v", "least", "w")
     return stored(first)
 
 
@@ -173,18 +186,18 @@ def _short(rows: DataFrame, long: DataFrame) -> DataFrame:
 
 
 def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(h, v, c, d, need, far): what sets the members (h, v, c) off from their hubs. need: how many of those values a node that
+    """(h, v, c, d, n, need, far): what sets the members (h, v, c), of n values, off from their hubs. need: how many of those values a node that
     isn't linked to the hub must share to be linked to v; far: whether v isn't linked to the hub."""
 
-    @F.pandas_udf("struct<d:array<long>,need:int,far:boolean>")
+    @F.pandas_udf("struct<d:array<long>,n:long,need:long,far:boolean>")
     def differ(hubs: pd.Series, owns: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(hubs, owns, strict=True):
             hub, own = unpacked(x), unpacked(y)
             d = np.setxor1d(hub, own, assume_unique=True)
             need = (len(d) * (100 + percent) + (100 - percent) * (len(hub) - len(own))) // (2 * (100 + percent)) + 1
-            out.append((d.astype(np.int64), need, len(d) * (100 + percent) > (100 - percent) * (len(hub) + len(own))))
-        return pd.DataFrame(out, columns=["d", "need", "far"])
+            out.append((d.astype(np.int64), len(own), need, len(d) * (100 + percent) > (100 - percent) * (len(hub) + len(own))))
+        return pd.DataFrame(out, columns=["d", "n", "need", "far"])
 
     of = lambda name: sets.select(F.col("v").alias(name), F.col("grams").alias(f"{name}_grams")).hint("merge")
     both = members.join(of("h"), "h").join(of("v"), "v").select("h", "v", "c", differ("h_grams", "v_grams").alias("d"))
@@ -195,29 +208,32 @@ def _long(rows: DataFrame, sets: DataFrame, percent: int, most: int) -> tuple[Da
     """Pairs (u, v) to verify, and links (u, v), of different components of the long lists' rows (x, v, c, h)."""
     members = rows.filter("v <> h").select("h", "v", "c").distinct()
     told = _differences(members, sets, percent)
-    parts = told.select("h", "v", "c", "need", "far", F.size("d").alias("size"), F.explode("d").alias("token"))
+    parts = told.select("h", "v", "c", "n", "need", "far", F.size("d").alias("size"), F.explode("d").alias("token"))
     common = stored(parts.groupBy("h", "token").agg(F.count("*").alias("df"), F.max("far").alias("any")).filter("df > 1 and any"))
     shared = parts.join(common.select("h", "token", "df").hint("merge"), ["h", "token"])
     own = Window.partitionBy("h", "v")
-    ranked = shared.withColumns({"k": F.row_number().over(own.orderBy("df", "token")), "m": F.count("*").over(own)})
-    listed = ranked.withColumn("near", F.col("size") - F.col("m") + F.col("k") <= F.col("size") - F.col("need") + 1).filter("near or far")
-    listed = stored(listed.select(F.xxhash64("h", "token").alias("x"), "v", "c", "near", "far"))
-    sizes = listed.groupBy("x").agg(F.count_if("near").alias("n"), F.count_if("far").alias("out"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    sizes = stored(sizes.filter("n > 0 and out > 0 and lo < hi").select("x", "n", "out"))
+    # a value's place in the order of its node, in which those that no other node has come first
+    at = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token"))
+    listed = shared.withColumn("rest", F.col("size") - at).withColumn("near", F.col("rest") >= F.col("need") - 1).filter("near or far")
+    listed = stored(listed.select(F.xxhash64("h", "token").alias("x"), "v", "c", "n", "size", "rest", "near", "far"))
+    sizes = listed.groupBy("x").agg(F.count_if("near").alias("nears"), F.count_if("far").alias("fars"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    sizes = stored(sizes.filter("nears > 0 and fars > 0 and lo < hi").select("x", "nears", "fars"))
     named = stored(listed.join(sizes.hint("merge"), "x"))
-    few = F.col("n") * F.col("out") <= F.lit(64 * most)
+    few = F.col("nears") * F.col("fars") <= F.lit(_COMPARED * most)
     small = named.filter(few)
-    other = small.filter("far").select("x", F.col("v").alias("u"), F.col("c").alias("c_u")).toDF("x", "u", "c_u")
-    met = small.filter("near").select("x", "v", "c").join(other.hint("merge"), "x").filter("u <> v and c <> c_u")
+    other = small.filter("far").select("x", "v", "c", "n", "size", "rest").toDF("x", "u", "c_u", "n_u", "size_u", "rest_u")
+    # the first value that two differences share in their order has all others that they share behind it
+    could = 2 * (100 + percent) * (F.least("rest", "rest_u") + 1) >= (100 + percent) * (F.col("size") + F.col("size_u")) - (100 - percent) * (F.col("n") + F.col("n_u"))
+    met = small.filter("near").select("x", "v", "c", "n", "size", "rest").join(other.hint("merge"), "x").filter((F.col("u") != F.col("v")) & (F.col("c") != F.col("c_u")) & could)
     pairs = stored(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    large = named.filter(~few)
+    large = named.filter(~few).select("x", "v", "c", "near", "far", "nears", "fars")
     links = told.filter("not far").select(F.least("h", "v").alias("u"), F.greatest("h", "v").alias("v"))
     return pairs, links.unionByName(_blocks(large, sets, percent)) if large.head(1) else links
 
 
 def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v), written, of the far nodes of each list of rows (x, v, c, near, far, n, out) with its near nodes of other
-    components, one for each far node, block and component. n and out count a list's near and far nodes. Sets are compared with those of their own class of size
+    """Links (u, v), written, of the far nodes of each list of rows (x, v, c, near, far, nears, fars) with its near nodes of
+    other components, one for each far node, block and component. nears and fars count them. Sets are compared with those of their own class of size
     and its neighbours, and blocks of large sets have fewer of them."""
     ratio = 100 / percent
     full = rows.join(sets.hint("merge"), "v").withColumn("size", F.floor(F.log(F.length("grams") / _BYTES) / math.log(ratio)).cast("int"))
@@ -225,10 +241,10 @@ def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = lambda n: F.ceil(F.col(n) / side).cast("long")
     deal = lambda n: F.pmod(F.xxhash64("v"), parts(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), parts(n) - 1))
-    left = full.filter("far").select("x", "size", deal("out").alias("a"), every("n").alias("b"), "v", "c", "grams")
+    left = full.filter("far").select("x", "size", deal("fars").alias("a"), every("nears").alias("b"), "v", "c", "grams")
     near = full.filter("near").withColumn("size", F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)])))
     met = stored(full.filter("far").select("x", "size").distinct())
-    right = near.join(met.hint("merge"), ["x", "size"], "left_semi").select("x", "size", every("out").alias("a"), deal("n").alias("b"), "v", "c", "grams")
+    right = near.join(met.hint("merge"), ["x", "size"], "left_semi").select("x", "size", every("fars").alias("a"), deal("nears").alias("b"), "v", "c", "grams")
     right = right.toDF(*right.columns)  # columns of its own
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -289,7 +305,7 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", size: int =
     hundredths, 80 at least. also: more pairs (u, v) to look at. most: nodes of a short list."""
     if percent < 80:
         raise ValueError("the sketches find a likeness of 0.8 or more")
-    nodes = stored(rows.filter("n > 0").select("v", "sketch").groupBy("v").agg(F.first("sketch").alias("sketch")))
+    nodes = stored(rows.filter("n > 0").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     listed = _listed(nodes)
     lists, hubs = _hubs(listed)
     if also is not None:

@@ -98,6 +98,8 @@ def test_odd_rows(spark):
 def test_families_lose_no_link(spark, monkeypatch, lists, side):
     """Long lists and many blocks, with one family in which most pairs are linked and others in which few are."""
     monkeypatch.setattr(bottom_k, "LIST", lists)
+    if lists < 1:
+        monkeypatch.setattr(bottom_k, "_COMPARED", 0)
     monkeypatch.setattr(bottom_k, "SIDE", side)
     rng = random.Random(2)
     base = prose(7, 150, 4000)
