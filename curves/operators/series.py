@@ -75,6 +75,20 @@ def price_matrix(outrights: DataFrame, contracts: list[str] | None = None, value
     return wide.agg(F.avg(value))
 
 
+#: Contracts of a wide matrix. Spark pivots 10,000 values at most, and plans get slow well before.
+MOST_CONTRACTS = 2000
+
+
+def price_matrices(outrights: DataFrame, value: str = "close", most: int = MOST_CONTRACTS) -> list[DataFrame]:
+    """The wide matrix in groups of up to `most` contracts, in their order, so that any number of contracts has its columns. Each
+    has the dates of its own contracts. Only the names of the contracts come to the driver."""
+    names = [r["contract"] for r in outrights.select("contract").distinct().orderBy("contract").collect()]
+    groups = [names[i : i + most] for i in range(0, len(names), most)]
+    if len(groups) < 2:
+        return [price_matrix(outrights, names or None, value)]
+    return [price_matrix(outrights.filter(F.col("contract").between(g[0], g[-1])), g, value) for g in groups]
+
+
 def frame_summary(frames: dict[str, DataFrame]) -> DataFrame:
     """Rows and contracts of each frame."""
     parts = [

@@ -249,9 +249,10 @@ def nearest_vintage_point(spark, d):
 
 @query
 def price_matrix(spark, d):
-    """Mean closes of each date and contract: the wide matrix over all contracts, turned back to rows."""
-    wide = E.price_matrix(trimmed(spark, d))
-    return rounded(wide.unpivot("date", [c for c in wide.columns if c != "date"], "contract", "close").filter("close is not null"))
+    """Mean closes of each date and contract: the wide matrices over all contracts, turned back to rows."""
+    rows = stored(trimmed(spark, d).select("date", "contract", "close"))
+    parts = [w.unpivot("date", [c for c in w.columns if c != "date"], "contract", "close") for w in E.price_matrices(rows)]
+    return rounded(reduce(DataFrame.unionByName, parts).filter("close is not null"))
 
 
 @query

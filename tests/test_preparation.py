@@ -165,3 +165,14 @@ def test_only_complete_versions_are_loaded(spark, tmp_path):
     bars.commit_frames(frames, out)
     bars.remove_old_frames(spark, out)
     assert not Path(first, "flies").exists() and not Path(second, "flies").exists() and bars.load_frames(spark, out)["flies"].count() == 20
+
+
+def test_matrices_of_more_contracts_than_a_pivot_takes(spark):
+    rows = spark.range(300).selectExpr("date_add(date'2020-01-01', cast(id % 7 as int)) AS date", "concat('C', lpad(id % 25, 3, '0')) AS contract", "double(id) AS close")
+    parts = E.price_matrices(rows, most=10)
+    assert [len(p.columns) - 1 for p in parts] == [10, 10, 5] and sum(([c for c in p.columns if c != "date"] for p in parts), []) == [f"C{i:03d}" for i in range(25)]
+    whole = E.price_matrix(rows).toPandas().set_index("date").sort_index()
+    for p in parts:
+        own = p.toPandas().set_index("date").sort_index()
+        assert own.equals(whole.loc[own.index, own.columns])
+    assert E.price_matrices(rows.limit(0))[0].columns == ["date"]
