@@ -9,9 +9,9 @@ never where both sets are known in full; so both sketches have many values in co
   values with o in common share MATCHES of the first s - o + MATCHES in that order, so only those make lists, without the ones that
   nobody else has. What pairs have in common over the lists are their overlaps.
 * Hubs. Each node is paired with the hub of the lists that it shares most of, the node of a list whose values most others
-  retain too. So a group of many copies has as many pairs as nodes. What holds makes first components.
-* The rest. Lists whose nodes are of one component are done. Of the others, short ones (LIST nodes at most) pair their nodes
-  of different components, and pairs with MATCHES overlaps go on. In long ones, sets are told apart by what sets them off from the
+  retain too. So a group of many copies has as many pairs as nodes. What holds gives nodes their tops, the hubs of their hubs.
+* The rest. Lists whose nodes have one top are done. Of the others, short ones (LIST nodes at most) pair their nodes
+  of different tops, and pairs with MATCHES overlaps go on. In long ones, sets are told apart by what sets them off from the
   hub: if a node isn't linked to the hub, a link of it to another node means that over half of the other's difference
   from the hub is in its own. So the rarer half of each node's difference makes new lists, which all values of the difference of the
   nodes that aren't linked to the hub look up; a family of texts that most shingles unite falls apart there. Lists of such values that are still long are
@@ -165,19 +165,28 @@ def _hubs(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lists, stored(best.select("u", "v"))
 
 
-def _open(listed: DataFrame, lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """(x, v, least, c, n, h): the lists whose nodes are of several components c."""
-    named = listed.join(roots.hint("merge"), F.col("v") == F.col("node"), "left").select("x", "v", "least", F.coalesce("root", "v").alias("c"))
+def _tops(up: DataFrame) -> DataFrame:
+    """(v, c): the hub of the hub of each node that is linked to its hub, or the hub if that has none; written. up: (u, v) with
+    u the hub. A hub has commoner values than its nodes, so hubs of hubs make no circle. Nodes of one c are linked; those of different c may be, too."""
+    of = lambda name: up.select(F.col("v").alias(name), F.col("u").alias(f"{name}_hub")).hint("merge")
+    return stored(up.join(of("u"), "u", "left").select("v", F.coalesce("u_hub", "u").alias("c")))
+
+
+def _open(listed: DataFrame, lists: DataFrame, tops: DataFrame, most: int) -> DataFrame:
+    """(x, v, least, c, n, h, more): the lists whose nodes have several tops c, without nodes that are in too few of them. A node
+    without a hub is its own top. more: the number of a node's lists with over `most` nodes."""
+    named = listed.join(tops.hint("merge"), "v", "left").select("x", "v", "least", F.coalesce("c", "v").alias("c"))
     named = stored(named.join(lists.hint("merge"), "x"))
     several = stored(named.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("x"))
-    return stored(named.join(several.hint("merge"), "x", "left_semi"))
+    own = Window.partitionBy("v")
+    counted = named.join(several.hint("merge"), "x", "left_semi").withColumns({"more": F.count_if(F.col("n") > most).over(own), "held": F.count("*").over(own)})
+    return stored(counted.filter("held >= least").drop("held"))
 
 
-def _short(rows: DataFrame, long: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components of the short lists' rows with enough overlaps."""
-    # long lists don't count overlaps, so a pair may have all of its own in them
-    crowded = long.groupBy("v").agg(F.count("*").alias("more"))
-    own = stored(rows.join(crowded.hint("merge"), "v", "left").select("x", "v", "c", "least", F.coalesce("more", F.lit(0)).alias("more")))
+def _short(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different tops of the short lists' rows with enough overlaps. Long lists don't count overlaps, so a pair
+    may have all of its own in them."""
+    own = rows.select("x", "v", "c", "least", "more")
     other = own.toDF("x", "u", "c_u", "least_u", "more_u")
     met = own.join(other.hint("merge"), "x").filter("u < v and c <> c_u").groupBy("u", "v").agg(
         F.count("*").alias("same"), F.max(F.least("least", "least_u")).alias("least"), F.max(F.least("more", "more_u")).alias("more")
@@ -205,7 +214,7 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _long(rows: DataFrame, sets: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, v) to verify, and links (u, v), of different components of the long lists' rows (x, v, c, h)."""
+    """Pairs (u, v) to verify, and links (u, v), of different tops of the long lists' rows (x, v, c, h)."""
     members = rows.filter("v <> h").select("h", "v", "c").distinct()
     told = _differences(members, sets, percent)
     parts = told.select("h", "v", "c", "n", "need", "far", F.size("d").alias("size"), F.explode("d").alias("token"))
@@ -297,7 +306,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     of = lambda name: sets.select(F.col("v").alias(name), F.col("grams").alias(f"{name}_grams")).hint("merge")
     both = pairs.join(of("u"), "u").join(of("v"), "v")
-    return stored(both.filter(close("u_grams", "v_grams")).select("u", "v"))
+    return stored(both.filter(close("u_grams", "v_grams")).drop("u_grams", "v_grams"))
 
 
 def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", size: int = SHINGLE, percent: int = LIKE_PERCENT, also: DataFrame | None = None, most: int | None = None) -> DataFrame:
@@ -308,17 +317,18 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", size: int =
     nodes = stored(rows.filter("n > 0").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     listed = _listed(nodes)
     lists, hubs = _hubs(listed)
+    tried = hubs.withColumn("hub", F.lit(True))
     if also is not None:
-        hubs = stored(hubs.unionByName(also).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    first = _verified(hubs, _sets(docs, text_col, rows, hubs, size), percent)
+        tried = stored(tried.unionByName(also.select("u", "v", F.lit(False).alias("hub")).distinct()))
+    first = _verified(tried, _sets(docs, text_col, rows, tried, size), percent)
     most = most or LIST
-    open_ = _open(listed, lists, components(first))
+    open_ = _open(listed, lists, _tops(first.filter("hub")), most)
     long = open_.filter(F.col("n") > most)
-    pairs = _short(open_.filter(F.col("n") <= most), long)
+    pairs = _short(open_.filter(F.col("n") <= most))
     crowded = bool(long.head(1))
     needed = pairs.unionByName(long.select(F.col("h").alias("u"), "v").distinct()) if crowded else pairs
     sets = _sets(docs, text_col, rows, needed, size)
-    edges = first.unionByName(_verified(pairs, sets, percent))
+    edges = first.drop("hub").unionByName(_verified(pairs, sets, percent))
     if crowded:
         more, links = _long(long, sets, percent, most)
         edges = edges.unionByName(_verified(more, sets, percent)).unionByName(links)

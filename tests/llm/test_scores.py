@@ -167,3 +167,18 @@ def test_training_gives_the_same_model_however_rows_are_dealt(spark):
     a = quality_fm.train(docs.repartition(1), labels.repartition(3), 3, 1)
     b = quality_fm.train(docs.repartition(7), labels, 3, 1)
     assert np.array_equal(a, b)
+
+
+@pytest.mark.parametrize("text", ["I killed you", "he kills you", "they threaten to murder you", "ich werde dich töten", "er tötet dich", "je vais te frapper", "voy a matarte, te voy a matar", "kill the people"])
+def test_threats_in_any_form_and_order(text):
+    assert Grammar({}).score(text) >= 0.3
+
+
+@pytest.mark.parametrize("text", ["I won't kill you", "I can’t kill them", "they cannot hurt you", "kill the lights you fool", "he destroyed a city before they came", "ich werde dich nicht töten", "the stable door hurtles", "te digo la verdad"])
+def test_negated_threats_and_other_objects_stay_below(text):
+    assert Grammar({}).score(text) < 0.3
+
+
+def test_insults_in_the_plural():
+    score = Grammar({}).score
+    assert score("you absolute idiots") > 0.3 > score("idiots") > 0
