@@ -177,9 +177,12 @@ def _open(listed: DataFrame, lists: DataFrame, tops: DataFrame, most: int) -> Da
     without a hub is its own top. more: the number of a node's lists with over `most` nodes."""
     named = listed.join(tops.hint("merge"), "v", "left").select("x", "v", "least", F.coalesce("c", "v").alias("c"))
     named = stored(named.join(lists.hint("merge"), "x"))
-    several = stored(named.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("x"))
+    # the top of a list's hub serves as its hub, so that the lists of a family have one
+    tops_of = named.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("v") == F.col("h"), F.col("c"))).alias("top"))
+    several = stored(tops_of.filter("lo < hi").select("x", "top"))
     own = Window.partitionBy("v")
-    counted = named.join(several.hint("merge"), "x", "left_semi").withColumns({"more": F.count_if(F.col("n") > most).over(own), "held": F.count("*").over(own)})
+    open_ = named.join(several.hint("merge"), "x").withColumn("h", F.col("top")).drop("top")
+    counted = open_.withColumns({"more": F.count_if(F.col("n") > most).over(own), "held": F.count("*").over(own)})
     return stored(counted.filter("held >= least").drop("held"))
 
 
