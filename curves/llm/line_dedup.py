@@ -8,7 +8,7 @@ the corpus.
 
 ``passage_words`` (off by default) adds windows for passages of fewer lines than a window, which no run of three lines
 can find if their neighbours differ: a single line of more than so many words, and two neighbouring lines of more than
-so many words together. The pipeline sets PASSAGE, the query doesn't. A passage that starts or ends inside a
+so many words together. The query, its SQL and the pipeline set PASSAGE. A passage that starts or ends inside a
 line is in no window but those of its whole lines.
 
 Shuffles: windows as four longs and a position, counted with partial aggregation and joined by their two hashes; the
@@ -116,7 +116,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op10_line_dedup(spark, sf_dir):
     """Lines removed from every document, and a digest of what is left."""
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage_words=PASSAGE)
     return out.select(
         "doc_id",
         F.col("__removed").alias("n_removed_lines"),
@@ -129,11 +129,14 @@ ORACLE = rf"""
 WITH line AS (SELECT doc_id, i, s, trim(s, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
               FROM (SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS i
                     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
-unit AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, count(*) OVER (PARTITION BY doc_id) AS n
+unit AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, count(*) OVER (PARTITION BY doc_id) AS n,
+                len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words
          FROM line WHERE t <> ''),
-win AS (SELECT doc_id, p, n, list(t) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {LINES - 1} FOLLOWING) AS g
-             FROM unit),
-full_win AS (SELECT doc_id, p, g FROM win WHERE p <= greatest(n - {LINES - 1}, 1)),
+win AS (SELECT doc_id, p, n, words, list(t) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {LINES - 1} FOLLOWING) AS g,
+               t, lead(t) OVER (PARTITION BY doc_id ORDER BY p) AS t2, lead(words) OVER (PARTITION BY doc_id ORDER BY p) AS words2 FROM unit),
+full_win AS (SELECT doc_id, p, g FROM win WHERE p <= greatest(n - {LINES - 1}, 1)
+             UNION ALL SELECT doc_id, p, [t] FROM win WHERE n > 1 AND words > {PASSAGE}
+             UNION ALL SELECT doc_id, p, [t, t2] FROM win WHERE n > 2 AND words + words2 > {PASSAGE}),
 later AS (SELECT doc_id, p, len(g) AS h FROM (SELECT doc_id, p, g, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM full_win) WHERE k > 1),
 gone AS (SELECT DISTINCT u.doc_id, u.i FROM later l JOIN unit u ON u.doc_id = l.doc_id AND u.p BETWEEN l.p AND l.p + l.h - 1),
 left_over AS (SELECT l.doc_id, string_agg(s, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text, count(g.i) AS n

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from curves.llm import line_dedup, quality_rules
+from tests.compare import assert_same
 from tests.llm.data import ODD, documents, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -159,6 +161,16 @@ def test_the_stage_takes_two_lines_as_a_window(spark):
     assert [r.text for r in got] == [texts[0], f"p\n\nq\n{short}\n{a}\nr", f"{b}\n{a}", "s", f"{a}\nt"]
 
 
+def test_the_query_and_its_sql_take_passages_of_one_and_two_lines(spark, tmp_path):
+    a, b, long = prose(1, 30), prose(2, 30), prose(3, 51)
+    texts = [f"x\n{a}\n{b}\ny", f"p\n{a}\n{b}\nq", f"r\n{long}\ns", f"t\n{long}\nu"]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert_same(line_dedup.op10_line_dedup(spark, str(tmp_path)), line_dedup.ORACLE, con)
+    assert [r.n_removed_lines for r in line_dedup.op10_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == [0, 2, 0, 1]
+
+
 def test_the_stage_leaves_sentences_about_boilerplate_topics(spark):
     clean = ["The analog input and the catalog index differ.", "They design in the old style.", "Bake the cookie for ten minutes.", "Copyright is a right of authors in most countries of the world.", "His newsletter was read by many.", "The car was powered by steam and coal.", "Die Rechte der Autoren sind in diesem Land alle gut bekannt.", "El derecho de autor y la licencia son cosas distintas.", "The album was released under the label of her friend."]
     bad = ["Copyright 2020 Some Body", "© 2021 Some", "All rights reserved.", "Log in", "Sign in to your account to go on", "We use cookies for this site.", "Accept all cookies", "Subscribe to our newsletter", "Powered by Press", "Read our privacy policy", "Privacy Policy", "Click here to go on", "Alle Rechte vorbehalten.", "Impressum", "Tous droits réservés", "Conditions d'utilisation", "Todos los derechos reservados.", "Aceptar todas las cookies", "Released under the MIT License."]
