@@ -176,3 +176,30 @@ def test_matrices_of_more_contracts_than_a_pivot_takes(spark):
         own = p.toPandas().set_index("date").sort_index()
         assert own.equals(whole.loc[own.index, own.columns])
     assert E.price_matrices(rows.limit(0))[0].columns == ["date"]
+
+
+def test_dedup_leaves_few_bars_to_sort(spark):
+    """Bars that aren't first go before the sort, whose rows don't grow with repeats; ties of the first number are told by the rest."""
+    rows = spark.range(20_000).selectExpr("35 AS rtype", "1 AS publisher_id", "id AS instrument_id", "1.0D AS open", "1.0D AS high", "1.0D AS low", "double(id) AS close", "id AS volume", "if(id % 50 = 0, NULL, concat('S', id % 50)) AS symbol", "date'2020-01-01' AS date", "struct(id div 200 AS a, -id AS b) AS ingest_seq")
+    for order in (F.col("ingest_seq"), F.when(F.col("close") != 777, F.col("ingest_seq")), F.col("ingest_seq.a") * 1000 - F.col("volume") % 200):
+        own = rows.withColumn("ingest_seq", order)
+        want = {r.symbol: (r.ingest_seq, r.close) for r in own.orderBy(F.desc("ingest_seq")).collect()}
+        got = {r.symbol: r.close for r in P.dedup_clean(own).collect()}
+        assert got == {s: c for s, (_, c) in want.items()} and len(got) == 50
+        assert P._foremost(own, "ingest_seq").count() <= 201
+    assert P._foremost(own.limit(0), "ingest_seq").count() == 0
+
+
+def test_dedup_without_a_broadcast(spark, monkeypatch):
+    rows = bars.feed(spark, "/root/testdata/sf0.001")
+    want = P.dedup_clean(rows)
+    monkeypatch.setattr(P, "MOST_PAIRS", 10)
+    got = P.dedup_clean(rows)
+    assert got.count() == want.count() > 10 and got.exceptAll(want).count() == 0
+
+
+def test_more_rows_are_more_tasks_in_order(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("struct((id * 7919) % 1000 AS a) AS k")
+    out = bars.in_order(rows, "k", 100)
+    assert out.rdd.getNumPartitions() == 10
+    assert [r.k.a for r in out.collect()] == list(range(1000)) and bars.in_order(rows.limit(0), "k").count() == 0
