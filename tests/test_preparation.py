@@ -178,6 +178,10 @@ def test_matrices_of_more_contracts_than_a_pivot_takes(spark):
     assert E.price_matrices(rows.limit(0))[0].columns == ["date"]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dedup_leaves_few_bars_to_sort(spark):
     """Bars that aren't first go before the sort, whose rows don't grow with repeats; ties of the first number are told by the rest."""
     rows = spark.range(20_000).selectExpr("35 AS rtype", "1 AS publisher_id", "id AS instrument_id", "1.0D AS open", "1.0D AS high", "1.0D AS low", "double(id) AS close", "id AS volume", "if(id % 50 = 0, NULL, concat('S', id % 50)) AS symbol", "date'2020-01-01' AS date", "struct(id div 200 AS a, -id AS b) AS ingest_seq")
@@ -203,3 +207,10 @@ def test_more_rows_are_more_tasks_in_order(spark, tmp_path):
     out = bars.in_order(rows, "k", 100)
     assert out.rdd.getNumPartitions() == 10
     assert [r.k.a for r in out.collect()] == list(range(1000)) and bars.in_order(rows.limit(0), "k").count() == 0
+
+
+def test_the_feed_has_a_row_for_each_bar_and_no_interpreted_filter(spark):
+    rows = bars.feed(spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    assert rows.count() == lines.count() + lines.filter("l_linenumber <= 4").count()
+    assert "filter(array" not in _plan(rows)
