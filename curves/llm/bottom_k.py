@@ -11,7 +11,8 @@ never where both sets are known in full; so both sketches have many values in co
 * Hubs. Each node is paired with the hub of the lists that it shares most of, the node of a list whose values most others
   retain too. So a group of many copies has as many pairs as nodes. What holds gives nodes their tops, the hubs of their hubs.
 * The rest. Lists whose nodes have one top are done. Of the others, short ones (LIST nodes at most) pair their nodes
-  of different tops, and pairs with MATCHES overlaps go on. In long ones, sets are told apart by what sets them off from the
+  of different tops, and pairs with MATCHES overlaps go on. Pairs that have all their values in long lists share the first of them, so
+  each node is in the long lists without its MATCHES - 1 last values, the most common ones. There, sets are told apart by what sets them off from the
   hub: if a node isn't linked to the hub, a link of it to another node means that over half of the other's difference
   from the hub is in its own. So the rarer half of each node's difference makes new lists, which all values of the difference of the
   nodes that aren't linked to the hub look up; a family of texts that most shingles unite falls apart there. Lists of such values that are still long are
@@ -144,8 +145,8 @@ def in_common(n: Column) -> Column:
 
 
 def _listed(nodes: DataFrame) -> DataFrame:
-    """(x, v, least, w): the nodes in each inverted list. least: the overlaps that a pair of the node must have; w: how
-    common its values are."""
+    """(x, v, least, w, early): the nodes in each inverted list. least: the overlaps that a pair of the node must have; w: how
+    common its values are; early: whether x is early enough in the node's order to be the first value that a pair has in common."""
     values = _retained(nodes)
     common = stored(values.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1"))
     shared = values.join(common.hint("merge"), "x")
@@ -153,7 +154,8 @@ def _listed(nodes: DataFrame) -> DataFrame:
     need = in_common(F.col("n"))
     ranked = shared.withColumns({"k": F.row_number().over(own.orderBy("df", "x")), "m": F.count("*").over(own), "w": F.sum(F.floor(F.log2("df") * 16)).over(own), "least": F.least(need, F.lit(MATCHES))})
     # values that no other node has come first in the order
-    first = ranked.filter(F.col("k") - F.col("m") <= F.col("least") - need).select("x", "v", "least", "w")
+    at = F.col("k") - F.col("m")
+    first = ranked.filter(at <= F.col("least") - need).select("x", "v", "least", "w", (at <= 1 - need).alias("early"))
     return stored(first)
 
 
@@ -173,9 +175,9 @@ def _tops(up: DataFrame) -> DataFrame:
 
 
 def _open(listed: DataFrame, lists: DataFrame, tops: DataFrame, most: int) -> DataFrame:
-    """(x, v, least, c, n, h, more): the lists whose nodes have several tops c, without nodes that are in too few of them. A node
+    """(x, v, least, early, c, n, h, more): the lists whose nodes have several tops c, without nodes that are in too few of them. A node
     without a hub is its own top. more: the number of a node's lists with over `most` nodes."""
-    named = listed.join(tops.hint("merge"), "v", "left").select("x", "v", "least", F.coalesce("c", "v").alias("c"))
+    named = listed.join(tops.hint("merge"), "v", "left").select("x", "v", "least", "early", F.coalesce("c", "v").alias("c"))
     named = stored(named.join(lists.hint("merge"), "x"))
     # the top of a list's hub serves as its hub, so that the lists of a family have one
     tops_of = named.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("v") == F.col("h"), F.col("c"))).alias("top"))
@@ -326,7 +328,8 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", size: int =
     first = _verified(tried, _sets(docs, text_col, rows, tried, size), percent)
     most = most or LIST
     open_ = _open(listed, lists, _tops(first.filter("hub")), most)
-    long = open_.filter(F.col("n") > most)
+    # the first value in common of a pair that no short list holds is early in both orders, and its list is long
+    long = open_.filter((F.col("n") > most) & F.col("early"))
     pairs = _short(open_.filter(F.col("n") <= most))
     crowded = bool(long.head(1))
     needed = pairs.unionByName(long.select(F.col("h").alias("u"), "v").distinct()) if crowded else pairs

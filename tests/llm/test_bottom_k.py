@@ -113,6 +113,14 @@ def test_families_lose_no_link(spark, monkeypatch, lists, side):
     assert 20 < len({c for _, _, c, _ in want}) < len(texts)
 
 
+def test_the_last_values_of_a_node_are_not_early(spark):
+    """The first value that a pair has in common has all others behind it, so a long list needs no node whose last values it holds."""
+    rows = bottom_k.signed(documents(spark, family(60)), "doc_id", "text")
+    listed = bottom_k._listed(rows.select("v", "n", "sketch").distinct())
+    held = listed.groupBy("v").agg(F.count_if(~F.col("early")).alias("late"), F.max("least").alias("least"), F.count("*").alias("n")).collect()
+    assert {r.least for r in held} == {4} and all(r.late == min(3, r.n) for r in held)
+
+
 def test_five_words_and_other_likeness(spark):
     texts = family(40, 5, 200)
     docs = documents(spark, texts)
