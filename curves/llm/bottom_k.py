@@ -15,7 +15,8 @@ never where both sets are known in full; so both sketches have many values in co
   each node is in the long lists without its MATCHES - 1 last values, the most common ones. There, sets are told apart by what sets them off from the
   hub: if a node isn't linked to the hub, a link of it to another node means that over half of the other's difference
   from the hub is in its own. So the rarer half of each node's difference makes new lists, which all values of the difference of the
-  nodes that aren't linked to the hub look up; a family of texts that most shingles unite falls apart there. Lists of such values that are still long are
+  nodes that aren't linked to the hub look up; a family of texts that most shingles unite falls apart there. Nodes that differ from a hub by
+  half of its size or more are told apart by their whole sets instead, once for all their hubs. Lists of such values that are still long are
   compared in blocks, at most SIDE against SIDE sets a task, which return a link for each node and component. Nothing is
   capped: a long list costs blocks in proportion to its nodes.
 * Pairs are held against the estimate of their union's sketch, then against their full sets, which are made again from the
@@ -200,45 +201,63 @@ def _short(rows: DataFrame) -> DataFrame:
 
 
 def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(h, v, c, d, n, need, far): what sets the members (h, v, c), of n values, off from their hubs. need: how many of those values a node that
-    isn't linked to the hub must share to be linked to v; far: whether v isn't linked to the hub."""
+    """(h, v, c, d, n, need, reach, far), written: what sets the members (h, v, c), of n values, off from their hubs. need: how many of those values
+    a node that isn't linked to the hub must share to be linked to v; reach: how many any node must; far: whether v isn't linked to the hub.
 
-    @F.pandas_udf("struct<d:array<long>,n:long,need:long,far:boolean>")
+    Linked sets differ by (100 - percent) / (100 + percent) of their sizes' sum at most. So with a bound of half the hub's size, both nodes of a link
+    are less that share of their own sizes beyond it (tight), or both are with it (loose). Nodes near the bound are both. A loose node has about a fifth
+    of its values, as many as name it in its whole set, beside the hub's. It gets one row for all hubs that it is loose to, with h 0 and its set as d."""
+    more, less = 100 + percent, 100 - percent
+
+    @F.pandas_udf("struct<d:array<long>,n:long,need:long,reach:long,far:boolean,tight:boolean,loose:boolean>")
     def differ(hubs: pd.Series, owns: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(hubs, owns, strict=True):
             hub, own = unpacked(x), unpacked(y)
             d = np.setxor1d(hub, own, assume_unique=True)
-            need = (len(d) * (100 + percent) + (100 - percent) * (len(hub) - len(own))) // (2 * (100 + percent)) + 1
-            out.append((d.astype(np.int64), len(own), need, len(d) * (100 + percent) > (100 - percent) * (len(hub) + len(own))))
-        return pd.DataFrame(out, columns=["d", "n", "need", "far"])
+            reach = max(len(d) - len(own) * less // percent, 1)
+            need = max((len(d) * more + less * (len(hub) - len(own))) // (2 * more) + 1, reach)
+            tight = 2 * (more * len(d) - less * len(own)) <= more * len(hub)
+            loose = 2 * (more * len(d) + less * len(own)) > more * len(hub)
+            out.append((d.astype(np.int64) if tight else [], len(own), need, reach, len(d) * more > less * (len(hub) + len(own)), tight, loose))
+        return pd.DataFrame(out, columns=["d", "n", "need", "reach", "far", "tight", "loose"])
+
+    @F.pandas_udf("array<long>")
+    def whole(owns: pd.Series) -> pd.Series:
+        return pd.Series([unpacked(x).astype(np.int64) for x in owns])
 
     of = lambda name: sets.select(F.col("v").alias(name), F.col("grams").alias(f"{name}_grams")).hint("merge")
-    both = members.join(of("h"), "h").join(of("v"), "v").select("h", "v", "c", differ("h_grams", "v_grams").alias("d"))
-    return stored(both.select("h", "v", "c", "d.*"))
+    told = stored(members.join(of("h"), "h").join(of("v"), "v").select("h", "v", "c", differ("h_grams", "v_grams").alias("d")).select("h", "v", "c", "d.*"))
+    tight = told.filter("tight").select("h", "v", "c", "d", "n", "need", "reach", "far")
+    share = F.ceil(F.col("n") * percent / 100)
+    loose = told.filter("loose").select("v", "c", "n").distinct().join(of("v"), "v")
+    loose = loose.select(F.lit(0).cast("long").alias("h"), "v", "c", whole("v_grams").alias("d"), "n", share.alias("need"), share.alias("reach"), F.lit(True).alias("far"))
+    return stored(tight.unionByName(loose))
 
 
 def _long(rows: DataFrame, sets: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (u, v) to verify, and links (u, v), of different tops of the long lists' rows (x, v, c, h)."""
     members = rows.filter("v <> h").select("h", "v", "c").distinct()
     told = _differences(members, sets, percent)
-    parts = told.select("h", "v", "c", "n", "need", "far", F.size("d").alias("size"), F.explode("d").alias("token"))
+    parts = told.select("h", "v", "c", "n", "need", "reach", "far", F.size("d").alias("size"), F.explode("d").alias("token"))
     common = stored(parts.groupBy("h", "token").agg(F.count("*").alias("df"), F.max("far").alias("any")).filter("df > 1 and any"))
     shared = parts.join(common.select("h", "token", "df").hint("merge"), ["h", "token"])
     own = Window.partitionBy("h", "v")
     # a value's place in the order of its node, in which those that no other node has come first
     at = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token"))
-    listed = shared.withColumn("rest", F.col("size") - at).withColumn("near", F.col("rest") >= F.col("need") - 1).filter("near or far")
+    rest = shared.withColumn("rest", F.col("size") - at)
+    listed = rest.withColumns({"near": F.col("rest") >= F.col("need") - 1, "far": F.col("far") & (F.col("rest") >= F.col("reach") - 1)}).filter("near or far")
     listed = stored(listed.select(F.xxhash64("h", "token").alias("x"), "v", "c", "n", "size", "rest", "near", "far"))
     sizes = listed.groupBy("x").agg(F.count_if("near").alias("nears"), F.count_if("far").alias("fars"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     sizes = stored(sizes.filter("nears > 0 and fars > 0 and lo < hi").select("x", "nears", "fars"))
     named = stored(listed.join(sizes.hint("merge"), "x"))
     few = F.col("nears") * F.col("fars") <= F.lit(_COMPARED * most)
     small = named.filter(few)
-    other = small.filter("far").select("x", "v", "c", "n", "size", "rest").toDF("x", "u", "c_u", "n_u", "size_u", "rest_u")
+    other = small.filter("far").select("x", "v", "c", "n", "size", "rest", "near").toDF("x", "u", "c_u", "n_u", "size_u", "rest_u", "near_u")
     # the first value that two differences share in their order has all others that they share behind it
     could = 2 * (100 + percent) * (F.least("rest", "rest_u") + 1) >= (100 + percent) * (F.col("size") + F.col("size_u")) - (100 - percent) * (F.col("n") + F.col("n_u"))
-    met = small.filter("near").select("x", "v", "c", "n", "size", "rest").join(other.hint("merge"), "x").filter((F.col("u") != F.col("v")) & (F.col("c") != F.col("c_u")) & could)
+    once = (F.col("u") > F.col("v")) | (F.col("u") < F.col("v")) & ~(F.col("far") & F.col("near_u"))
+    met = small.filter("near").select("x", "v", "c", "n", "size", "rest", "far").join(other.hint("merge"), "x").filter(once & (F.col("c") != F.col("c_u")) & could)
     pairs = stored(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     large = named.filter(~few).select("x", "v", "c", "near", "far", "nears", "fars")
     links = told.filter("not far").select(F.least("h", "v").alias("u"), F.greatest("h", "v").alias("v"))

@@ -121,6 +121,31 @@ def test_the_last_values_of_a_node_are_not_early(spark):
     assert {r.least for r in held} == {4} and all(r.late == min(3, r.n) for r in held)
 
 
+def test_a_set_far_from_its_hubs_is_told_once(spark):
+    """A node gets one row of its values, not one for each hub that it has little in common with; the bound is one that no link crosses."""
+    sets = {0: range(1, 201), 1: range(9, 209), 2: range(1, 61), 3: range(61, 141), 4: range(141, 221), 5: [*range(1, 190), *range(900, 911)]}
+    frame = spark.createDataFrame([(v + 10, bytearray(packed(np.array([*g], np.uint64) << np.uint64(16)))) for v, g in sets.items()], "v long, grams binary")
+    members = spark.createDataFrame([(h + 10, v + 10, v) for v in (0, 1) for h in (2, 3, 4, 5)], "h long, v long, c long")
+    rows = bottom_k._differences(members, frame, 80).collect()
+    assert sorted((r.h, r.v, len(r.d)) for r in rows) == [(0, 10, 200), (0, 11, 200), (15, 10, 22), (15, 11, 38)]
+    assert all(set(r.d) == set(sets[r.v - 10]) and (r.need, r.reach, r.far) == (160, 160, True) for r in rows if r.h == 0)
+
+
+def test_texts_of_several_templates_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(bottom_k, "LIST", 4)
+    rng = random.Random(4)
+    templates = [prose(300 + i, 60, 5000) for i in range(5)]
+    texts = [" ".join([*rng.sample(templates, 2), prose(400 + i, rng.choice([5, 20, 60, 120]), 5000)]) for i in range(70)]
+    texts += [changed(t, rng, rng.randrange(1, 14)) for t in texts[:50]]
+    texts += [" ".join(t.split()[rng.randrange(30) :]) for t in texts[:30]]
+    told = []
+    monkeypatch.setattr(bottom_k, "_differences", lambda *a, f=bottom_k._differences: told.append(f(*a)) or told[-1])
+    rows = list(enumerate(texts))
+    assert result(near_duplicates(documents(spark, texts))) == plain(rows)
+    seen = [(r.h, r.v) for r in told[0].collect()]
+    assert len(seen) == len(set(seen)) and {h == 0 for h, _ in seen} == {True, False}
+
+
 def test_five_words_and_other_likeness(spark):
     texts = family(40, 5, 200)
     docs = documents(spark, texts)
