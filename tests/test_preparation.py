@@ -214,3 +214,38 @@ def test_the_feed_has_a_row_for_each_bar_and_no_interpreted_filter(spark):
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     assert rows.count() == lines.count() + lines.filter("l_linenumber <= 4").count()
     assert "filter(array" not in _plan(rows)
+
+
+def test_bars_are_made_again_only_of_lines_at_first_numbers(spark, tmp_path):
+    """Repeats of all lines with later keys, and lines without a key, change nothing but what the first pass reads."""
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    top = lines.agg(F.max("l_orderkey")).first()[0] + 1
+    copies = lines.crossJoin(spark.range(5).withColumnRenamed("id", "n")).withColumn("l_orderkey", F.col("l_orderkey") + F.col("n") * top).drop("n")
+    bare = lines.filter("l_orderkey = 1").withColumn("l_orderkey", F.lit(None).cast("bigint"))
+    copies.unionByName(bare).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = []
+
+    def at(numbers):
+        made.append(bars.feed(spark, str(tmp_path), numbers))
+        return made[-1]
+
+    rows = bars.feed(spark, str(tmp_path))
+    for pattern in (None, V.OUTRIGHT, V.CRACK):
+        want = P.dedup_clean(rows) if pattern is None else P.dedup_clean(P.parsed(rows, pattern, []))
+        got = P.dedup_clean(rows, pattern=pattern, at=at)
+        assert got.count() == want.count() > 500 and got.exceptAll(want).count() == 0
+        assert made[-1].count() <= bars.feed(spark, "/root/testdata/sf0.001").count() + bare.count() * 2 < rows.count() / 4
+    plan = _plan(made[0])
+    assert plan.index("Generate") < plan.index("BroadcastHashJoin")  # the tree is printed from the top
+
+
+def test_a_pair_with_a_bar_without_a_number_needs_only_that(spark):
+    rows = spark.range(10).selectExpr("35 AS rtype", "1 AS publisher_id", "id AS instrument_id", "1.0D AS open", "1.0D AS high", "1.0D AS low", "double(id) AS close", "id AS volume", "'CLH0' AS symbol", "date'2020-01-01' AS date", "if(id = 4, NULL, id) AS ingest_seq")
+    assert [r.close for r in P._foremost(rows, "ingest_seq").collect()] == [r.close for r in P.dedup_clean(rows).collect()] == [4.0]
+
+
+def test_the_feed_makes_no_structs_of_bars(spark):
+    rows = bars.feed(spark, "/root/testdata/sf0.001")
+    assert "inline(" not in _plan(rows.drop("ingest_seq"))
+    again = rows.select("symbol", "instrument_id").filter("instrument_id < 100000").distinct().collect()
+    assert again and all(r.symbol == f"CL{V.MONTHS[r.instrument_id % 12]}{r.instrument_id // 12 % 10}" for r in again)
